@@ -71,25 +71,31 @@ def price_grid(low: Column, high: Column, points: int) -> Column:
     )
 
 
-def _scored(price: Column, policy: Policy) -> Column:
+def _with_units(price: Column) -> Column:
     wanted = D.linear_demand(
         price, F.col("reference_c"), F.col("elasticity"), F.col("base_demand")
     )
-    units = D.capped_units(wanted, F.col("stock"))
     return F.struct(
-        price.alias("price_c"),
-        units.alias("units"),
-        D.candidate_value(price, F.col("cost_c"), units, policy.objective).alias("value"),
-        D.discount_spend(F.col("current_c"), price, units).alias("spend"),
+        price.alias("price_c"), D.capped_units(wanted, F.col("stock")).alias("units")
+    )
+
+
+def _with_value(c: Column, objective: str) -> Column:
+    return F.struct(
+        c["price_c"].alias("price_c"),
+        c["units"].alias("units"),
+        D.candidate_value(c["price_c"], F.col("cost_c"), c["units"], objective).alias("value"),
+        D.discount_spend(F.col("current_c"), c["price_c"], c["units"]).alias("spend"),
     )
 
 
 def with_candidates(problems: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Adds `candidates`: array of (price_c, units, value, spend)."""
     grid = price_grid(F.col("low_c"), F.col("high_c"), policy.grid_points)
-    return with_bounds(problems, policy).withColumn(
-        "candidates", F.transform(grid, lambda p: _scored(p, policy))
+    scored = F.transform(
+        F.transform(grid, _with_units), lambda c: _with_value(c, policy.objective)
     )
+    return with_bounds(problems, policy).withColumn("candidates", scored)
 
 
 def best_candidate(candidates: Column, current: Column) -> Column:

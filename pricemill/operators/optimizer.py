@@ -14,6 +14,7 @@ The order of steps within a category is found from bucket sums, so no task sees
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pricemill.functions.money import BP
 from pricemill.operators.candidates import best_candidate, with_candidates
 from pricemill.params import DEFAULT_POLICY, Policy
-from pricemill.session import reuse
+from pricemill.session import staged
 
 # Ratio buckets per factor e, and hash slices of steps with one and the same ratio.
 RATIO_BUCKETS = 1000
@@ -40,57 +41,62 @@ STEP = "struct<ratio:double,dspend:double,dvalue:double,spend:double,value:doubl
 
 class JointPrices(NamedTuple):
     prices: DataFrame  # sku, category, current_c, price_c, value, spend
-    categories: DataFrame  # category, skus, budget, binding, value, spend, gap
+    categories: DataFrame  # category, skus, budget, state, value, spend, gap
     rejected: DataFrame  # sku, category, current_c, reason
+    problems: DataFrame  # the problems as staged for this call
 
 
-def category_budgets(problems: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Discount budget per category: a share of the sum of current prices, in cents."""
-    share = F.sum("current_c") * policy.discount_budget_bp / F.lit(float(BP))
-    return problems.groupBy("category").agg(
-        F.count(F.lit(1)).alias("skus"), share.alias("budget")
-    )
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _cheapest(candidates: Column, current: Column) -> Column:
     """Best candidate among those with the least spend: where every product starts."""
     least = F.array_min(F.transform(candidates, lambda c: c["spend"]))
-    return best_candidate(F.filter(candidates, lambda c: c["spend"] <= least), current)
+    return _let(
+        least,
+        lambda low: best_candidate(F.filter(candidates, lambda c: c["spend"] <= low), current),
+    )
 
 
 def _hull_steps(candidates: Column, start: Column, points: int) -> Column:
     """Steps along the upper hull from `start`, steepest first."""
 
-    def forward(acc: Column, _: Column) -> Column:
-        ahead = F.filter(
-            candidates,
-            lambda c: (c["spend"] > acc["spend"]) & (c["value"] > acc["value"]),
-        )
-        slopes = F.transform(
-            ahead,
-            lambda c: F.struct(
-                ((c["value"] - acc["value"]) / (c["spend"] - acc["spend"])).alias("ratio"),
-                c["spend"].alias("spend"),
-                c["value"].alias("value"),
-                c["price_c"].alias("price_c"),
-            ),
+    def slope(acc: Column, c: Column) -> Column:
+        return F.struct(
+            ((c["value"] - acc["value"]) / (c["spend"] - acc["spend"])).alias("ratio"),
+            c["spend"].alias("spend"),
+            c["value"].alias("value"),
+            c["price_c"].alias("price_c"),
         )
-        best = F.array_max(slopes)
+
+    def moved(acc: Column, best: Column) -> Column:
+        ratio = F.least(best["ratio"], acc["ratio"])
         step = F.struct(
-            F.least(best["ratio"], acc["ratio"]).alias("ratio"),
+            ratio.alias("ratio"),
             (best["spend"] - acc["spend"]).alias("dspend"),
             (best["value"] - acc["value"]).alias("dvalue"),
             best["spend"].alias("spend"),
             best["value"].alias("value"),
             best["price_c"].alias("price_c"),
         )
-        moved = F.struct(
-            step["spend"].alias("spend"),
-            step["value"].alias("value"),
-            step["ratio"].alias("ratio"),
+        return F.struct(
+            best["spend"].alias("spend"),
+            best["value"].alias("value"),
+            ratio.alias("ratio"),
             F.concat(acc["steps"], F.array(step)).alias("steps"),
         )
-        return F.when(F.size(ahead) > 0, moved).otherwise(acc)
+
+    def forward(acc: Column, _: Column) -> Column:
+        ahead = F.filter(
+            candidates,
+            lambda c: (c["spend"] > acc["spend"]) & (c["value"] > acc["value"]),
+        )
+        steepest = F.array_max(F.transform(ahead, lambda c: slope(acc, c)))
+        return _let(
+            steepest, lambda best: F.when(best.isNull(), acc).otherwise(moved(acc, best))
+        )
 
     first = F.struct(
         start["spend"].alias("spend"),
@@ -219,17 +225,15 @@ def solve_core(core: pd.DataFrame) -> pd.DataFrame:
 def _refined(stepwise: DataFrame, state: DataFrame) -> DataFrame:
     """Exact solution of the cores on top of the stepwise one.
 
-    stepwise: one row per product with candidates and chosen price; state: category, lam, gap,
-    room_total.
+    stepwise: one row per product with candidates and chosen price; state: category, lam, gap.
     """
     at_lam = lambda c: c["value"] - F.col("lam") * c["spend"]
     top = F.array_max(F.transform("candidates", at_lam))
     margin = F.col("gap") * (1 + 1e-9) + EPS
-    rows = reuse(
-        stepwise.join(state, "category").withColumn(
-            "survivors", F.filter("candidates", lambda c: top - at_lam(c) <= margin)
-        )
+    survivors = _let(
+        top, lambda best: F.filter("candidates", lambda c: best - at_lam(c) <= margin)
     )
+    rows = stepwise.join(state, "category").withColumn("survivors", survivors)
     open_row = F.size("survivors") > 1
     cores = rows.groupBy("category").agg(
         F.sum(F.when(open_row, F.size("survivors")).otherwise(0)).alias("core_size"),
@@ -263,69 +267,56 @@ def _refined(stepwise: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def optimize_prices(
-    problems: DataFrame, budgets: DataFrame | None = None, policy: Policy = DEFAULT_POLICY
-) -> JointPrices:
-    """Joint prices per category.
-
-    budgets: category and budget in cents; by default a share of the current prices.
-    """
-    problems = reuse(problems)
-    scored = with_candidates(problems, policy).withColumn(
+def _with_best(problems: DataFrame, policy: Policy) -> DataFrame:
+    return with_candidates(problems, policy).withColumn(
         "_best", best_candidate(F.col("candidates"), F.col("current_c"))
     )
-    own = category_budgets(problems, policy)
-    if budgets is not None:
-        given = budgets.select("category", F.col("budget").cast("double").alias("budget"))
-        own = own.drop("budget").join(given, "category")
-    start = _cheapest(F.col("candidates"), F.col("current_c"))
-    spends = (
-        scored.withColumn("_start", start)
+
+
+def _limits(problems: DataFrame, budgets: DataFrame | None, policy: Policy) -> DataFrame:
+    """Per category: budget, and whether the best prices together fit it."""
+    share = F.sum("current_c") * policy.discount_budget_bp / F.lit(float(BP))
+    totals = (
+        _with_best(problems, policy)
+        .withColumn("_start", _cheapest(F.col("candidates"), F.col("current_c")))
         .groupBy("category")
         .agg(
+            F.count(F.lit(1)).alias("skus"),
+            share.alias("budget"),
             F.sum("_best.spend").alias("free_spend"),
             F.sum("_start.spend").alias("start_spend"),
-            F.sum("_start.value").alias("start_value"),
-        )
-    )
-    limits = reuse(
-        own.join(spends, "category").select(
-            "category",
-            "skus",
-            "budget",
-            (F.col("free_spend") > F.col("budget") + EPS).alias("binding"),
-            (F.col("start_spend") > F.col("budget") + EPS).alias("infeasible"),
-            (F.col("budget") - F.col("start_spend")).alias("room"),
-            "start_value",
         )
     )
-    rows = scored.join(limits, "category")
-    free = rows.filter(~F.col("binding")).select(
-        "sku",
+    if budgets is not None:
+        given = budgets.select("category", F.col("budget").cast("double").alias("budget"))
+        totals = totals.drop("budget").join(given, "category")
+    over = F.col("free_spend") > F.col("budget") + EPS
+    impossible = F.col("start_spend") > F.col("budget") + EPS
+    return totals.select(
         "category",
-        "current_c",
-        (-F.col("_best.low")).alias("price_c"),
-        F.col("_best.value").alias("value"),
-        F.col("_best.spend").alias("spend"),
-        F.lit(0.0).alias("gap"),
+        "skus",
+        "budget",
+        (F.col("budget") - F.col("start_spend")).alias("room"),
+        F.when(impossible, "infeasible").when(over, "binding").otherwise("free").alias("state"),
     )
-    bound = rows.filter(F.col("binding") & ~F.col("infeasible")).withColumn("_start", start)
-    walked = reuse(
-        bound.withColumn(
+
+
+def _within_budget(bound: DataFrame, limits: DataFrame, policy: Policy) -> DataFrame:
+    """Prices of the categories whose budget binds. bound: scored rows with their budget."""
+    started = bound.withColumn("_start", _cheapest(F.col("candidates"), F.col("current_c")))
+    walked = staged(
+        started.withColumn(
             "steps", _hull_steps(F.col("candidates"), F.col("_start"), policy.grid_points)
-        )
+        ).select("sku", "category", "current_c", "candidates", "budget", "_start", "steps"),
+        "hull",
     )
     steps = walked.select("category", "sku", F.posexplode("steps").alias("k", "_s")).select(
         "category", "sku", "k", "_s.*"
     )
     taken, cutoff = _taken_steps(steps, limits.select("category", "room"))
-    reached = taken.groupBy("category", "sku").agg(
-        F.max("k").alias("_k"),
-        F.sum("dspend").alias("_dspend"),
-        F.sum("dvalue").alias("_dvalue"),
-    )
+    reached = taken.groupBy("category", "sku").agg(F.max("k").alias("_k"))
     last = F.get("steps", F.col("_k"))
-    stepwise = reuse(
+    stepwise = staged(
         walked.join(reached, ["category", "sku"], "left").select(
             "category",
             "sku",
@@ -335,27 +326,55 @@ def optimize_prices(
             F.coalesce(last["price_c"], -F.col("_start.low")).alias("price_c"),
             F.coalesce(last["value"], F.col("_start.value")).alias("value"),
             F.coalesce(last["spend"], F.col("_start.spend")).alias("spend"),
-        )
+        ),
+        "stepwise",
     )
-    left_over = (
+    left_over = F.greatest(F.lit(0.0), F.first("budget") - F.sum("spend"))
+    state = (
         stepwise.groupBy("category")
-        .agg((F.first("budget") - F.sum("spend")).alias("_left"))
+        .agg(left_over.alias("_left"))
         .join(cutoff, "category", "left")
         .select(
             "category",
             F.coalesce("lam", F.lit(0.0)).alias("lam"),
-            (F.coalesce("lam", F.lit(0.0)) * F.greatest(F.lit(0.0), "_left")).alias("gap"),
+            (F.coalesce("lam", F.lit(0.0)) * F.col("_left")).alias("gap"),
         )
     )
-    chosen = reuse(free.unionByName(_refined(stepwise, left_over)))
+    return staged(_refined(stepwise, staged(state, "bounds")), "joint")
+
+
+def optimize_prices(
+    problems: DataFrame, budgets: DataFrame | None = None, policy: Policy = DEFAULT_POLICY
+) -> JointPrices:
+    """Joint prices per category.
+
+    budgets: category and budget in cents; by default a share of the current prices. Categories
+    whose best prices fit the budget need no shuffle beyond one row per category.
+    """
+    problems = staged(problems, "problems")
+    limits = staged(_limits(problems, budgets, policy), "limits")
+    rows = _with_best(problems, policy).join(limits, "category")
+    chosen = rows.filter("state = 'free'").select(
+        "sku",
+        "category",
+        "current_c",
+        (-F.col("_best.low")).alias("price_c"),
+        F.col("_best.value").alias("value"),
+        F.col("_best.spend").alias("spend"),
+        F.lit(0.0).alias("gap"),
+    )
+    if not limits.filter("state = 'binding'").isEmpty():
+        bound = _within_budget(rows.filter("state = 'binding'"), limits, policy)
+        chosen = chosen.unionByName(bound)
     categories = (
         chosen.groupBy("category")
         .agg(
             F.sum("value").alias("value"), F.sum("spend").alias("spend"), F.max("gap").alias("gap")
         )
-        .join(limits.select("category", "skus", "budget", "binding"), "category")
+        .join(limits.select("category", "skus", "budget", "state"), "category")
     )
-    rejected = rows.filter("infeasible").select(
-        "sku", "category", "current_c", F.lit("budget_infeasible").alias("reason")
+    rejected = (
+        problems.join(limits.filter("state = 'infeasible'"), "category")
+        .select("sku", "category", "current_c", F.lit("budget_infeasible").alias("reason"))
     )
-    return JointPrices(chosen.drop("gap"), categories, rejected)
+    return JointPrices(chosen.drop("gap"), categories, rejected, problems)

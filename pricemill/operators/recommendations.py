@@ -14,7 +14,6 @@ from pricemill.functions.money import cents, from_cents
 from pricemill.operators.candidates import pricing_problems
 from pricemill.operators.optimizer import JointPrices, optimize_prices
 from pricemill.params import DEFAULT_POLICY, Policy
-from pricemill.session import reuse
 from pricemill.sources.reference_data import with_elasticity
 
 JOINT_REASON = "Joint price for category %s: most profit within budget, margin and stock limits."
@@ -85,9 +84,8 @@ def joint_problems(
 def recommend_jointly(
     analysis: DataFrame, elasticity: DataFrame, policy: Policy = DEFAULT_POLICY
 ) -> Recommended:
-    problems = reuse(joint_problems(analysis, elasticity, policy))
-    joint = optimize_prices(problems, policy=policy)
-    facts = problems.select("sku", "category", "cost_c", "current_c", "stock")
+    joint = optimize_prices(joint_problems(analysis, elasticity, policy), policy=policy)
+    facts = joint.problems.select("sku", "category", "cost_c", "current_c", "stock")
     rows = joint.prices.select("sku", "price_c").join(facts, "sku").withColumns(
         {
             "confidence": G.optimizer_confidence(F.col("current_c"), F.col("price_c"), policy),

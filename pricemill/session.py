@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,15 +40,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep a frame that several outputs read. Lost blocks are computed again from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several outputs read, once, to the shared folder and read it back.
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame once to the shared folder and go on from the written copy."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    The copy outlives lost executors, keeps later plans short, and gives them file statistics to
+    choose join strategies by. The folder is left to the cluster's own clean-up of that place.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pricemill/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def default_cpus() -> int:
