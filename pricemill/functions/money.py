@@ -23,7 +23,8 @@ def ceil_div(a: Column, b: int) -> Column:
 
 
 def cents(price: Column) -> Column:
-    return F.round(price * F.lit(100.0)).cast("long")
+    """Nearest whole cent. floor(x + 0.5) stays in generated code; round() on doubles does not."""
+    return F.floor(price * F.lit(100.0) + F.lit(0.5))
 
 
 def from_cents(value: Column) -> Column:

@@ -76,9 +76,8 @@ def price_feed(spark: SparkSession, folder: str) -> DataFrame:
         (F.lit(8500) + _ext() % 3001).alias("share"),
         (F.col("l_returnflag") != "R").alias("in_stock"),
         F.to_date("l_shipdate").alias("date"),
-        "l_shipdate",
-        "l_orderkey",
-        "l_linenumber",
+        # a date holds one shipping time, so order and line tell its rows apart
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arrival"),
     )
     return items.join(parts, "k").select(
         "sku",
@@ -86,17 +85,12 @@ def price_feed(spark: SparkSession, folder: str) -> DataFrame:
         from_cents(whole_div(F.col("our_c") * F.col("share"), 10000)).alias("price"),
         "in_stock",
         "date",
-        "l_shipdate",
-        "l_orderkey",
-        "l_linenumber",
+        "arrival",
     )
 
 
-ARRIVAL = ("l_shipdate", "l_orderkey", "l_linenumber")
-
-
 def prices(spark: SparkSession, folder: str) -> DataFrame:
-    return last_per_key(price_feed(spark, folder), PRICE_KEY, ARRIVAL).drop(*ARRIVAL)
+    return last_per_key(price_feed(spark, folder), PRICE_KEY, ["arrival"]).drop("arrival")
 
 
 def analysis(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,21 +157,25 @@ def listings(spark: SparkSession, folder: str) -> DataFrame:
         .when(k % 5 == 3, F.concat_ws(" ", "brand", tail, F.lit("(2026 Edition)")))
         .otherwise(F.lower(F.concat_ws(" ", "brand", tail)))
     )
-    named = parts.select("sku", noisy.alias("listing_name"), F.col("sku").alias("true_sku"))
+    named = parts.select("sku", noisy.alias("listing_name"), k.alias("k"), k.alias("true_k"))
     decoys = parts.filter(k % 10 == 0).select(
         "sku",
         F.concat(
             F.col("brand"), F.lit(" zephyr lite z"), (F.lit(10) + k % 90).cast("string")
         ).alias("listing_name"),
-        F.lit(None).cast("string").alias("true_sku"),
+        k.alias("k"),
+        F.lit(None).cast("long").alias("true_k"),
     )
-    seen = prices(spark, folder)
     return (
-        seen.join(named.unionByName(decoys), "sku")
-        .select("competitor", "listing_name", "price", "in_stock", "date", "true_sku")
+        prices(spark, folder)
+        .join(named.unionByName(decoys), "sku")
         .groupBy("competitor", "listing_name", "date")
-        .agg(F.max(F.struct("true_sku", "price", "in_stock")).alias("r"))
-        .select("competitor", "listing_name", "r.price", "r.in_stock", "date", "r.true_sku")
+        .agg(
+            F.max_by("price", "k").alias("price"),
+            F.max_by("in_stock", "k").alias("in_stock"),
+            F.max("true_k").cast("string").alias("true_sku"),
+        )
+        .select("competitor", "listing_name", "price", "in_stock", "date", "true_sku")
     )
 
 
@@ -372,13 +370,12 @@ def human_answers(spark: SparkSession, folder: str) -> DataFrame:
 def dirty_prices(spark: SparkSession, folder: str) -> DataFrame:
     """Price feed with planted faults: prices of 0, products that are not in the catalog."""
     feed = price_feed(spark, folder)
-    order = F.col("l_orderkey")
+    order = whole_div(F.col("arrival"), 10)
     return feed.select(
         F.when(order % 503 == 0, F.concat(F.lit("x"), F.col("sku"))).otherwise(F.col("sku")).alias("sku"),
         "competitor",
         F.when(order % 501 == 0, F.lit(0.0)).otherwise(F.col("price")).alias("price"),
         F.when(order % 509 != 0, F.col("in_stock")).alias("in_stock"),
         "date",
-        "l_orderkey",
-        "l_linenumber",
+        "arrival",
     )

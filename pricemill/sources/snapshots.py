@@ -9,17 +9,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CATALOG_KEY = ("sku",)
 PRICE_KEY = ("sku", "competitor", "date")
 
 
+# Types with a fixed width in aggregation buffers: these allow hash aggregation.
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def last_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last row of each key by `order`.
+    """Last row of each key by `order`, which must tell the rows of a key apart.
 
-    Spark applies the `<= 1` limit before the shuffle as well, so that a key with very many
-    versions sends one row per map task.
+    With one order column and values of fixed width this is a hash aggregate, elsewhere a ranked
+    window. Both reduce rows before the shuffle (the window because Spark applies the `<= 1`
+    limit there too), so a key with very many versions sends one row per map task.
     """
+    values = [c for c in rows.columns if c not in key]
+    fixed = all(isinstance(rows.schema[c].dataType, _FIXED) for c in values)
+    if len(order) == 1 and fixed and values != list(order):
+        last = [F.max_by(c, order[0]).alias(c) for c in values]
+        return rows.groupBy(*key).agg(*last).select(*rows.columns)
     newest = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
     return (
         rows.withColumn("_newest", F.row_number().over(newest))
