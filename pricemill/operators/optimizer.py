@@ -126,8 +126,12 @@ def _taken_steps(steps: DataFrame, room: DataFrame) -> tuple[DataFrame, DataFram
         .join(room, "category")
         .filter(F.col("_end") > F.col("room") + EPS)
     )
-    critical = ended.groupBy("category").agg(
-        F.max("_b").alias("_cb"), F.min(F.col("_end") - F.col("_s")).alias("_used")
+    # one row per category, written so that its size is known to the joins below
+    critical = staged(
+        ended.groupBy("category").agg(
+            F.max("_b").alias("_cb"), F.min(F.col("_end") - F.col("_s")).alias("_used")
+        ),
+        "critical",
     )
     placed = keyed.join(critical, "category", "left")
     above = placed.filter(F.col("_cb").isNull() | (F.col("_b") > F.col("_cb")))

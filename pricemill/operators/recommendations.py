@@ -14,6 +14,7 @@ from pricemill.functions.money import cents, from_cents
 from pricemill.operators.candidates import pricing_problems
 from pricemill.operators.optimizer import JointPrices, optimize_prices
 from pricemill.params import DEFAULT_POLICY, Policy
+from pricemill.session import staged
 from pricemill.sources.reference_data import with_elasticity
 
 JOINT_REASON = "Joint price for category %s: most profit within budget, margin and stock limits."
@@ -29,11 +30,12 @@ class Recommended(NamedTuple):
 def flagged_groups(analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flagged SKUs of categories with two or more of them, and those that stand alone.
 
-    Counts are aggregated and joined back; a window by category would gather it in one task.
+    Counts are aggregated, written (one row per category, so that their size is known to the
+    join) and joined back; a window by category would gather it in one task.
     """
     flagged = analysis.filter("needs_decision")
     sizes = flagged.groupBy("category").agg(F.count(F.lit(1)).alias("flagged_in_category"))
-    counted = flagged.join(sizes, "category")
+    counted = flagged.join(staged(sizes, "flagged"), "category")
     together = counted.filter("flagged_in_category >= 2")
     return together, counted.filter("flagged_in_category < 2")
 
@@ -65,10 +67,9 @@ def reject_insane(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def joint_problems(
-    analysis: DataFrame, elasticity: DataFrame, policy: Policy = DEFAULT_POLICY
+    together: DataFrame, elasticity: DataFrame, policy: Policy = DEFAULT_POLICY
 ) -> DataFrame:
-    """Pricing problems of the flagged SKUs that share a category."""
-    together, _ = flagged_groups(analysis)
+    """Pricing problems of the flagged SKUs that share a category, from their analysis rows."""
     rows = with_elasticity(together, elasticity, policy).select(
         "sku",
         "category",
@@ -82,9 +83,10 @@ def joint_problems(
 
 
 def recommend_jointly(
-    analysis: DataFrame, elasticity: DataFrame, policy: Policy = DEFAULT_POLICY
+    together: DataFrame, elasticity: DataFrame, policy: Policy = DEFAULT_POLICY
 ) -> Recommended:
-    joint = optimize_prices(joint_problems(analysis, elasticity, policy), policy=policy)
+    """Recommendations for flagged SKUs that share a category, from their analysis rows."""
+    joint = optimize_prices(joint_problems(together, elasticity, policy), policy=policy)
     facts = joint.problems.select("sku", "category", "cost_c", "current_c", "stock")
     rows = joint.prices.select("sku", "price_c").join(facts, "sku").withColumns(
         {

@@ -41,8 +41,7 @@ def no_suggestions(like: DataFrame) -> DataFrame:
 def run_summary(
     catalog: DataFrame, prices: DataFrame, analysis: DataFrame, results: DataFrame, run_id: str
 ) -> DataFrame:
-    """One row of counts per stage. Each part is a one-row aggregate, joined on the run id."""
-    run = F.lit(run_id).alias("run_id")
+    """One row of counts per stage, from one-row aggregates."""
     found = catalog.join(prices.select("sku"), "sku", "left_semi")
     parts = [
         catalog.agg(F.count(F.lit(1)).alias("skus_requested")),
@@ -54,11 +53,12 @@ def run_summary(
             F.count_if(F.col("outcome") == "queued_for_review").alias("queued_for_review"),
         ),
     ]
-    keyed = [p.select(run, "*") for p in parts]
-    whole = keyed[0]
-    for part in keyed[1:]:
-        whole = whole.join(part, "run_id")
-    return whole
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole.agg(
+        F.lit(run_id).alias("run_id"), *[F.max(c).alias(c) for c in whole.columns]
+    )
 
 
 def pricing_run(
@@ -74,8 +74,8 @@ def pricing_run(
     The analysis and the recommendations are written once, since several outputs read them.
     """
     analysis = staged(analyze_market(catalog, prices, policy), "analysis")
-    joint = recommend_jointly(analysis, elasticity, policy)
-    _, single = flagged_groups(analysis)
+    together, single = flagged_groups(analysis)
+    joint = recommend_jointly(together, elasticity, policy)
     alone = recommend_from_suggestions(
         single, suggestions if suggestions is not None else no_suggestions(catalog), policy
     )

@@ -255,7 +255,8 @@ def revenue_optimum_price(spark, folder):
 
 def _joint(spark, folder):
     a = staged(S.analysis(spark, folder), "analysis")
-    problems = recommendations.joint_problems(a, S.known_elasticity(spark, folder))
+    together, _ = recommendations.flagged_groups(a)
+    problems = recommendations.joint_problems(together, S.known_elasticity(spark, folder))
     return optimizer.optimize_prices(problems)
 
 
@@ -295,7 +296,8 @@ def tight_budget_prices(spark, folder):
 @query
 def joint_recommendations(spark, folder):
     a = staged(S.analysis(spark, folder), "analysis")
-    made = recommendations.recommend_jointly(a, S.known_elasticity(spark, folder))
+    together, _ = recommendations.flagged_groups(a)
+    made = recommendations.recommend_jointly(together, S.known_elasticity(spark, folder))
     return made.accepted
 
 
