@@ -113,9 +113,13 @@ def best_candidate(candidates: Column, current: Column) -> Column:
 
 
 def price_candidates(problems: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """One row per (product, candidate price)."""
+    """One row per (product, candidate price).
+
+    A grid is never empty. The outer form spares the emptiness filter that Spark would add, and
+    with it a second evaluation of the grid.
+    """
     return with_candidates(problems, policy).select(
-        "sku", "category", F.inline("candidates")
+        "sku", "category", F.inline_outer("candidates")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,45 +19,41 @@ def strategy_optimum(market_c: Column, cost_c: Column, elasticity: Column) -> Co
     return F.round(D.unconstrained_optimum(market_c, cost_c, elasticity)).cast("long")
 
 
-def guarded_follow(days: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Follow a target price day by day within the guardrails.
+def guarded_follow(
+    days: DataFrame, targets: Sequence[str] = ("target_c",), policy: Policy = DEFAULT_POLICY
+) -> DataFrame:
+    """Follow target prices day by day within the guardrails, each target on its own path.
 
-    days: sku, day, target_c, cost_c, start_c. Today's limits start from yesterday's clipped
+    days: sku, day, cost_c, start_c and the target columns, in cents. Adds `<target>_before` and
+    `<target>_price` to sku, day and the targets. Today's limits start from yesterday's clipped
     price, which no window frame can express, so each SKU's days are folded in order. A group is
     one row per calendar day of one SKU, hence bounded by the calendar and not by the data.
     """
 
     def next_day(acc: Column, d: Column) -> Column:
-        low, high = G.guard_bounds(acc["cost_c"], acc["price_c"], policy)
-        price = G.clip(d["target_c"], low, high)
-        return F.struct(
-            price.alias("price_c"),
-            acc["cost_c"].alias("cost_c"),
-            F.concat(
-                acc["path"],
-                F.array(
-                    F.struct(
-                        d["day"].alias("day"), acc["price_c"].alias("before_c"), price.alias("price_c")
-                    )
-                ),
-            ).alias("path"),
-        )
+        state, step = [], [d["day"].alias("day")]
+        for t in targets:
+            low, high = G.guard_bounds(acc["cost_c"], acc[t], policy)
+            price = G.clip(d[t], low, high)
+            state.append(price.alias(t))
+            step += [d[t].alias(t), acc[t].alias(f"{t}_before"), price.alias(f"{t}_price")]
+        path = F.concat(acc["path"], F.array(F.struct(*step)))
+        return F.struct(*state, acc["cost_c"].alias("cost_c"), path.alias("path"))
 
     day_type = days.schema["day"].dataType.simpleString()
+    step_type = ",".join(f"{t}:bigint,{t}_before:bigint,{t}_price:bigint" for t in targets)
     start = F.struct(
-        F.col("start_c").alias("price_c"),
-        F.col("cost_c").alias("cost_c"),
-        F.array()
-        .cast(f"array<struct<day:{day_type},before_c:bigint,price_c:bigint>>")
-        .alias("path"),
+        *[F.col("start_c").alias(t) for t in targets],
+        F.col("cost_c"),
+        F.array().cast(f"array<struct<day:{day_type},{step_type}>>").alias("path"),
     )
     per_sku = days.groupBy("sku").agg(
-        F.array_sort(F.collect_list(F.struct("day", "target_c"))).alias("days"),
+        F.array_sort(F.collect_list(F.struct("day", *targets))).alias("days"),
         F.first("cost_c").alias("cost_c"),
         F.first("start_c").alias("start_c"),
     )
     return per_sku.select(
-        "sku", F.inline(F.aggregate("days", start, next_day, lambda acc: acc["path"]))
+        "sku", F.inline_outer(F.aggregate("days", start, next_day, lambda acc: acc["path"]))
     )
 
 
@@ -124,34 +122,31 @@ def strategy_days(markets: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFr
     """Prices and units of the built-in strategies on recorded market days.
 
     markets: sku, day, market_c, our_c, cost_c, stock, elasticity, base_demand. Strategies:
-    static, match (the market price as it is), match_guarded, optimum.
+    static, match (the market price as it is), match_guarded, optimum. Both guarded paths come
+    from one fold.
     """
+    facts = ["our_c", "cost_c", "stock", "elasticity", "base_demand"]
     best = strategy_optimum(F.col("market_c"), F.col("cost_c"), F.col("elasticity"))
+    paths = guarded_follow(
+        markets.select(
+            "sku", "day", "market_c", best.alias("best_c"), "cost_c", F.col("our_c").alias("start_c")
+        ),
+        ("market_c", "best_c"),
+        policy,
+    )
+    products = markets.groupBy("sku").agg(*[F.first(c).alias(c) for c in facts])
 
-    def followed(target: Column, name: str) -> DataFrame:
-        days = markets.select(
-            "sku", "day", target.alias("target_c"), "cost_c", F.col("our_c").alias("start_c")
-        )
-        return guarded_follow(days, policy).select("sku", "day", F.col("price_c").alias(name))
-
-    def priced(name: str, price: Column) -> Column:
-        return F.struct(F.lit(name).alias("strategy"), price.cast("long").alias("price_c"))
-
-    rows = (
-        markets.join(followed(F.col("market_c"), "_guarded"), ["sku", "day"])
-        .join(followed(best, "_best"), ["sku", "day"])
-        .withColumn(
-            "_s",
-            F.explode(
-                F.array(
-                    priced("static", F.col("our_c")),
-                    priced("match", F.col("market_c")),
-                    priced("match_guarded", F.col("_guarded")),
-                    priced("optimum", F.col("_best")),
-                )
-            ),
-        )
-        .select("*", "_s.*")
+    def priced(name: str, price: str) -> Column:
+        return F.struct(F.lit(name).alias("strategy"), F.col(price).alias("price_c"))
+
+    strategies = F.array(
+        priced("static", "our_c"),
+        priced("match", "market_c"),
+        priced("match_guarded", "market_c_price"),
+        priced("optimum", "best_c_price"),
+    )
+    rows = paths.join(products, "sku").select(
+        "sku", "day", "market_c", *facts, F.inline_outer(strategies)
     )
     wanted = D.linear_demand(
         F.col("price_c"), F.col("market_c"), F.col("elasticity"), F.col("base_demand")

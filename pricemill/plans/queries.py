@@ -354,7 +354,8 @@ def listing_matches(spark, folder):
 
 
 def _ingested(spark, folder):
-    return ingestion.ingest_listings(S.listings(spark, folder), S.catalog(spark, folder))
+    received = staged(S.listings(spark, folder), "received")
+    return ingestion.ingest_listings(received, S.catalog(spark, folder))
 
 
 @query
@@ -492,7 +493,12 @@ def guarded_follow(spark, folder):
     days = S.market_days(spark, folder).select(
         "sku", "day", F.col("market_c").alias("target_c"), "cost_c", F.col("our_c").alias("start_c")
     )
-    return scorecard.guarded_follow(days)
+    return scorecard.guarded_follow(days).select(
+        "sku",
+        "day",
+        F.col("target_c_before").alias("before_c"),
+        F.col("target_c_price").alias("price_c"),
+    )
 
 
 @query
@@ -525,7 +531,8 @@ def price_moves(spark, folder):
 
 @query
 def strategy_scorecard(spark, folder):
-    return scorecard.scorecard(scorecard.strategy_days(S.market_days(spark, folder)))
+    days = staged(S.market_days(spark, folder), "market-days")
+    return scorecard.scorecard(scorecard.strategy_days(days))
 
 
 # --- streams -----------------------------------------------------------------------------

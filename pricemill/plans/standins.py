@@ -292,7 +292,7 @@ def audit_events(spark: SparkSession, folder: str) -> DataFrame:
     return _event_rows(spark, folder).select(
         "timestamp",
         "run_id",
-        F.inline(kinds),
+        F.inline_outer(kinds),
     ).withColumn("latency_ms", F.col("data.latency_ms"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pricemill import schemas
 from pricemill.params import DEFAULT_POLICY, Policy
+from pricemill.session import staged
 
 
 def write_elasticity(estimates: DataFrame, path: str) -> None:
@@ -29,9 +30,12 @@ def with_elasticity(
 ) -> DataFrame:
     """Adds `elasticity` by category, with the default for unknown categories.
 
-    No broadcast hint: Spark broadcasts the lookup when its measured size allows that.
+    No broadcast hint: the lookup is written first, so that Spark knows its size and broadcasts
+    it only below the session's limit.
     """
-    lookup = elasticity.select("category", F.col("elasticity").alias("_e"))
+    lookup = staged(
+        elasticity.select("category", F.col("elasticity").alias("_e")), "elasticity"
+    )
     return (
         rows.join(lookup, "category", "left")
         .withColumn("elasticity", F.coalesce("_e", F.lit(policy.default_elasticity)))
