@@ -1,7 +1,7 @@
 """Headline queries, timed: prints one JSON line.
 
 BENCH_SF_DIR: data folder (default sf0.1); BENCH_CPUS: local threads. Each query runs to the end
-of its plan with all columns computed, after one warm-up of the session.
+of its plan with all columns computed, after one run on the smallest folder as a warm-up.
 """
 
 from __future__ import annotations
@@ -48,8 +48,9 @@ def run(spark, name: str, folder: str) -> float:
 
 def main() -> None:
     spark = local_session(default_cpus(), memory="16g", app="bench")
-    for name in ("market_analysis", "listing_matches", "tight_budget_categories"):
-        run(spark, name, SMALL if os.path.isdir(SMALL) else FOLDER)
+    if os.path.isdir(SMALL):
+        for name in HEADLINE:
+            run(spark, name, SMALL)
     seconds = {}
     for name in HEADLINE:
         seconds[name] = round(run(spark, name, FOLDER), 3)

@@ -2,12 +2,15 @@
 
 Where the best price of every product fits the budget together, that is the optimum. Elsewhere:
 
-1. Each product's candidates are reduced to the steps of their upper hull in (spend, value).
+1. Candidates that another one of the same product beats in spend and value are dropped, and
+   the rest reduced to the steps of their upper hull in (spend, value).
 2. Steps are taken by value per spend until the budget is used up. This solves the linear
    relaxation, whose bound gives the largest possible shortfall (`gap`).
 3. A candidate whose price under the bound loses more than the gap cannot be part of any better
-   solution. Products with one surviving candidate are settled; the others, a small core, are
-   solved exactly. A core above the size limit keeps the solution of step 2 with its gap shown.
+   solution. Products with one surviving candidate are settled; of the others, the core, those
+   with the closest alternatives are solved again. Each round shrinks the gap, and with it the
+   core, until the core is solved whole: then the result is the optimum. What remains of the gap
+   after the last round is shown.
 
 The order of steps within a category is found from bucket sums, so no task sees a whole category.
 """
@@ -21,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricemill.functions.money import BP
 from pricemill.operators.candidates import best_candidate, with_candidates
@@ -30,12 +34,25 @@ from pricemill.session import staged
 # Ratio buckets per factor e, and hash slices of steps with one and the same ratio.
 RATIO_BUCKETS = 1000
 EQUAL_SLICES = 4096
-# A core with more candidates, or more partial solutions, than this keeps the stepwise solution.
-CORE_CANDIDATES = 2000
-CORE_STATES = 500_000
+# Open products of a category that are solved again together, partial solutions kept on the way,
+# and how often: a better solution closes the gap, which leaves fewer products open.
+CORE_PRODUCTS = 200
+CORE_STATES = 4000
+CORE_ROUNDS = 3
 # Amounts in cents below this count as equal.
 EPS = 1e-6
 
+CORE_RESULT = T.StructType(
+    [
+        T.StructField("category", T.StringType()),
+        T.StructField("sku", T.StringType()),
+        T.StructField("core_price_c", T.LongType()),
+        T.StructField("core_value", T.DoubleType()),
+        T.StructField("core_spend", T.DoubleType()),
+        T.StructField("complete", T.BooleanType()),
+    ]
+)
+
 STEP = "struct<ratio:double,dspend:double,dvalue:double,spend:double,value:double,price_c:bigint>"
 
 
@@ -60,6 +77,19 @@ def _cheapest(candidates: Column, current: Column) -> Column:
     )
 
 
+def _undominated(candidates: Column, current: Column) -> Column:
+    """Candidates that no other one beats in spend and value; equal ones by the tie rule."""
+
+    def beats(o: Column, c: Column) -> Column:
+        near_o, near_c = F.abs(o["price_c"] - current), F.abs(c["price_c"] - current)
+        same = (o["spend"] == c["spend"]) & (o["value"] == c["value"])
+        nearer = (near_o < near_c) | ((near_o == near_c) & (o["price_c"] < c["price_c"]))
+        better = (o["spend"] <= c["spend"]) & (o["value"] >= c["value"])
+        return better & (~same | nearer)
+
+    return F.filter(candidates, lambda c: ~F.exists(candidates, lambda o: beats(o, c)))
+
+
 def _hull_steps(candidates: Column, start: Column, points: int) -> Column:
     """Steps along the upper hull from `start`, steepest first."""
 
@@ -170,10 +200,11 @@ def _taken_steps(steps: DataFrame, room: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def solve_core(core: pd.DataFrame) -> pd.DataFrame:
-    """Exact choice for the few open products of one category.
+    """Best choice for the few open products of one category within their room.
 
     Partial solutions are extended product by product; one is dropped when another has no more
-    spend and no less value, or when its bound cannot reach the known solution.
+    spend and no less value, or when its bound cannot reach the known solution. Beyond
+    CORE_STATES of them only those with the best bounds go on, and the result is not `complete`.
     """
     room, lam, known = (float(core[c].iloc[0]) for c in ("core_room", "lam", "core_known"))
     options = [
@@ -191,19 +222,21 @@ def solve_core(core: pd.DataFrame) -> pd.DataFrame:
         least_after.append(least_after[-1] + float(spend.min()))
     best_after, least_after = best_after[::-1], least_after[::-1]
 
+    slack, complete = EPS * max(1.0, abs(known) * 1e-6), True
     used, gained, trail = np.zeros(1), np.zeros(1), []
     for i, (spend, value, _) in enumerate(options):
         w = (used[:, None] + spend).ravel()
         v = (gained[:, None] + value).ravel()
         reach = v + lam * (room - w) + best_after[i + 1]
-        keep = np.flatnonzero(
-            (w + least_after[i + 1] <= room + EPS) & (reach >= known - EPS * max(1.0, abs(known)))
-        )
+        keep = np.flatnonzero((w + least_after[i + 1] <= room + EPS) & (reach >= known - slack))
+        if not len(keep):
+            return pd.DataFrame(columns=CORE_RESULT.names)
         keep = keep[np.lexsort((-v[keep], w[keep]))]
         tops = np.maximum.accumulate(v[keep])
-        keep = keep[np.r_[True, v[keep][1:] > tops[:-1]]] if len(keep) else keep
-        if not 0 < len(keep) <= CORE_STATES:
-            return pd.DataFrame(columns=["category", "sku", "core_price_c", "core_value", "core_spend"])
+        keep = keep[np.r_[True, v[keep][1:] > tops[:-1]]]
+        if len(keep) > CORE_STATES:
+            keep = keep[np.argsort(-reach[keep], kind="stable")[:CORE_STATES]]
+            complete = False
         used, gained = w[keep], v[keep]
         trail.append(np.divmod(keep, len(spend)))
 
@@ -222,51 +255,90 @@ def solve_core(core: pd.DataFrame) -> pd.DataFrame:
             "core_price_c": [c[0] for c in chosen],
             "core_value": [c[1] for c in chosen],
             "core_spend": [c[2] for c in chosen],
+            "complete": complete,
         }
     )
 
 
-def _refined(stepwise: DataFrame, state: DataFrame) -> DataFrame:
-    """Exact solution of the cores on top of the stepwise one.
+def _refined(rows: DataFrame) -> DataFrame:
+    """Rows with the open products of each category solved again and `gap` brought up to date.
 
-    stepwise: one row per product with candidates and chosen price; state: category, lam, gap.
+    rows: one per product, with candidates, the choice so far (price_c, value, spend), and the
+    category's budget, lam and gap. At most CORE_PRODUCTS products per category are solved
+    again, those with the closest alternatives; when these are all the open ones, the result is
+    the optimum.
     """
     at_lam = lambda c: c["value"] - F.col("lam") * c["spend"]
-    top = F.array_max(F.transform("candidates", at_lam))
     margin = F.col("gap") * (1 + 1e-9) + EPS
+    top = F.array_max(F.transform("candidates", at_lam))
+    losses = _let(top, lambda best: F.transform("candidates", lambda c: best - at_lam(c)))
+    open_rows = (
+        rows.filter(F.col("gap") > EPS)
+        .withColumn("losses", F.array_sort(losses))
+        .withColumn("second", F.get("losses", F.lit(1)))
+        .filter(F.col("second") <= margin)
+    )
+    nearest = Window.partitionBy("category").orderBy("second", "sku")
     survivors = _let(
         top, lambda best: F.filter("candidates", lambda c: best - at_lam(c) <= margin)
     )
-    rows = stepwise.join(state, "category").withColumn("survivors", survivors)
-    open_row = F.size("survivors") > 1
-    cores = rows.groupBy("category").agg(
-        F.sum(F.when(open_row, F.size("survivors")).otherwise(0)).alias("core_size"),
-        (F.first("budget") - F.sum(F.when(open_row, 0.0).otherwise(F.col("spend")))).alias(
-            "core_room"
+    core = staged(
+        open_rows.withColumn("_n", F.row_number().over(nearest))
+        .filter(F.col("_n") <= CORE_PRODUCTS)
+        .select("category", "sku", "lam", "value", "spend", survivors.alias("survivors")),
+        "core",
+    )
+    whole = rows.groupBy("category").agg(
+        F.first("budget").alias("budget"), F.first("gap").alias("gap"), F.sum("spend").alias("all")
+    )
+    part = core.groupBy("category").agg(
+        F.sum("value").alias("core_known"),
+        F.sum("spend").alias("core_spent"),
+        F.count(F.lit(1)).alias("core_rows"),
+    )
+    opened = open_rows.groupBy("category").agg(F.count(F.lit(1)).alias("open_rows"))
+    state = staged(
+        part.join(whole, "category").join(opened, "category").select(
+            "category",
+            "core_known",
+            (F.col("budget") - F.col("all") + F.col("core_spent")).alias("core_room"),
+            (F.col("open_rows") == F.col("core_rows")).alias("all_open"),
+            "gap",
         ),
-        F.sum(F.when(open_row, F.col("value")).otherwise(0.0)).alias("core_known"),
-        F.first("gap").alias("_gap"),
+        "core-state",
     )
-    small = cores.filter(F.col("core_size").between(1, CORE_CANDIDATES) & (F.col("_gap") > EPS))
-    core = rows.filter(open_row).join(small.drop("_gap"), "category")
-    solved = core.groupBy("category").applyInPandas(
-        solve_core,
-        "category string, sku string, core_price_c bigint, core_value double, core_spend double",
+    solved = staged(
+        core.select("category", "sku", "lam", "survivors")
+        .join(state.select("category", "core_room", "core_known"), "category")
+        .groupBy("category")
+        .applyInPandas(solve_core, CORE_RESULT),
+        "core-solved",
+    )
+    gains = (
+        solved.groupBy("category")
+        .agg(F.sum("core_value").alias("_new"), F.first("complete").alias("_complete"))
+        .join(state, "category")
+        .select(
+            "category",
+            F.when(F.col("_complete") & F.col("all_open"), 0.0)
+            .otherwise(F.greatest(F.lit(0.0), F.col("gap") - (F.col("_new") - F.col("core_known"))))
+            .alias("_gap"),
+        )
     )
-    done = solved.groupBy("category").agg(F.lit(True).alias("exact"))
     return (
-        rows.join(solved, ["category", "sku"], "left")
-        .join(done, "category", "left")
+        rows.join(solved.drop("complete"), ["category", "sku"], "left")
+        .join(staged(gains, "gains"), "category", "left")
         .select(
             "sku",
             "category",
             "current_c",
+            "candidates",
+            "budget",
+            "lam",
             F.coalesce("core_price_c", "price_c").alias("price_c"),
             F.coalesce("core_value", "value").alias("value"),
             F.coalesce("core_spend", "spend").alias("spend"),
-            F.when(F.col("exact") | (F.col("gap") <= EPS), 0.0)
-            .otherwise(F.col("gap"))
-            .alias("gap"),
+            F.coalesce("_gap", F.when(F.col("gap") > EPS, F.col("gap")).otherwise(0.0)).alias("gap"),
         )
     )
 
@@ -307,11 +379,21 @@ def _limits(problems: DataFrame, budgets: DataFrame | None, policy: Policy) -> D
 
 def _within_budget(bound: DataFrame, limits: DataFrame, policy: Policy) -> DataFrame:
     """Prices of the categories whose budget binds. bound: scored rows with their budget."""
-    started = bound.withColumn("_start", _cheapest(F.col("candidates"), F.col("current_c")))
+    useful = staged(
+        bound.select(
+            "sku",
+            "category",
+            "current_c",
+            "budget",
+            _undominated(F.col("candidates"), F.col("current_c")).alias("candidates"),
+        ),
+        "useful",
+    )
+    started = useful.withColumn("_start", _cheapest(F.col("candidates"), F.col("current_c")))
     walked = staged(
         started.withColumn(
             "steps", _hull_steps(F.col("candidates"), F.col("_start"), policy.grid_points)
-        ).select("sku", "category", "current_c", "candidates", "budget", "_start", "steps"),
+        ),
         "hull",
     )
     steps = walked.select("category", "sku", F.posexplode("steps").alias("k", "_s")).select(
@@ -344,7 +426,12 @@ def _within_budget(bound: DataFrame, limits: DataFrame, policy: Policy) -> DataF
             (F.coalesce("lam", F.lit(0.0)) * F.col("_left")).alias("gap"),
         )
     )
-    return staged(_refined(stepwise, staged(state, "bounds")), "joint")
+    chosen = stepwise.join(staged(state, "bounds"), "category")
+    for _ in range(CORE_ROUNDS):
+        chosen = staged(_refined(chosen), "joint")
+        if chosen.filter(F.col("gap") > EPS).isEmpty():
+            break
+    return chosen.select("sku", "category", "current_c", "price_c", "value", "spend", "gap")
 
 
 def optimize_prices(
