@@ -131,8 +131,10 @@ def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     windows = _windows(candidates, run)
     place = F.struct("doc", "row_no", "start")
     owners = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join deals out both of its sides itself and can split a frequent window
+    owners = staged(owners.drop("n"), "line-owners")
     repeated = (
-        windows.join(owners.drop("n"), ["h1", "h2"])
+        windows.join(owners, ["h1", "h2"])
         .where(place > F.col("first"))
         .groupBy("row_no")
         .agg(F.collect_list("start").alias("starts"))
