@@ -162,8 +162,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
 
 def _features(sample: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+    shared = sample.sparkSession.sparkContext.broadcast((good, bad))
+
     def make(batches) -> Iterator[dict]:
-        features = size_features(good, bad)
+        features = size_features(*shared.value)
         for b in batches:
             yield {
                 "doc_id": b.column("doc_id"),
@@ -196,8 +198,11 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     rows and null ids are scored like any other row.
     """
 
+    # the dictionaries go to each executor once, not with every task
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def make(batches) -> Iterator[dict]:
-        score = _scorer(model)
+        score = _scorer(shared.value)
         for b in batches:
             found = score(b.column("text").to_pylist())
             yield {"doc_id": b.column("doc_id"), "score": found, "predicted": (found >= THRESHOLD).astype("int32")}
@@ -209,10 +214,12 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows of `docs` that are predicted good, with all their columns."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches):
         import pyarrow as pa
 
-        score = _scorer(model)
+        score = _scorer(shared.value)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
