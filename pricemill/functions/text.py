@@ -46,6 +46,7 @@ def signed_tenths_text(tenths: Column) -> Column:
 
 def market_note(gap_num: Column, gap_den: Column, trend: Column) -> Column:
     """'Overpriced vs market by 3.4%, trend +1.2%' from an exact gap fraction and a trend."""
+    # fixed values: the words of the note
     side = F.when(gap_num > 0, "Overpriced").otherwise("Underpriced")
     gap = percent_text(half_up(F.abs(gap_num) * 1000, gap_den))
     trend_tenths = F.round(trend * F.lit(1000.0)).cast("long")

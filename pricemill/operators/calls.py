@@ -21,23 +21,29 @@ def with_cost(calls: DataFrame, in_rate: float, out_rate: float) -> DataFrame:
 def within_budget(
     calls: DataFrame, in_rate: float, out_rate: float, policy: Policy = DEFAULT_POLICY
 ) -> DataFrame:
-    """Calls made before the run reached its call or cost limit.
+    """Attempts made before the run reached its call or cost limit.
 
-    Only the first `max_calls` of a run can pass, and Spark keeps no more than that per map task
-    ahead of the shuffle, so the running cost is never summed over an unbounded run.
+    Only attempts with a reply (`tokens_in` not null) count as calls and cost anything; one without a
+    reply passes as long as the limits hold. At most `max_calls` replies of a run decide where it
+    stops, and Spark keeps no more than that per map task ahead of the shuffle.
     """
     order = Window.partitionBy("run_id").orderBy("seq")
-    first = (
-        calls.withColumn("_n", F.row_number().over(order))
+    replies = (
+        calls.filter(F.col("tokens_in").isNotNull())
+        .withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= policy.max_calls)
-        .drop("_n")
+    )
+    spent = with_cost(replies, in_rate, out_rate).withColumn("_spent", F.sum("cost_usd").over(order))
+    # the reply that reaches a limit is the last attempt of its run
+    reached = (F.col("_n") == policy.max_calls) | (F.col("_spent") >= policy.max_cost_usd)
+    stops = spent.filter(reached).groupBy("run_id").agg(F.min("seq").alias("_stop"))
+    made = calls.join(stops, "run_id", "left").filter(
+        F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop"))
     )
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0))
     return (
-        with_cost(first, in_rate, out_rate)
-        .withColumn("spent_before", spent)
-        .filter(F.col("spent_before") < policy.max_cost_usd)
+        with_cost(made.drop("_stop"), in_rate, out_rate)
+        .withColumn("spent_before", F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0)))
     )
 
 
@@ -69,17 +75,28 @@ def call_stats(
     asked = requests.select("run_id", "request_key") if requests is not None else (
         per_request.select("run_id", "request_key")
     )
+    # a request without any attempt in the log was stopped by the budget: it was made, but has no
+    # result; one whose attempts all failed is answered by rule
     outcomes = (
-        asked.groupBy("run_id")
-        .agg(F.count(F.lit(1)).alias("generate_attempts"))
+        asked.join(per_request, ["run_id", "request_key"], "left")
+        .groupBy("run_id")
+        .agg(
+            F.count(F.lit(1)).alias("generate_attempts"),
+            F.count("answered").alias("generate_successes"),
+        )
         .join(
             per_request.groupBy("run_id").agg(
                 F.count_if(~F.col("answered")).alias("rule_fallback_used")
             ),
             "run_id",
-            "left",
+            "full",
+        )
+        .withColumns(
+            {
+                c: F.coalesce(c, F.lit(0)).alias(c)
+                for c in ("generate_attempts", "generate_successes", "rule_fallback_used")
+            }
         )
-        .withColumn("generate_successes", F.col("generate_attempts"))
     )
     models = (
         calls.filter("ok")
@@ -98,6 +115,10 @@ def call_stats(
     return (
         outcomes.join(totals, "run_id", "left")
         .join(models, "run_id", "left")
+        .withColumn(
+            "models_used",
+            F.coalesce("models_used", F.create_map().cast("map<string,bigint>")),
+        )
         .join(p50, "run_id", "left")
     )
 

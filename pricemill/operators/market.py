@@ -78,6 +78,7 @@ def analyze_market(
     cost_total = F.col("unit_cost") * F.col("n")
     room = (gap_num <= 0) | G.keeps_margin(total, cost_total, policy)
     average = half_up(total, F.nullif(F.col("n"), F.lit(0)))
+    # fixed value: the note of a product without a market
     note = F.when(has_market, text.market_note(gap_num, gap_den, F.col("trend"))).otherwise(
         "No in-stock competitor prices available"
     )

@@ -65,7 +65,7 @@ def run_metrics(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame
     success = F.coalesce("data.success", F.lit(False)).cast("double")
 
     def total(keep) -> Column:
-        return F.coalesce(F.sum(F.size(F.filter(recs, keep))), F.lit(0))
+        return F.coalesce(F.sum(F.array_size(F.filter(recs, keep))), F.lit(0))
 
     return events.groupBy("run_id").agg(
         F.round(F.avg(F.when(_is("tool"), success)), 6).alias("tool_success_rate"),

@@ -563,8 +563,9 @@ ORACLES: dict[str, str] = {
     "call_costs": _q(CALLS, f"SELECT run_id, seq, round({COST}, 6) AS cost_usd FROM calls"),
     "call_stats": _q(
         CALLS + f""",
-        asked AS (SELECT run_id, count(*) AS n FROM requests GROUP BY run_id),
         answered AS (SELECT run_id, request_key, bool_or(ok) AS a FROM calls GROUP BY ALL),
+        asked AS (SELECT run_id, count(*) AS n, count(a) AS done FROM requests LEFT JOIN answered
+          USING (run_id, request_key) GROUP BY run_id),
         ruled AS (SELECT run_id, count(*) FILTER (NOT a) AS r FROM answered GROUP BY run_id),
         used AS (SELECT run_id, string_agg(model || '=' || CAST(c AS VARCHAR), ',' ORDER BY model) AS models_used
           FROM (SELECT run_id, model, count(*) AS c FROM calls WHERE ok GROUP BY ALL) GROUP BY run_id),
@@ -572,18 +573,19 @@ ORACLES: dict[str, str] = {
           count(*) FILTER (ok AND model_rank > 0) AS fallback_model_used, CAST(sum(tokens_in) AS BIGINT) AS input_tokens,
           CAST(sum(tokens_out) AS BIGINT) AS output_tokens, round(sum({COST}), 6) AS estimated_cost_usd,
           list_sort(list(latency_ms) FILTER (tokens_in IS NOT NULL)) AS lat FROM calls GROUP BY run_id)""",
-        """SELECT run_id, n AS generate_attempts, n AS generate_successes, r AS rule_fallback_used, llm_calls, retries,
+        """SELECT run_id, n AS generate_attempts, done AS generate_successes, r AS rule_fallback_used, llm_calls, retries,
           fallback_model_used, input_tokens, output_tokens, estimated_cost_usd, models_used,
           lat[len(lat) // 2 + 1] AS latency_p50_ms
           FROM asked JOIN ruled USING (run_id) JOIN used USING (run_id) JOIN sums USING (run_id)""",
     ),
     "budget_cutoff": _q(
         CALLS + f""",
-        spent AS (SELECT run_id, seq, row_number() OVER w AS i,
+        spent AS (SELECT run_id, seq, count(tokens_in) OVER (PARTITION BY run_id ORDER BY seq
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS i,
           coalesce(sum({COST}) OVER (PARTITION BY run_id ORDER BY seq
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before
-          FROM calls WINDOW w AS (PARTITION BY run_id ORDER BY seq))""",
-        "SELECT run_id, seq, round(before, 6) AS spent_before FROM spent WHERE i <= 100 AND before < 1e0",
+          FROM calls)""",
+        "SELECT run_id, seq, round(before, 6) AS spent_before FROM spent WHERE i < 100 AND before < 1e0",
     ),
     "answered_requests": _q(
         CALLS,

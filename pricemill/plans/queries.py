@@ -600,21 +600,23 @@ def stream_price_feed(spark, folder):
         "arrived_at",
     )
     table = price_feed.PriceTable(spark, _folder(spark, "prices"))
-    q = price_feed.maintain_prices(feed, table, _folder(spark, "prices-state"), "3650 days")
+    q = price_feed.maintain_prices(feed, table, _folder(spark, "prices-state"))
     q.awaitTermination()
     return table.read().select("sku", "competitor", "price", "in_stock", "date")
 
 
 @query
 def stream_approvals_resolved(spark, folder):
-    """Answered and expired items of the queue stream, earliest answer each.
+    """All items of the queue, earliest answer each.
 
-    Items whose time limit the watermark has not passed at the end of the input stay open and
-    are not part of the result.
+    Items whose time limit the watermark has not passed at the end of the stream are pending.
     """
-    events = _stream(spark, folder, "events").select(
+    item = (
         F.concat(F.lit("r"), (F.col("user_id") % 20).cast("string")).alias("run_id"),
         F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("sku"),
+    )
+    events = _stream(spark, folder, "events").select(
+        *item,
         F.col("ts").cast("timestamp").alias("at"),
         "event_type",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
@@ -628,7 +630,10 @@ def stream_approvals_resolved(spark, folder):
     )
     resolved = stream_approvals.resolve_stream(pending, decisions)
     done = _run_to_parquet(resolved, spark, "approvals")
-    return stream_approvals.first_answers(done).select("run_id", "sku", "outcome")
+    closed = stream_approvals.first_answers(done).select("run_id", "sku", "outcome")
+    queue = S.table(spark, folder, "events").select(*item)
+    outcome = F.coalesce("outcome", F.lit("pending")).alias("outcome")
+    return queue.join(closed, ["run_id", "sku"], "left").select("run_id", "sku", outcome)
 
 
 @cache

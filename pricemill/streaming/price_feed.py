@@ -1,4 +1,4 @@
-"""Price points that arrive over time: exact repeats dropped, corrections win by arrival."""
+"""Price points that arrive over time: the last arrival per key wins, whatever order rows come in."""
 
 from __future__ import annotations
 
@@ -13,13 +13,13 @@ from pricemill.sources.snapshots import PRICE_KEY, last_per_key
 
 
 def deduplicated(feed: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Stream without rows that repeat an earlier row in all columns.
+    """Stream without rows that repeat an earlier row in all columns, its arrival included.
 
-    feed: price columns and `arrived_at` (timestamp). Rows that arrive later than `lateness`
-    behind the newest are dropped with the state that would recognize them.
+    feed: price columns and `arrived_at` (timestamp). A value that comes back with a new arrival is a
+    correction and stays. Rows that arrive later than `lateness` behind the newest are dropped with
+    the state that would recognize them.
     """
-    same = [c for c in feed.columns if c != "arrived_at"]
-    return feed.withWatermark("arrived_at", lateness).dropDuplicatesWithinWatermark(same)
+    return feed.withWatermark("arrived_at", lateness).dropDuplicatesWithinWatermark(feed.columns)
 
 
 def latest_points(batch: DataFrame) -> DataFrame:
@@ -51,14 +51,14 @@ class PriceTable:
         return compacted
 
 
-def maintain_prices(
-    feed: DataFrame, table: PriceTable, checkpoint: str, lateness: str = "1 day"
-) -> StreamingQuery:
-    """Runs the feed into the snapshot table until the available input is used up."""
+def maintain_prices(feed: DataFrame, table: PriceTable, checkpoint: str) -> StreamingQuery:
+    """Runs the feed into the snapshot table until the available input is used up.
+
+    The table keeps the last arrival per key, so repeats and late rows need no state to be told apart.
+    """
     write: Callable[[DataFrame, int], None] = table.apply
     return (
-        deduplicated(feed, lateness)
-        .writeStream.foreachBatch(write)
+        feed.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -185,6 +185,26 @@ def test_budget_stops_at_calls_and_at_cost(spark):
     assert calls.within_budget(many, 0.0, 0.0, Policy(max_calls=7)).count() == 7
 
 
+def test_budget_counts_replies_only(spark):
+    lost = [(i, "a", "m", 0, 1, False, None, None, 1) for i in range(150)]
+    replies = [(150 + i, "a", "m", 0, 1, True, 1000, 0, 1) for i in range(130)]
+    rows = calls.within_budget(call_rows(spark, *lost, *replies), 0.0, 0.0)
+    assert rows.count() == 250 and rows.agg({"seq": "max"}).first()[0] == 249
+    costly = calls.within_budget(call_rows(spark, *lost, *replies), 125.0, 0.0)
+    assert costly.count() == 158
+
+
+def test_stopped_request_and_run_without_requests(spark):
+    c = call_rows(spark, (1, "a", "m0", 0, 1, False, None, None, 5))
+    requests = spark.createDataFrame([("r", 0, "a"), ("r", 1, "never"), ("q", 2, "b")], schemas.REQUESTS)
+    found = {r.run_id: r for r in calls.call_stats(c, requests).collect()}
+    assert (found["r"].generate_attempts, found["r"].generate_successes) == (2, 1)
+    assert (found["q"].generate_attempts, found["q"].generate_successes) == (1, 0)
+    assert found["r"].models_used == {}
+    alone = calls.call_stats(c, requests.filter("run_id = 'q'")).collect()
+    assert {r.run_id for r in alone} == {"q", "r"}
+
+
 def test_medians(spark, rows):
     v = spark.createDataFrame(
         [("a", x) for x in (1.0, 5.0, 2.0)] + [("b", x) for x in (4.0, 1.0, 1.0, 9.0)] + [("c", -1e9), ("c", 1e9)],

@@ -139,6 +139,20 @@ def test_price_feed_stream_equals_batch(spark, rows, tmp_path):
     assert rows(price_feed.latest_positions(table.read()), "competitor", "price") == [("x", 12.0), ("y", 20.0)]
 
 
+def test_value_that_comes_back_is_the_latest(spark, rows, tmp_path):
+    schema = "sku string, competitor string, price double, in_stock boolean, date date, arrived_at timestamp"
+    values = [(10.0, 0), (12.0, 1), (10.0, 2), (10.0, 2)]
+    feed = [("A", "x", p, True, DAY, dt.datetime(2026, 1, 1, 0, m)) for p, m in values]
+    _files(spark, spark.createDataFrame(feed, schema), f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    table = price_feed.PriceTable(spark, f"{tmp_path}/table")
+    price_feed.maintain_prices(stream, table, f"{tmp_path}/state").awaitTermination()
+    assert rows(table.read(), "price") == [(10.0,)]
+    kept = price_feed.deduplicated(stream).writeStream.format("memory").queryName("kept").trigger(availableNow=True)
+    kept.start().awaitTermination()
+    assert spark.table("kept").count() == 3
+
+
 def test_approval_stream_times_out(spark, rows, tmp_path):
     t = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
     pending = [("r", s, t(0)) for s in ("yes", "no", "late", "none")] + [("r", "marker", t(9000))]
