@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricemill.llm.common import crc_part, map_batches
+from pricemill.session import staged
 
 #: Labelled rows of each class that make its dictionary, and characters taken from each of them.
 DICTIONARY_ROWS, SLICE = 4000, 1000
@@ -123,7 +124,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
         F.min("quality").cast("int").alias("quality")
     )
     # labels without a document are no examples; both sides are narrow
-    known = own.join(docs.where(F.col("text").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
+    known = staged(
+        own.join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi"), "labelled"
+    )
     totals = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         share = totals.get(1, 0) / max(1, sum(totals.values())) if totals else 0.5

@@ -328,7 +328,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
     open_pairs = pairs.join(nearest, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(apart)
     more = staged(_verified(open_pairs.select("a", "b"), words), "verified-too")
-    return components(sure.union(more)).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
+    found = labels if more.isEmpty() else components(sure.union(more))
+    return found.select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
