@@ -123,6 +123,8 @@ def links(nodes: DataFrame, few: int = FEW) -> DataFrame:
     `nodes` has one row per kind of fingerprint `which` (below 256) and distinct fingerprint `fp`; only
     fingerprints of one kind are compared. Edges are pairs within three bits, or, for
     variants shared by more than `few` nodes, pairs that a chain of such steps connects.
+    Joins on variants and centres are merge joins: Spark does not count the rows that an explode adds, so
+    it would take 64 or 2,081 rows per node for the size of the nodes and broadcast them.
     """
     kind = F.shiftleft(F.col("which").cast("long"), SEGMENT + 6)
     keyed = nodes.select("which", "fp", F.explode(_variants()).alias("variant")).select(
@@ -136,7 +138,7 @@ def links(nodes: DataFrame, few: int = FEW) -> DataFrame:
     )
     of_key = F.shiftrightunsigned("key", SEGMENT + 6).cast("int").alias("which")
     pairs = shared.where((F.col("n") == 2) & (_distance(F.col("a"), F.col("b")) <= MAX_DIFFERENT)).select(of_key, "a", "b")
-    members = keyed.join(shared.where("n > 2").select("key", "n"), "key")
+    members = keyed.hint("merge").join(shared.where("n > 2").select("key", "n"), "key")
     groups = members.where(F.col("n") <= few).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     near = F.flatten(
         F.transform(
@@ -165,7 +167,7 @@ def _centre_links(nodes: DataFrame) -> DataFrame:
         )
 
     near = around(1).groupBy("which", "centre").agg(F.min("fp").alias("a"))
-    return around(2).join(near, ["which", "centre"]).where("fp <> a").select("which", "a", F.col("fp").alias("b"))
+    return around(2).hint("merge").join(near, ["which", "centre"]).where("fp <> a").select("which", "a", F.col("fp").alias("b"))
 
 
 def fingerprint_groups(docs: DataFrame, width: int = 3) -> DataFrame:
