@@ -109,14 +109,6 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _flips(radius: int) -> list[int]:
-    """All patterns of at most `radius` bits, as signed 64-bit numbers."""
-    from itertools import combinations
-
-    patterns = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(BITS), r)]
-    return [p - (1 << 64) if p >= 1 << 63 else p for p in patterns]
-
-
 def links(nodes: DataFrame, few: int = FEW) -> DataFrame:
     """Edges (which, a, b) that connect exactly what distances of at most three bits connect.
 
@@ -161,10 +153,13 @@ def _centre_links(nodes: DataFrame) -> DataFrame:
     """Links of nodes through centres within one bit of one and two bits of the other."""
 
     def around(radius: int) -> DataFrame:
-        flips = F.array(*[F.lit(p).cast("long") for p in _flips(radius)])
-        return nodes.select("which", "fp", F.explode(flips).alias("flip")).select(
-            "which", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre")
-        )
+        # no bit (-1), or bit i alone, or bits i < j
+        first = nodes.select("which", "fp", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("i"))
+        last = F.when(F.col("i") >= 0, F.lit(BITS - 1)).otherwise(F.col("i")) if radius == 2 else F.col("i")
+        both = first.select("which", "fp", "i", F.explode(F.sequence(F.col("i"), last)).alias("j"))
+        one = F.expr("CASE WHEN i >= 0 THEN shiftleft(1L, i) ELSE 0L END")
+        other = F.expr("CASE WHEN j > i THEN shiftleft(1L, j) ELSE 0L END")
+        return both.select("which", "fp", F.col("fp").bitwiseXOR(one).bitwiseXOR(other).alias("centre"))
 
     near = around(1).groupBy("which", "centre").agg(F.min("fp").alias("a"))
     return around(2).hint("merge").join(near, ["which", "centre"]).where("fp <> a").select("which", "a", F.col("fp").alias("b"))
