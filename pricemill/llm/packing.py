@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,23 +24,25 @@ END_ID = 1
 #: Buckets of the hashed vector, dimensions of the curve and bits per dimension (a place has 60 bits).
 BUCKETS, DIMENSIONS, DEPTH = 256, 4, 15
 SEED = 11
-#: Words whose ids a worker remembers; beyond that it starts anew.
+#: Parts of words whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def word_encoder(tokenizer_file: str):
-    """A function from text to the bytes of its ids (little-endian, 16 bits each).
+def batch_encoder(tokenizer_file: str):
+    """A function from an Arrow array of texts to the ids of all of them and the places where each text's ids end.
 
     The vocabulary drops white space and never joins across it, so the ids of a text are those of
-    its blank-separated words in turn. Ids of words already seen are remembered. Plain words with
-    common punctuation at the end are sent to the model in two parts, everything else goes through the
-    whole tokenizer.
+    its blank-separated words in turn. Each different word of a batch is looked up once. Plain words with
+    common punctuation at the end are sent to the model in two parts, whose ids are remembered; everything
+    else goes through the whole tokenizer, Unicode blanks and separators inside a word included.
     """
     import os
-    import re
+    import string
     from array import array
 
+    import pyarrow.compute as pc
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
@@ -46,49 +50,51 @@ def word_encoder(tokenizer_file: str):
     tokenizer = Tokenizer.from_file(tokenizer_file)
     model = tokenizer.model
     byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
-    letters = "".join(map(chr, (*range(0xE0, 0xF7), *range(0xF8, 0x100))))
-    in_bytes = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in letters}
-    plain = re.compile(r"([A-Za-zà-öø-ÿÀ-ÖØ-Þ]+)([.,!?;:*%$&#]*)").fullmatch
-
-    def packed(ids) -> bytes:
-        return array("H", ids).tobytes()
-
-    def piece(part: str) -> bytes:
-        return packed(t.id for t in model.tokenize(part))
-
-    stems: dict[str, bytes] = {}
-
-    class Memory(dict):
-        def __missing__(self, word: str) -> bytes:
-            found = plain(word)
-            if found:
-                stem, tail = found[1].lower(), found[2]
-                ids = stems.get(stem)
-                if ids is None:
-                    if len(stems) >= REMEMBERED:
-                        stems.clear()
-                    ids = stems[stem] = piece(stem.translate(in_bytes))
-                if tail:
-                    other = stems.get(tail)
-                    if other is None:
-                        other = stems[tail] = piece(tail)
-                    ids = ids + other
-            else:
-                ids = packed(tokenizer.encode(word, add_special_tokens=False).ids)
+    accented = "".join(map(chr, (*range(0xE0, 0xF7), *range(0xF8, 0xFF))))
+    in_bytes = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in accented}
+    latin = string.ascii_letters + accented + accented.upper()
+    marks = ".,!?;:*%$&#"
+
+    class Parts(dict):
+        """Ids of a lower-case stem or of punctuation, as bytes."""
+
+        def __missing__(self, part: str) -> bytes:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[word] = ids
+            known = part if part.isascii() else part.translate(in_bytes)
+            ids = self[part] = array("H", [t.id for t in model.tokenize(known)]).tobytes()
             return ids
 
-    memory = Memory()
-    separators = re.compile("[\x1c-\x1f]").search
-
-    def encode(text: str) -> bytes:
-        # str.split() parts at Unicode blanks, which the tokenizer drops as well, and at four
-        # separators, which it does not
-        if separators(text):
-            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(memory.__getitem__, text.split()))
+    parts = Parts({"": b""})
+
+    def parted(words: pa.Array):
+        """Ids of the parts of different words, and which two parts make each word."""
+        stems = pc.utf8_rtrim(words, characters=marks)
+        plain = pc.match_substring_regex(stems, f"^[{latin}]+$")
+        stems = pc.utf8_lower(stems.filter(plain)).dictionary_encode()
+        tails = pc.utf8_ltrim(words.filter(plain), characters=latin).dictionary_encode()
+        others = tokenizer.encode_batch_fast(words.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)
+        ids = [b"", *map(parts.__getitem__, stems.dictionary.to_pylist() + tails.dictionary.to_pylist())]
+        plain = plain.to_numpy(zero_copy_only=False)
+        made_of = np.zeros((len(words), 2), np.int64)
+        made_of[plain, 0] = stems.indices.to_numpy() + 1
+        made_of[plain, 1] = tails.indices.to_numpy() + 1 + len(stems.dictionary)
+        made_of[~plain, 0] = np.arange(len(others)) + len(ids)
+        return ids + [array("H", o.ids).tobytes() for o in others], made_of
+
+    def encode(texts: pa.Array):
+        # a text that begins or ends with a blank, or has no word, has empty words there
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = split.flatten().dictionary_encode()
+        own, made_of = parted(words.dictionary)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 2
+        begins = np.cumsum(sizes) - sizes
+        # the two parts of each word in turn; each id is at the begin of its part plus its place in the part
+        used = made_of[words.indices.to_numpy()].ravel()
+        ends = np.concatenate(([0], np.cumsum(sizes[used])))
+        shift = np.repeat(begins[used] - ends[:-1], sizes[used])
+        ids = np.frombuffer(b"".join(own), "<u2")[shift + np.arange(len(shift))]
+        return ids, ends[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())]
 
     return encode
 
@@ -98,8 +104,6 @@ def hilbert_index(coordinates, depth: int):
 
     Skilling's transformation (2004) from coordinates to the transposed index, then bits interleaved.
     """
-    import numpy as np
-
     x = coordinates.astype(np.int64).T.copy()
     dims = len(x)
     q = 1 << (depth - 1)
@@ -130,9 +134,7 @@ def curve_places(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """(doc_id, place, ids) per row of `docs` (doc_id, text): ids with the end id, 16 bits each."""
 
     def make(batches) -> Iterator[dict]:
-        import numpy as np
-
-        encode = word_encoder(tokenizer_file)
+        encode = batch_encoder(tokenizer_file)
         rng = np.random.default_rng(SEED)
         # ids are hashed to a bucket and a sign, buckets are projected to the curve's dimensions
         bucket = rng.integers(0, BUCKETS, 1 << 16)
@@ -140,11 +142,11 @@ def curve_places(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         project = rng.normal(size=(BUCKETS, DIMENSIONS))
         end = END_ID.to_bytes(2, "little")
         for b in batches:
-            ids = [encode(t or "") for t in b.column("text").to_pylist()]
+            ids, ends = encode(b.column("text"))
+            ids = [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
             vectors = np.zeros((len(ids), BUCKETS))
             for row, own in enumerate(ids):
-                number = np.frombuffer(own, "<u2")
-                vectors[row] = np.bincount(bucket[number], weights=sign[number], minlength=BUCKETS)
+                vectors[row] = np.bincount(bucket[own], weights=sign[own], minlength=BUCKETS)
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             spread = (vectors / np.maximum(norms, 1e-12)) @ project
             # projections of unit vectors are about normal: three deviations to each side make the cube
@@ -152,7 +154,7 @@ def curve_places(docs: DataFrame, tokenizer_file: str) -> DataFrame:
             yield {
                 "doc_id": b.column("doc_id"),
                 "place": hilbert_index(cells, DEPTH),
-                "ids": [own + end for own in ids],
+                "ids": [own.tobytes() + end for own in ids],
             }
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -168,7 +170,6 @@ def pack_ranges(places: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def make(batches) -> Iterator[dict]:
         import zlib
-        from array import array
 
         from pyspark import TaskContext
 
@@ -179,7 +180,7 @@ def pack_ranges(places: DataFrame, length: int = LENGTH) -> DataFrame:
         filled = 0
 
         def crc(ids) -> int:
-            return zlib.crc32(array("I", array("H", ids)).tobytes())
+            return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4"))
 
         def full(pieces, number):
             offset = 0
