@@ -109,6 +109,19 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _met_first(a: Column, b: Column, key: Column) -> Column:
+    """Whether `key` is the first variant that a and b share, so that a pair is named once and not under up to 64 keys.
+
+    A shared variant of a segment wipes the one bit that differs; equal segments share all, the first of which counts.
+    The second segment counts only where the first one differs in more than one bit.
+    """
+    differ, place = a.bitwiseXOR(b), F.shiftrightunsigned(key, SEGMENT).bitwiseAND(F.lit(BITS - 1))
+    low, high = differ.bitwiseAND(F.lit(2**SEGMENT - 1)), F.shiftrightunsigned(differ, SEGMENT)
+    in_low = (place < SEGMENT) & ((low != 0) | (place == 0))
+    in_high = (place >= SEGMENT) & (F.bit_count(low) > 1) & ((high != 0) | (place == SEGMENT))
+    return in_low | in_high
+
+
 def links(nodes: DataFrame, few: int = FEW) -> DataFrame:
     """Edges (which, a, b) that connect exactly what distances of at most three bits connect.
 
@@ -129,14 +142,15 @@ def links(nodes: DataFrame, few: int = FEW) -> DataFrame:
         "variants",
     )
     of_key = F.shiftrightunsigned("key", SEGMENT + 6).cast("int").alias("which")
-    pairs = shared.where((F.col("n") == 2) & (_distance(F.col("a"), F.col("b")) <= MAX_DIFFERENT)).select(of_key, "a", "b")
+    a, b, key = F.col("a"), F.col("b"), F.col("key")
+    pairs = shared.where((F.col("n") == 2) & (_distance(a, b) <= MAX_DIFFERENT) & _met_first(a, b, key)).select(of_key, a, b)
     members = keyed.hint("merge").join(shared.where("n > 2").select("key", "n"), "key")
     groups = members.where(F.col("n") <= few).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     near = F.flatten(
         F.transform(
             F.col("fps"),
             lambda x, i: F.transform(
-                F.filter(F.slice(F.col("fps"), i + 2, F.size("fps")), lambda y: _distance(x, y) <= MAX_DIFFERENT),
+                F.filter(F.slice(F.col("fps"), i + 2, F.size("fps")), lambda y: (_distance(x, y) <= MAX_DIFFERENT) & _met_first(x, y, key)),
                 lambda y: F.struct(x.alias("a"), y.alias("b")),
             ),
         )
