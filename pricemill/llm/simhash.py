@@ -109,6 +109,24 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _named_here(a: Column, b: Column, crowded: Column, place: Column) -> Column:
+    """Whether `place` is the first variant that a and b share and that is not crowded.
+
+    So a pair is named once and not under up to 64 variants. `crowded` has a bit for each crowded variant of a;
+    a shared variant is shared with its whole crowd, so a's bits are b's as well.
+    """
+
+    def shared(segment: Column) -> Column:
+        alike = F.when(segment == 0, F.lit(2**SEGMENT - 1))
+        return alike.when(F.bit_count(segment) == 1, segment).otherwise(F.lit(0))
+
+    differ = a.bitwiseXOR(b)
+    low, high = differ.bitwiseAND(F.lit(2**SEGMENT - 1)), F.shiftrightunsigned(differ, SEGMENT)
+    both = shared(low).bitwiseOR(F.call_function("shiftleft", shared(high), F.lit(SEGMENT)))
+    before = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), place.cast("int")))
+    return both.bitwiseAND(F.bitwise_not(crowded)).bitwiseAND(before) == 0
+
+
 def links(nodes: DataFrame, few: int = FEW) -> DataFrame:
     """Edges (which, a, b) that connect exactly what distances of at most three bits connect.
 
@@ -131,21 +149,34 @@ def links(nodes: DataFrame, few: int = FEW) -> DataFrame:
     of_key = F.shiftrightunsigned("key", SEGMENT + 6).cast("int").alias("which")
     pairs = shared.where((F.col("n") == 2) & (_distance(F.col("a"), F.col("b")) <= MAX_DIFFERENT)).select(of_key, "a", "b")
     members = keyed.hint("merge").join(shared.where("n > 2").select("key", "n"), "key")
-    groups = members.where(F.col("n") <= few).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    place = F.shiftrightunsigned("key", SEGMENT).bitwiseAND(F.lit(BITS - 1))
+    own_bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+    many = staged(
+        members.where(F.col("n") > few).groupBy("which", "fp").agg(F.bit_or(own_bit).alias("crowded")), "crowded"
+    )
+    groups = (
+        members.where(F.col("n") <= few)
+        .join(many.hint("merge"), ["which", "fp"], "left")
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list(F.struct("fp", F.coalesce("crowded", F.lit(0).cast("long")).alias("crowded")))).alias("fps"))
+    )
     near = F.flatten(
         F.transform(
             F.col("fps"),
             lambda x, i: F.transform(
-                F.filter(F.slice(F.col("fps"), i + 2, F.size("fps")), lambda y: _distance(x, y) <= MAX_DIFFERENT),
-                lambda y: F.struct(x.alias("a"), y.alias("b")),
+                F.filter(
+                    F.slice(F.col("fps"), i + 2, F.size("fps")),
+                    lambda y: (_distance(x["fp"], y["fp"]) <= MAX_DIFFERENT)
+                    & _named_here(x["fp"], y["fp"], x["crowded"], place),
+                ),
+                lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")),
             ),
         )
     )
     few_pairs = groups.select(of_key, F.explode(near).alias("p")).select("which", "p.a", "p.b")
-    many = staged(members.where(F.col("n") > few).select("which", "fp").distinct(), "crowded")
     found = pairs.union(few_pairs)
     if not many.isEmpty():
-        found = found.union(_centre_links(many))
+        found = found.union(_centre_links(many.select("which", "fp")))
     return found.distinct()
 
 
