@@ -283,6 +283,23 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     return map_batches(docs, make, "doc bigint, words binary")
 
 
+def _shingle_hasher():
+    """A function from the words of a text to the sorted hashes of its set of shingles."""
+    import numpy as np
+
+    from pricemill.llm.rolling import BASES, RunHasher, item_hasher
+
+    hashes, run = item_hasher(SEED), RunHasher(BASES[0])
+
+    def shingles(words: list[bytes]):
+        width = min(SHINGLE, len(words))
+        if width == 0:
+            return np.empty(0, np.uint64)
+        return np.unique(run(hashes(words), width, np.arange(len(words) - width + 1)))
+
+    return shingles
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILAR."""
 
@@ -290,23 +307,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         import numpy as np
         import zstandard
 
-        from pricemill.llm.rolling import BASES, RunHasher, item_hasher
-
-        hashes, run = item_hasher(SEED), RunHasher(BASES[0])
-        expand = zstandard.ZstdDecompressor().decompress
-
-        def shingles(packed):
-            words = hashes(expand(packed).split())
-            width = min(SHINGLE, len(words))
-            return np.unique(run(words, width, np.arange(len(words) - width + 1)))
+        shingles, expand = _shingle_hasher(), zstandard.ZstdDecompressor().decompress
 
         for b in batches:
             out = {"a": [], "b": []}
             last, left = None, None
             for a, c, own, other in zip(*(b.column(k).to_pylist() for k in ("a", "b", "words_a", "words_b"))):
                 if own != last:
-                    last, left = own, shingles(own)
-                right = shingles(other)
+                    last, left = own, shingles(expand(own).split())
+                right = shingles(expand(other).split())
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 if both >= SIMILAR * (len(left) + len(right) - both):
                     out["a"].append(a)
@@ -318,15 +327,100 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(pairs.join(a, "a").join(b, "b"), make, "a bigint, b bigint", rows=128)
 
 
+def _shingles(docs: DataFrame, smallest: bool) -> DataFrame:
+    """(doc, n, key): the hashes of the n shingles of each text of `docs` (doc, text), ascending.
+
+    With `smallest` only the first n - ceil(0.8 n) + m of them: sets that are SIMILAR have at least ceil(0.8 n) in
+    common, so their first ones share at least m = n // 16 + 1, whatever the order is.
+    """
+
+    def make(batches) -> Iterator[dict]:
+        import numpy as np
+
+        shingles = _shingle_hasher()
+        for b in batches:
+            # one text at a time: a batch of long texts would be large
+            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
+                own = shingles((text or "").encode("utf-8", "surrogatepass").lower().split())
+                n = len(own)
+                if smallest:
+                    own = own[: n - (4 * n + 4) // 5 + n // 16 + 1]
+                yield {
+                    "doc": np.full(len(own), doc, np.int64),
+                    "n": np.full(len(own), n, np.int32),
+                    "key": own.view(np.int64),
+                }
+
+    return map_batches(docs, make, "doc bigint, n int, key bigint")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """`rows` (doc, ...) with the label of each document, itself if it has none."""
+    own = labels.select(F.col("node").alias("doc"), F.col("label").alias("label_"))
+    return rows.join(own, "doc", "left").withColumn("label", F.coalesce("label_", "doc")).drop("label_")
+
+
+def _unlinked_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): all pairs of documents of different labels that may be SIMILAR; none that is, is missing.
+
+    A prefix filter in two rounds. The first takes each set's smallest hashes and leaves the documents that share as many of
+    them with documents of other labels as SIMILAR sets must. The second counts, among these, the documents of each shingle, drops what only
+    one label has (documents with more than a fifth of such shingles have no partner) and
+    matches the rarest of the rest. Where a shingle is the first of two sets in this order that both have, what
+    follows it bounds their overlap, so that pairs are only named under shingles near the front. In a shingle
+    of many documents, those outside its most frequent label are matched with the others, not all with all.
+    """
+    small = staged(_shingles(texts, True), "small-shingles")
+    often = small.groupBy("key").count().where("count > 1").select("key")
+    met = staged(_labelled(small.hint("merge").join(often, "key", "left_semi"), labels), "met-shingles")
+    differ = F.min("label") != F.max("label")
+    across = staged(met.groupBy("key").agg(differ.alias("across")).where("across").select("key"), "met-keys")
+    enough_met = F.count("*") > F.floor(F.col("n") / 16)
+    met_docs = met.join(across, "key", "left_semi").groupBy("doc", "label", "n").agg(enough_met.alias("enough"))
+    met_docs = staged(met_docs.where("enough").select("doc", "label"), "met-documents")
+    rows = staged(_shingles(texts.join(met_docs, "doc", "left_semi"), False).join(met_docs, "doc"), "met-sets")
+    counts = rows.groupBy("key").agg(F.count("*").alias("docs"), differ.alias("across")).where("across")
+    counts = staged(counts.select("key", "docs"), "met-counts")
+    in_order = F.slice(
+        F.sort_array(F.collect_list(F.struct("docs", "key"))),
+        1,
+        F.greatest(F.count("*").cast("int") - F.ceil(F.first("n") * 4 / 5).cast("int") + 1, F.lit(0)),
+    )
+    rare = (
+        rows.hint("merge").join(counts, "key")
+        .groupBy("doc", "label", "n")
+        .agg(in_order.alias("front"), (F.col("n") - F.count("*")).alias("alone"))
+        .select("doc", "label", "n", "alone", F.posexplode("front").alias("at", "front"))
+        .select("doc", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), F.col("front.key").alias("key"))
+    )
+    rare = staged(rare, "rare-shingles")
+    largest = (
+        rare.groupBy("key", "label").count()
+        .groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("labels"))
+        .where("labels > 1").select("key", "largest")
+    )
+    largest = staged(largest, "rare-keys")
+    others = staged(rare.hint("merge").join(largest, "key").where("label <> largest"), "rare-others")
+    x = others.select("key", "largest", *(F.col(c).alias(f"{c}_x") for c in ("doc", "label", "n", "rest")))
+    y = rare.select("key", *(F.col(c).alias(f"{c}_y") for c in ("doc", "label", "n", "rest")))
+    once = (F.col("label_y") == F.col("largest")) | (F.col("doc_x") < F.col("doc_y"))
+    # 0.8 of the union is 4/9 of both sizes together
+    enough = 9 * F.least("rest_x", "rest_y") >= 4 * (F.col("n_x") + F.col("n_y"))
+    pairs = x.hint("merge").join(y, "key").where((F.col("label_x") != F.col("label_y")) & once & enough)
+    return pairs.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """Groups of near copies among `docs` (doc_id, text): (doc_id, component_id) of the documents in one.
 
-    Candidates are pairs within three bits in one of FINGERPRINTS fingerprints; a pair is a link if its
-    shingle sets (SHINGLE words, A-Z as a-z) are at least SIMILAR alike. component_id is the smallest doc_id that
-    links reach. Documents of one fingerprint are compared with its smallest doc_id. First every
-    document is compared with its smallest candidate; further pairs are compared only if they
-    are not yet in one group, so a large family costs in proportion to its members. Texts without words and rows
-    without an id are in no group; rows that repeat an id are judged together. An empty table has no groups.
+    A pair is a link if its shingle sets (SHINGLE words, A-Z as a-z) are at least SIMILAR alike. component_id is the
+    smallest doc_id that links reach. The fingerprints find most links at little cost: candidates are pairs
+    within three bits in one of FINGERPRINTS, and documents of one fingerprint are compared with its smallest
+    doc_id. First every document is compared with its smallest candidate; further pairs are compared only if they
+    are not yet in one group, so a large family costs in proportion to its members. What they miss, pairs that
+    lie further apart or were only compared through another document, is then found by an equality join on
+    rare shingles among documents that are not in one group yet, so every link counts. Texts without words
+    and rows without an id are in no group; rows that repeat an id are judged together. An empty table has no groups.
     """
     texts = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")
@@ -357,6 +451,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     open_pairs = pairs.join(nearest, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(apart)
     more = staged(_verified(open_pairs.select("a", "b"), words), "verified-too")
     found = labels if more.isEmpty() else components(sure.union(more))
+
+    left = staged(_unlinked_pairs(texts, found), "unlinked-pairs")
+    if not left.isEmpty():
+        involved = left.select(F.col("a").alias("doc")).union(left.select("b")).distinct()
+        last = staged(_verified(left, staged(_squeezed(texts.join(involved, "doc", "left_semi")), "unlinked-texts")), "verified-last")
+        if not last.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(last))
     return found.select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
 
 

@@ -199,6 +199,45 @@ def test_near_copies(spark):
     assert set(range(20)) | {300, 301, None} <= ids and len(ids & set(range(100, 120))) <= 1
 
 
+def _shingle_set(text):
+    words = (text or "").lower().split()
+    width = min(5, len(words))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
+def _alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b) > 0
+
+
+def _least_of_groups(rows):
+    """The smallest doc_id of the group of each doc_id, from all pairs of shingle sets."""
+    root = _groups([_shingle_set(t) for _, t, _ in rows], _alike)
+    least = {}
+    for (i, _, _), r in zip(rows, root):
+        least[r] = min(least.get(r, i), i)
+    return {i: least[r] for (i, _, _), r in zip(rows, root)}
+
+
+def test_near_copies_that_fail_their_representative(spark):
+    # copies of one base with blocks of other words: many are below 0.8 of the base and of each other, yet linked
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base = [word() for _ in range(300)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for _ in range(rng.randint(2, 7)):
+            words[rng.randrange(300)] = word()
+        rows.append((i, " ".join(words), "s"))
+    # the last words only: fingerprints are equal or close, and sets are not
+    for i in range(40):
+        at = 60 + 2 * i % 40
+        rows.append((1000 + i, " ".join(base[at:] + base[:at][::-1]), "s"))
+    want = _least_of_groups(rows)
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert {i: found.get(i, i) for i in want} == want
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(50)] + [(70, 80), (80, 75), (9, 9)]
     found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
