@@ -410,21 +410,17 @@ def _unlinked_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """Groups of near copies among `docs` (doc_id, text): (doc_id, component_id) of the documents in one.
+def _near_groups(texts: DataFrame) -> DataFrame:
+    """(node, label): of each row of `texts` (doc, text) in a group of near copies, the smallest doc of the group.
 
-    A pair is a link if its shingle sets (SHINGLE words, A-Z as a-z) are at least SIMILAR alike. component_id is the
-    smallest doc_id that links reach. The fingerprints find most links at little cost: candidates are pairs
+    A pair is a link if its shingle sets (SHINGLE words, A-Z as a-z) are at least SIMILAR alike.
+    The fingerprints find most links at little cost: candidates are pairs
     within three bits in one of FINGERPRINTS, and documents of one fingerprint are compared with its smallest
-    doc_id. First every document is compared with its smallest candidate; further pairs are compared only if they
+    doc. First every document is compared with its smallest candidate; further pairs are compared only if they
     are not yet in one group, so a large family costs in proportion to its members. What they miss, pairs that
     lie further apart or were only compared through another document, is then found by an equality join on
-    rare shingles among documents that are not in one group yet, so every link counts. Texts without words
-    and rows without an id are in no group; rows that repeat an id are judged together. An empty table has no groups.
+    rare shingles among documents that are not in one group yet, so every link counts.
     """
-    texts = docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")
-    )
     prints = staged(
         _word_fingerprints(texts).select("doc", F.posexplode("prints").alias("which", "fp")), "word-fingerprints"
     )
@@ -458,10 +454,42 @@ def near_copies(docs: DataFrame) -> DataFrame:
         last = staged(_verified(left, staged(_squeezed(texts.join(involved, "doc", "left_semi")), "unlinked-texts")), "verified-last")
         if not last.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(last))
-    return found.select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
+    return found
+
+
+def _near_rows(docs: DataFrame) -> DataFrame:
+    """(row, id, label) of the rows of `docs` (near_row_, doc_id, text) in a group; label is the same in a group."""
+    rows = docs.where("doc_id is not null").withColumnRenamed("near_row_", "near_doc_")
+    texts = rows.select(F.col("near_doc_").alias("doc"), F.col("text").cast("string").alias("text"))
+    ids = rows.select(F.col("near_doc_").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    groups = _near_groups(texts).withColumnRenamed("node", "row")
+    return staged(ids.join(groups, "row"), "near-rows")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a row number, written: rows may repeat a doc_id."""
+    return staged(docs.withColumn("near_row_", F.monotonically_increasing_id()), "near-texts")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """Groups of near copies among `docs` (doc_id, text): (doc_id, component_id) of the rows in one.
+
+    Links are those of `_near_groups`; component_id is the smallest doc_id that they reach. Texts without words
+    and rows without an id are in no group; rows that repeat an id are judged one by one. An empty table has no
+    groups.
+    """
+    rows = _near_rows(_numbered(docs.select("doc_id", "text")))
+    least = rows.groupBy("label").agg(F.min("id").alias("component_id"))
+    return rows.join(least, "label").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without those that have a near copy with a smaller doc_id in their group."""
-    gone = staged(near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")), "near-copies")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
+    """The rows of `docs` without those that have a near copy with a smaller doc_id in their group.
+
+    Of rows with one id in a group one is kept.
+    """
+    own = _numbered(docs)
+    rows = _near_rows(own)
+    keep = rows.groupBy("label").agg(F.min_by("row", F.struct("id", "row")).alias("row"))
+    gone = staged(rows.select("row").subtract(keep.select("row")).withColumnRenamed("row", "near_row_"), "near-copies")
+    return own.join(gone, "near_row_", "left_anti").select(*docs.columns)

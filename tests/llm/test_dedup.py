@@ -238,6 +238,14 @@ def test_near_copies_that_fail_their_representative(spark):
     assert {i: found.get(i, i) for i in want} == want
 
 
+def test_rows_that_repeat_an_id_are_judged_one_by_one(spark):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(100)) for _ in range(3)]
+    rows = [(1, texts[0], "first"), (2, texts[0], "copy"), (2, texts[1], "clean"), (3, texts[2], "one"), (3, texts[2], "two")]
+    kept = sorted((r.doc_id, r.source) for r in simhash.drop_near_copies(frame(spark, rows)).collect())
+    assert kept[:2] == [(1, "first"), (2, "clean")] and len(kept) == 3 and kept[2][0] == 3
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(50)] + [(70, 80), (80, 75), (9, 9)]
     found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
