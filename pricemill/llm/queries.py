@@ -18,6 +18,8 @@ from pricemill.llm import (
     quality,
     simhash,
     substring,
+    toxicity,
+    whitening,
 )
 from pricemill.llm.common import crc_part, read_table
 
@@ -96,6 +98,19 @@ def op10_embedding_dedup(spark, folder):
     return embedding.near_vectors(read_table(spark, folder, "embeddings"))
 
 
+@query
+def op11_embedding_whitening(spark, folder):
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
+@query
+def op12_factor_toxicity(spark, folder):
+    docs = read_table(spark, folder, "documents")
+    model = toxicity.fit_toxicity(docs, read_table(spark, folder, "labels"))
+    held_out = F.coalesce(crc_part("doc_id", 4) == 2, F.lit(False))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def pipeline(spark, folder):
     from corpus_pipeline import run
