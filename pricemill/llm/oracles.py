@@ -73,4 +73,69 @@ ORACLES = {
                sha256(coalesce(c.kept, array_to_string(d.words, ' '))) as kept_sha256
         from docs d left join cut c using (doc_id)
     """,
+    "op13_conversation_trie": r"""
+        with turns as (
+            select conv_id, turn, coalesce(text, '') as text,
+                   sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest
+            from conversations where conv_id is not null
+        ), placed as (
+            select conv_id, digest, text, row_number() over (
+                partition by conv_id order by turn nulls first, digest) as place
+            from turns
+        ), digits as (
+            select conv_id, unnest(string_split(cast(conv_id as varchar), '')) as c,
+                   unnest(generate_series(1, len(cast(conv_id as varchar)))) as k
+            from (select distinct conv_id from turns)
+        ), places as (
+            select conv_id, list(cast(ascii(c) as bigint) order by k) as codes from digits group by conv_id
+        ), hashed as (
+            select conv_id, list_reduce(list_prepend(4294967295, codes), lambda a, b: list_reduce(
+                [xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda p, q: case when p % 2 = 1 then xor(p // 2, 3988292384) else p // 2 end)) as crc
+            from places
+        ), convs as (
+            select conv_id, conv_id - conv_id % 20 as base,
+                   case when conv_id % 20 = 0 then 0 else xor(crc, 4294967295) % 4 end as skipped
+            from hashed
+        ), lent as (
+            select c.conv_id, p.place as depth, p.digest, p.text
+            from convs c join placed p on p.conv_id = c.base and p.place <= c.skipped
+        ), heads as (
+            select conv_id, count(*) as head from lent group by conv_id
+        ), steps as (
+            select * from lent
+            union all
+            select c.conv_id, p.place - c.skipped + coalesce(h.head, 0), p.digest, p.text
+            from placed p join convs c using (conv_id) left join heads h using (conv_id) where p.place > c.skipped
+            union all
+            select conv_id, 0, '', '' from convs
+        ), paths as (
+            select conv_id, cast(depth as bigint) as depth, text,
+                   string_agg(digest, '') over (partition by conv_id order by depth) as path,
+                   max(depth) over (partition by conv_id) = depth as last
+            from steps
+        ), nodes as (
+            select depth, path, min(conv_id) as conv_id, count(*) as n_convs,
+                   any_value(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) as words,
+                   string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where last) as ends
+            from paths group by depth, path
+        ), kin as (
+            select n.depth, n.path, n.conv_id, p.path as parent_path, m.conv_id as parent_conv_id
+            from nodes n join paths p on p.conv_id = n.conv_id and p.depth = n.depth - 1
+            join nodes m on m.depth = p.depth and m.path = p.path
+        ), born as (
+            select depth - 1 as depth, parent_path as path, count(*) as n_children from kin group by all
+        ), whole as (
+            select n.*, coalesce(b.n_children, 0) as n_children, k.parent_conv_id
+            from nodes n left join born b using (depth, path) left join kin k using (depth, path)
+        ), subtrees as (
+            select p.depth, p.path, count(*) filter (where u.n_children = 0) as n_leaves,
+                   cast(sum((u.n_convs - 1) * u.words) as bigint) as saved_tokens
+            from whole u join paths p on p.conv_id = u.conv_id and p.depth <= u.depth
+            group by p.depth, p.path
+        )
+        select w.conv_id, w.depth, w.parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens,
+               sha256(coalesce(w.ends, '')) as ends_sha256
+        from whole w join subtrees s using (depth, path)
+    """,
 }

@@ -15,6 +15,7 @@ from pricemill.llm import (
     mixing,
     packing,
     pii,
+    prefix_trie,
     quality,
     simhash,
     substring,
@@ -111,6 +112,11 @@ def op12_factor_toxicity(spark, folder):
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op13_conversation_trie(spark, folder):
+    return prefix_trie.prefix_trie(read_table(spark, folder, "conversations"))
+
+
 @query
 def pipeline(spark, folder):
     from corpus_pipeline import run
