@@ -128,7 +128,18 @@ def _probability(odds):
     return 1.0 / (1.0 + np.exp(-np.clip(odds, -40.0, 40.0)))
 
 
-def train(rows: list[dict[int, int]], labels, row_weights, terms: int):
+def _picked(laid, rows):
+    """Some rows of what `_laid_out` returns, in the same form."""
+    import numpy as np
+
+    starts, terms, values = laid
+    lengths = starts[rows + 1] - starts[rows]
+    own = np.r_[0, np.cumsum(lengths)]
+    at = np.repeat(starts[rows] - own[:-1], lengths) + np.arange(own[-1])
+    return own, terms[at], values[at]
+
+
+def train(laid, labels, row_weights, terms: int):
     """Constant, weights and factors by steps with own sizes per parameter (AdaGrad), shrunk towards zero."""
     import numpy as np
 
@@ -142,10 +153,10 @@ def train(rows: list[dict[int, int]], labels, row_weights, terms: int):
         return np.sign(x) * np.maximum(np.abs(x) - step * PENALTY, 0.0)
 
     for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), BATCH):
+        order = rng.permutation(len(labels))
+        for at in range(0, len(labels), BATCH):
             own = order[at : at + BATCH]
-            starts, places, values = _laid_out([rows[k] for k in own])
+            starts, places, values = _picked(laid, own)
             odds, owner, scaled, total = log_odds(starts, places, values, constant, weights, factors)
             miss = (_probability(odds) - labels[own]) * row_weights[own]
             slope = miss[owner] * values
@@ -165,20 +176,20 @@ def train(rows: list[dict[int, int]], labels, row_weights, terms: int):
     return float(constant), weights, factors
 
 
-def _ratio(with_term: float, with_any: float, toxic: float, rows: float) -> float:
-    """Twice the log-likelihood ratio of a term's counts in the classes against independence."""
-    import math
+def _ratio(toxic: int, rows: int):
+    """Twice the log-likelihood ratio of a term's counts (`with_toxic`, `any`) against independence of the classes."""
+    seen, term = F.col("with_toxic").cast("double"), F.col("any").cast("double")
+
+    def part(count, of_class: int, of_term):
+        return F.when(count > 0, count * F.log(count * F.lit(float(rows)) / (F.lit(float(of_class)) * of_term))).otherwise(0.0)
 
-    total = 0.0
-    for seen, of_class, of_term in (
-        (with_term, toxic, with_any),
-        (toxic - with_term, toxic, rows - with_any),
-        (with_any - with_term, rows - toxic, with_any),
-        (rows - toxic - with_any + with_term, rows - toxic, rows - with_any),
-    ):
-        if seen > 0:
-            total += seen * math.log(seen * rows / (of_class * of_term))
-    return 2 * total
+    without = F.lit(float(rows)) - term
+    return 2 * (
+        part(seen, toxic, term)
+        + part(F.lit(float(toxic)) - seen, toxic, without)
+        + part(term - seen, rows - toxic, term)
+        + part(F.lit(float(rows - toxic)) - term + seen, rows - toxic, without)
+    )
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -209,40 +220,56 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id"
     )
     seen = staged(
-        _with_terms(sample, None).groupBy("doc_id", "toxic").agg(F.min(F.struct("places", "counts")).alias("t")), "terms"
+        _with_terms(sample).groupBy("doc_id", "toxic").agg(F.min(F.struct("places", "counts")).alias("t")), "terms"
     )
     size = {r.toxic: r.n for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n, toxic = sum(size.values()), size[1]
     spread = seen.select("toxic", F.explode("t.places").alias("place")).groupBy("place").agg(
         F.count("*").alias("any"), F.sum("toxic").alias("with_toxic")
     )
-    # at most 2 ** BITS rows, whatever the input; a rarer term cannot reach the ratio
-    counted = spread.where(F.col("any") > 1).collect()
-    places = sorted(r.place for r in counted if _ratio(r.with_toxic, r.any, toxic, n) >= LEAST_RATIO)
-    number = {p: k for k, p in enumerate(places)}
-    keep = F.broadcast(seen.sparkSession.createDataFrame([(p,) for p in places], "place int"))
-    pairs = seen.select("doc_id", "toxic", F.explode_outer(F.arrays_zip("t.places", "t.counts")).alias("x")).select(
-        "doc_id", "toxic", F.col("x.places").alias("place"), F.col("x.counts").alias("n")
-    )
-    kept = pairs.join(keep, "place").groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("x"))
-    found = sorted(
-        (r.doc_id, r.toxic, {number[p]: c for p, c in sorted(r.x or [])})
-        for r in seen.select("doc_id", "toxic").join(kept, "doc_id", "left").collect()
-    ) if places else []
-    if not found:
+    # at most 2 ** BITS numbers, whatever the input
+    places = sorted(r.place for r in spread.where(_ratio(toxic, n) >= LEAST_RATIO).select("place").collect())
+    if not places:
         share = totals[1] / (totals[0] + totals[1])
         return ToxicityModel(math.log(share / (1 - share)))
-    rows, marks = [f[2] for f in found], np.array([f[1] for f in found], float)
+    # at most 2 * SAMPLE_ROWS rows of the terms that were kept
+    found = sorted(tuple(r) for r in _kept_terms(seen, places).collect())
+    starts = np.r_[0, np.cumsum([len(f[2]) // 4 for f in found])]
+    terms = np.frombuffer(b"".join(f[2] for f in found), np.int32)
+    counts = np.frombuffer(b"".join(f[3] for f in found), np.int32)
+    marks = np.array([f[1] for f in found], float)
     weight = np.array([totals[int(c)] / size[int(c)] for c in marks])
-    constant, weights, factors = train(rows, marks, weight / weight.mean(), len(places))
+    laid = starts, terms, 1.0 + np.log(counts)
+    constant, weights, factors = train(laid, marks, weight / weight.mean(), len(places))
     return ToxicityModel(
         constant, tuple(places), tuple(map(float, weights)), tuple(tuple(map(float, f)) for f in factors)
     )
 
 
-def _with_terms(sample: DataFrame, chosen) -> DataFrame:
+def _kept_terms(seen: DataFrame, places: list[int]) -> DataFrame:
+    """(doc_id, toxic, terms, counts): numbers of the kept terms of each row and their counts, four bytes each."""
+    shared = seen.sparkSession.sparkContext.broadcast(places)
+
+    def make(batches) -> Iterator[dict]:
+        import numpy as np
+
+        kept = np.array(shared.value)
+        for b in batches:
+            terms, counts = [], []
+            for p, c in zip(b.column("places").to_pylist(), b.column("counts").to_pylist()):
+                at = np.minimum(np.searchsorted(kept, p), len(kept) - 1)
+                own = kept[at] == p
+                terms.append(at[own].astype(np.int32).tobytes())
+                counts.append(np.array(c, np.int32)[own].tobytes())
+            yield {"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "terms": terms, "counts": counts}
+
+    narrow = seen.select("doc_id", "toxic", "t.places", "t.counts")
+    return map_batches(narrow, make, "doc_id bigint, toxic int, terms binary, counts binary", 256)
+
+
+def _with_terms(sample: DataFrame) -> DataFrame:
     def make(batches) -> Iterator[dict]:
-        counter = term_counter(chosen)
+        counter = term_counter()
         for b in batches:
             found = [sorted(counter(t).items()) for t in b.column("text").to_pylist()]
             yield {
