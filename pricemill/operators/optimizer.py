@@ -1,18 +1,18 @@
 """Joint pricing per category: one price per product, most value, discount spend in budget.
 
-Where the best price of every product fits the budget together, that is the optimum. Elsewhere:
+Where the best price of every product fits the budget together, that is the optimum. Elsewhere, by one rule for
+categories of any size:
 
 1. Candidates that another one of the same product beats in spend and value are dropped, and
-   the rest reduced to the steps of their upper hull in (spend, value).
-2. Steps are taken by value per spend until the budget is used up. This solves the linear
-   relaxation, whose bound gives the largest possible shortfall (`gap`).
-3. A candidate whose price under the bound loses more than the gap cannot be part of any better
-   solution. Products with one surviving candidate are settled; of the others, the core, those
-   with the closest alternatives are solved again. Each round shrinks the gap, and with it the
-   core, until the core is solved whole: then the result is the optimum. What remains of the gap
-   after the last round is shown.
-
-The order of steps within a category is found from bucket sums, so no task sees a whole category.
+   the rest reduced to the steps of their upper hull in (spend, value). Steps are taken by value per spend up to the
+   first that does not fit. This solves the linear relaxation but for that step.
+2. What is left of the budget goes to moves that still fit: every product offers its steepest one, to any
+   candidate of more value within the rest, and these are taken by value per spend up to the first that does not
+   fit. This is repeated, with the rest that then remains, until no product has a move that fits.
+3. `gap` is the value of the relaxation less the value reached: no choice within the budget is better by more.
+
+The order within a category comes from ranges of (category, ratio): sums per range, offsets from the
+sums, and a running sum only inside the range where the budget ends. No task sees a whole category.
 """
 
 from __future__ import annotations
@@ -20,39 +20,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricemill.functions.money import BP
 from pricemill.operators.candidates import best_candidate, with_candidates
 from pricemill.params import DEFAULT_POLICY, Policy
 from pricemill.session import staged
 
-# Ratio buckets per factor e, and hash slices of steps with one and the same ratio.
-RATIO_BUCKETS = 1000
-EQUAL_SLICES = 4096
-# Open products of a category that are solved again together, partial solutions kept on the way,
-# and how often: a better solution closes the gap, which leaves fewer products open.
-CORE_PRODUCTS = 200
-CORE_STATES = 4000
-CORE_ROUNDS = 3
 # Amounts in cents below this count as equal.
 EPS = 1e-6
 
-CORE_RESULT = T.StructType(
-    [
-        T.StructField("category", T.StringType()),
-        T.StructField("sku", T.StringType()),
-        T.StructField("core_price_c", T.LongType()),
-        T.StructField("core_value", T.DoubleType()),
-        T.StructField("core_spend", T.DoubleType()),
-        T.StructField("complete", T.BooleanType()),
-    ]
-)
-
 STEP = "struct<ratio:double,dspend:double,dvalue:double,spend:double,value:double,price_c:bigint>"
 
 
@@ -138,209 +116,115 @@ def _hull_steps(candidates: Column, start: Column, points: int) -> Column:
     return F.aggregate(walk, first, forward, lambda acc: acc["steps"])
 
 
-def _taken_steps(steps: DataFrame, room: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Steps that fit, in order of falling ratio, and the critical ratio per category.
+def _in_order(steps: DataFrame) -> DataFrame:
+    """Steps sorted over ranges of (category, falling ratio, sku, k), written with range and row number.
 
-    steps: category, sku, k, ratio, dspend, ...; room: category, room (budget left at the start).
-    Bucket sums find the bucket where the budget ends, slice sums the slice in it; only that
-    slice needs a running sum over rows.
+    One category, or many steps of one ratio, are many ranges.
     """
-    bucket = F.floor(F.log("ratio") * RATIO_BUCKETS)
-    keyed = steps.withColumns(
-        {"_b": bucket, "_h": F.pmod(F.xxhash64("sku"), F.lit(EQUAL_SLICES))}
-    )
-    sums = keyed.groupBy("category", "_b").agg(F.sum("dspend").alias("_s"))
-    down = Window.partitionBy("category").orderBy(F.col("_b").desc())
-    ended = (
-        sums.withColumn("_end", F.sum("_s").over(down))
-        .join(room, "category")
-        .filter(F.col("_end") > F.col("room") + EPS)
+    order = ["category", F.col("ratio").desc(), "sku", "k"]
+    ranged = steps.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(
+        ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "steps"
     )
-    # one row per category, written so that its size is known to the joins below
-    critical = staged(
-        ended.groupBy("category").agg(
-            F.max("_b").alias("_cb"), F.min(F.col("_end") - F.col("_s")).alias("_used")
-        ),
-        "critical",
+
+
+def _taken_steps(placed: DataFrame, room: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Steps that fit, in order of falling ratio, and per category the ratio of the first that does not.
+
+    placed: category, sku, k, ratio, dspend, ... as `_in_order` returns them; room: category, room (budget left).
+    """
+    down = Window.partitionBy("category").orderBy("_part")
+    ends = placed.groupBy("category", "_part").agg(F.sum("dspend").alias("_s")).withColumn(
+        "_end", F.sum("_s").over(down)
     )
-    placed = keyed.join(critical, "category", "left")
-    above = placed.filter(F.col("_cb").isNull() | (F.col("_b") > F.col("_cb")))
-
-    inside = placed.filter(F.col("_b") == F.col("_cb"))
-    slices = inside.groupBy("category", "ratio", "_h", "_used").agg(F.sum("dspend").alias("_s"))
-    order = Window.partitionBy("category").orderBy(F.col("ratio").desc(), "_h")
-    bounds = (
-        slices.withColumn("_slice_end", F.col("_used") + F.sum("_s").over(order))
-        .withColumn("_slice_start", F.col("_slice_end") - F.col("_s"))
-        .join(room, "category")
-        .select(
+    # one row per category and range it lies in, written so that its size is known to the joins below
+    ranges = staged(
+        ends.join(room.select("category", "room"), "category").select(
             "category",
-            "ratio",
-            "_h",
-            "_slice_start",
-            (F.col("_slice_end") <= F.col("room") + EPS).alias("_whole"),
+            "_part",
+            (F.col("_end") - F.col("_s")).alias("_start"),
+            (F.col("_end") <= F.col("room") + EPS).alias("_whole"),
             "room",
-        )
-    )
-    ordered = inside.join(bounds, ["category", "ratio", "_h"])
-    in_slice = Window.partitionBy("category", "ratio", "_h").orderBy("sku", "k")
-    edge = (
-        ordered.filter(~F.col("_whole") & (F.col("_slice_start") <= F.col("room") + EPS))
-        .withColumn("_at", F.col("_slice_start") + F.sum("dspend").over(in_slice))
-        .filter(F.col("_at") <= F.col("room") + EPS)
-    )
-    columns = steps.columns
-    taken = (
-        above.select(*columns)
-        .unionByName(ordered.filter("_whole").select(*columns))
-        .unionByName(edge.select(*columns))
+        ),
+        "step-ranges",
     )
-    cutoff = bounds.filter(~F.col("_whole")).groupBy("category").agg(F.max("ratio").alias("lam"))
-    return taken, cutoff
+    near = placed.join(ranges.filter(F.col("_start") <= F.col("room") + EPS), ["category", "_part"])
+    inside = Window.partitionBy("category", "_part").orderBy("_row")
+    edge = near.filter(~F.col("_whole")).withColumn("_at", F.col("_start") + F.sum("dspend").over(inside))
+    fits = F.col("_at") <= F.col("room") + EPS
+    columns = [c for c in placed.columns if c not in ("_part", "_row")]
+    taken = near.filter("_whole").select(*columns).unionByName(edge.filter(fits).select(*columns))
+    first_over = edge.filter(~fits).groupBy("category").agg(F.max("ratio").alias("lam"))
+    return taken, first_over
 
 
-def solve_core(core: pd.DataFrame) -> pd.DataFrame:
-    """Best choice for the few open products of one category within their room.
+def _moves(rows: DataFrame) -> DataFrame:
+    """Each product's steepest move to a candidate of more value within the category's rest.
 
-    Partial solutions are extended product by product; one is dropped when another has no more
-    spend and no less value, or when its bound cannot reach the known solution. Beyond
-    CORE_STATES of them only those with the best bounds go on, and the result is not `complete`.
+    rows: category, sku, candidates, price_c, value, spend, rest. Of equally steep moves, the one that costs less.
     """
-    room, lam, known = (float(core[c].iloc[0]) for c in ("core_room", "lam", "core_known"))
-    options = [
-        (
-            np.array([c["spend"] for c in row], float),
-            np.array([c["value"] for c in row], float),
-            [c["price_c"] for c in row],
-        )
-        for row in core["survivors"]
-    ]
-    best_after = [0.0]
-    least_after = [0.0]
-    for spend, value, _ in reversed(options):
-        best_after.append(best_after[-1] + float((value - lam * spend).max()))
-        least_after.append(least_after[-1] + float(spend.min()))
-    best_after, least_after = best_after[::-1], least_after[::-1]
-
-    slack, complete = EPS * max(1.0, abs(known) * 1e-6), True
-    used, gained, trail = np.zeros(1), np.zeros(1), []
-    for i, (spend, value, _) in enumerate(options):
-        w = (used[:, None] + spend).ravel()
-        v = (gained[:, None] + value).ravel()
-        reach = v + lam * (room - w) + best_after[i + 1]
-        keep = np.flatnonzero((w + least_after[i + 1] <= room + EPS) & (reach >= known - slack))
-        if not len(keep):
-            return pd.DataFrame(columns=CORE_RESULT.names)
-        keep = keep[np.lexsort((-v[keep], w[keep]))]
-        tops = np.maximum.accumulate(v[keep])
-        keep = keep[np.r_[True, v[keep][1:] > tops[:-1]]]
-        if len(keep) > CORE_STATES:
-            keep = keep[np.argsort(-reach[keep], kind="stable")[:CORE_STATES]]
-            complete = False
-        used, gained = w[keep], v[keep]
-        trail.append(np.divmod(keep, len(spend)))
-
-    at = int(gained.argmax())
-    chosen = []
-    for i in range(len(options) - 1, -1, -1):
-        parent, pick = trail[i][0][at], int(trail[i][1][at])
-        spend, value, price = options[i]
-        chosen.append((price[pick], value[pick], spend[pick]))
-        at = int(parent)
-    chosen.reverse()
-    return pd.DataFrame(
-        {
-            "category": core["category"].to_numpy(),
-            "sku": core["sku"].to_numpy(),
-            "core_price_c": [c[0] for c in chosen],
-            "core_value": [c[1] for c in chosen],
-            "core_spend": [c[2] for c in chosen],
-            "complete": complete,
-        }
+    gain = lambda c: c["value"] - F.col("value")
+    cost = lambda c: c["spend"] - F.col("spend")
+    # moves that cost next to nothing count as costing EPS, so that they have a ratio
+    options = F.transform(
+        F.filter("candidates", lambda c: (gain(c) > EPS) & (cost(c) <= F.col("rest") + EPS) & (cost(c) >= -EPS)),
+        lambda c: F.struct(
+            (gain(c) / F.greatest(cost(c), F.lit(EPS))).alias("ratio"),
+            (-cost(c)).alias("saved"),
+            c["price_c"].alias("price_c"),
+            c["value"].alias("value"),
+            c["spend"].alias("spend"),
+        ),
+    )
+    best = rows.withColumn("_m", F.array_max(options)).filter("_m is not null")
+    return best.select(
+        "category",
+        "sku",
+        F.lit(0).alias("k"),
+        F.col("_m.ratio").alias("ratio"),
+        (-F.col("_m.saved")).alias("dspend"),
+        F.col("_m.price_c").alias("price_c"),
+        F.col("_m.value").alias("value"),
+        F.col("_m.spend").alias("spend"),
     )
 
 
-def _refined(rows: DataFrame) -> DataFrame:
-    """Rows with the open products of each category solved again and `gap` brought up to date.
+def _with_changes(rows: DataFrame, changes: DataFrame, *columns: str) -> DataFrame:
+    """`columns` of rows, and the changed choice of the products that have one."""
+    choice = ("price_c", "value", "spend")
+    renamed = changes.select("category", "sku", *(F.col(c).alias("_" + c) for c in choice))
+    joined = rows.join(renamed, ["category", "sku"], "left")
+    return joined.select(*columns, *(F.coalesce("_" + c, c).alias(c) for c in choice))
+
+
+def _spent_rest(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """Last choice of the products that moves have changed: (category, sku, price_c, value, spend).
 
-    rows: one per product, with candidates, the choice so far (price_c, value, spend), and the
-    category's budget, lam and gap. At most CORE_PRODUCTS products per category are solved
-    again, those with the closest alternatives; when these are all the open ones, the result is
-    the optimum.
+    rows: category, sku, candidates, price_c, value, spend; rest: category, rest. Every round takes a move
+    in each category that has one, and the rest only falls, so a product without a move has none
+    later and leaves the rows that are looked at. Rounds end with the moves.
     """
-    at_lam = lambda c: c["value"] - F.col("lam") * c["spend"]
-    margin = F.col("gap") * (1 + 1e-9) + EPS
-    top = F.array_max(F.transform("candidates", at_lam))
-    losses = _let(top, lambda best: F.transform("candidates", lambda c: best - at_lam(c)))
-    open_rows = (
-        rows.filter(F.col("gap") > EPS)
-        .withColumn("losses", F.array_sort(losses))
-        .withColumn("second", F.get("losses", F.lit(1)))
-        .filter(F.col("second") <= margin)
-    )
-    nearest = Window.partitionBy("category").orderBy("second", "sku")
-    survivors = _let(
-        top, lambda best: F.filter("candidates", lambda c: best - at_lam(c) <= margin)
-    )
-    core = staged(
-        open_rows.withColumn("_n", F.row_number().over(nearest))
-        .filter(F.col("_n") <= CORE_PRODUCTS)
-        .select("category", "sku", "lam", "value", "spend", survivors.alias("survivors")),
-        "core",
-    )
-    whole = rows.groupBy("category").agg(
-        F.first("budget").alias("budget"), F.first("gap").alias("gap"), F.sum("spend").alias("all")
-    )
-    part = core.groupBy("category").agg(
-        F.sum("value").alias("core_known"),
-        F.sum("spend").alias("core_spent"),
-        F.count(F.lit(1)).alias("core_rows"),
-    )
-    opened = open_rows.groupBy("category").agg(F.count(F.lit(1)).alias("open_rows"))
-    state = staged(
-        part.join(whole, "category").join(opened, "category").select(
-            "category",
-            "core_known",
-            (F.col("budget") - F.col("all") + F.col("core_spent")).alias("core_room"),
-            (F.col("open_rows") == F.col("core_rows")).alias("all_open"),
-            "gap",
-        ),
-        "core-state",
-    )
-    solved = staged(
-        core.select("category", "sku", "lam", "survivors")
-        .join(state.select("category", "core_room", "core_known"), "category")
-        .groupBy("category")
-        .applyInPandas(solve_core, CORE_RESULT),
-        "core-solved",
-    )
-    gains = (
-        solved.groupBy("category")
-        .agg(F.sum("core_value").alias("_new"), F.first("complete").alias("_complete"))
-        .join(state, "category")
-        .select(
-            "category",
-            F.when(F.col("_complete") & F.col("all_open"), 0.0)
-            .otherwise(F.greatest(F.lit(0.0), F.col("gap") - (F.col("_new") - F.col("core_known"))))
-            .alias("_gap"),
-        )
-    )
-    return (
-        rows.join(solved.drop("complete"), ["category", "sku"], "left")
-        .join(staged(gains, "gains"), "category", "left")
-        .select(
-            "sku",
-            "category",
-            "current_c",
-            "candidates",
-            "budget",
-            "lam",
-            F.coalesce("core_price_c", "price_c").alias("price_c"),
-            F.coalesce("core_value", "value").alias("value"),
-            F.coalesce("core_spend", "spend").alias("spend"),
-            F.coalesce("_gap", F.when(F.col("gap") > EPS, F.col("gap")).otherwise(0.0)).alias("gap"),
+    active, changed = rows, None
+    while True:
+        offered = active.join(rest, "category")
+        moves = _in_order(_moves(offered))
+        if moves.isEmpty():
+            break
+        taken, _ = _taken_steps(moves, rest.withColumnRenamed("rest", "room"))
+        taken = staged(taken.select("category", "sku", "dspend", "price_c", "value", "spend"), "taken-moves")
+        # a later choice of a product replaces an earlier one
+        made = taken.drop("dspend")
+        changed = made if changed is None else made.unionByName(changed.join(made, ["category", "sku"], "left_anti"))
+        changed = staged(changed, "changed")
+        rest = staged(
+            rest.join(taken.groupBy("category").agg(F.sum("dspend").alias("_used")), "category").select(
+                "category", (F.col("rest") - F.col("_used")).alias("rest")
+            ),
+            "rest",
         )
-    )
+        open_rows = active.join(moves.select("category", "sku"), ["category", "sku"], "left_semi")
+        active = staged(_with_changes(open_rows, made, "category", "sku", "candidates"), "active")
+    return changed
 
 
 def _with_best(problems: DataFrame, policy: Policy) -> DataFrame:
@@ -399,7 +283,7 @@ def _within_budget(bound: DataFrame, limits: DataFrame, policy: Policy) -> DataF
     steps = walked.select("category", "sku", F.posexplode("steps").alias("k", "_s")).select(
         "category", "sku", "k", "_s.*"
     )
-    taken, cutoff = _taken_steps(steps, limits.select("category", "room"))
+    taken, cutoff = _taken_steps(_in_order(steps), limits.select("category", "room"))
     reached = taken.groupBy("category", "sku").agg(F.max("k").alias("_k"))
     last = F.get("steps", F.col("_k"))
     stepwise = staged(
@@ -416,22 +300,31 @@ def _within_budget(bound: DataFrame, limits: DataFrame, policy: Policy) -> DataF
         "stepwise",
     )
     left_over = F.greatest(F.lit(0.0), F.first("budget") - F.sum("spend"))
-    state = (
+    state = staged(
         stepwise.groupBy("category")
-        .agg(left_over.alias("_left"))
+        .agg(left_over.alias("rest"), F.sum("value").alias("_value"))
         .join(cutoff, "category", "left")
         .select(
             "category",
-            F.coalesce("lam", F.lit(0.0)).alias("lam"),
-            (F.coalesce("lam", F.lit(0.0)) * F.col("_left")).alias("gap"),
-        )
+            "rest",
+            (F.col("_value") + F.coalesce("lam", F.lit(0.0)) * F.col("rest")).alias("_bound"),
+        ),
+        "bounds",
     )
-    chosen = stepwise.join(staged(state, "bounds"), "category")
-    for _ in range(CORE_ROUNDS):
-        chosen = staged(_refined(chosen), "joint")
-        if chosen.filter(F.col("gap") > EPS).isEmpty():
-            break
-    return chosen.select("sku", "category", "current_c", "price_c", "value", "spend", "gap")
+    changed = _spent_rest(
+        stepwise.select("category", "sku", "candidates", "price_c", "value", "spend"),
+        state.select("category", "rest"),
+    )
+    chosen = stepwise.select("sku", "category", "current_c", "price_c", "value", "spend")
+    if changed is not None:
+        chosen = _with_changes(chosen, changed, "sku", "category", "current_c")
+    chosen = staged(chosen, "joint")
+    short = chosen.groupBy("category").agg(F.sum("value").alias("_reached")).join(state, "category")
+    # sums of doubles differ in their last places
+    noise = F.lit(EPS) + F.abs("_bound") * 1e-12
+    gap = F.col("_bound") - F.col("_reached")
+    gaps = staged(short.select("category", F.when(gap > noise, gap).otherwise(0.0).alias("gap")), "gaps")
+    return chosen.join(gaps, "category")
 
 
 def optimize_prices(

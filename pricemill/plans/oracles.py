@@ -117,6 +117,65 @@ joint AS (
   SELECT *, count(*) OVER c AS in_category, sum(our) OVER c * 1e-1 AS budget, sum(spend) OVER c AS total_spend
   FROM best WHERE flagged WINDOW c AS (PARTITION BY category))"""
 
+# one price per product under a budget that binds: hull steps by value per spend up to the first that does
+# not fit, then rounds of each product's steepest move that fits the rest
+TIGHT = f"""{_candidates()},
+limits AS (
+  SELECT category, count(*) AS skus, CAST(sum(our) AS DOUBLE) * 2e0 / 1e4 AS budget, sum(spend) AS free_spend
+  FROM best GROUP BY category),
+useful AS (
+  SELECT c.sku, c.category, c.our, c.p, c.value, c.spend FROM candidates c ANTI JOIN candidates o
+    ON o.sku = c.sku AND o.spend <= c.spend AND o.value >= c.value AND (o.spend < c.spend OR o.value > c.value
+      OR abs(o.p - o.our) < abs(c.p - c.our) OR (abs(o.p - o.our) = abs(c.p - c.our) AND o.p < c.p))),
+starts AS (
+  SELECT * FROM useful QUALIFY row_number() OVER (
+    PARTITION BY sku ORDER BY spend, value DESC, abs(p - our), p) = 1),
+hull AS (
+  SELECT sku, category, -1 AS k, CAST('infinity' AS DOUBLE) AS ratio, 0e0 AS dspend, p, value, spend FROM starts
+  UNION ALL
+  SELECT h.sku, h.category, h.k + 1, least((c.value - h.value) / (c.spend - h.spend), h.ratio), c.spend - h.spend,
+    c.p, c.value, c.spend
+  FROM hull h JOIN useful c ON c.sku = h.sku AND c.spend > h.spend AND c.value > h.value
+  QUALIFY row_number() OVER (PARTITION BY h.sku
+    ORDER BY (c.value - h.value) / (c.spend - h.spend) DESC, c.spend DESC, c.value DESC, c.p DESC) = 1),
+rooms AS (
+  SELECT category, any_value(budget) - sum(spend) AS room FROM starts JOIN limits USING (category) GROUP BY category),
+ordered AS (
+  SELECT hull.*, room, sum(dspend) OVER (PARTITION BY category ORDER BY ratio DESC, sku, k) AS reached
+  FROM hull JOIN rooms USING (category) WHERE k >= 0),
+lambdas AS (SELECT category, max(ratio) AS lam FROM ordered WHERE reached > room + 1e-6 GROUP BY category),
+stepwise AS (
+  SELECT sku, category, p, value, spend FROM (
+    SELECT * FROM hull WHERE k = -1 UNION ALL
+    SELECT sku, category, k, ratio, dspend, p, value, spend FROM ordered WHERE reached <= room + 1e-6)
+  QUALIFY row_number() OVER (PARTITION BY sku ORDER BY k DESC) = 1),
+relaxed AS (
+  SELECT category, greatest(0e0, any_value(budget) - sum(spend)) AS rest,
+    sum(value) + coalesce(any_value(lam), 0e0) * greatest(0e0, any_value(budget) - sum(spend)) AS bound
+  FROM stepwise JOIN limits USING (category) LEFT JOIN lambdas USING (category) GROUP BY category),
+rounds AS (
+  SELECT 0 AS round, sku, category, p, value, spend, rest FROM stepwise JOIN relaxed USING (category)
+  UNION ALL
+  SELECT round, sku, category, CASE WHEN takes THEN new_p ELSE p END, CASE WHEN takes THEN new_value ELSE value END,
+    CASE WHEN takes THEN new_spend ELSE spend END, rest - used
+  FROM (
+    SELECT *, coalesce(sum(CASE WHEN takes THEN new_spend - spend END) OVER (PARTITION BY category), 0e0) AS used,
+      bool_or(takes) OVER (PARTITION BY category) AS moved
+    FROM (
+      SELECT *, ratio IS NOT NULL AND sum(CASE WHEN ratio IS NULL THEN 0e0 ELSE new_spend - spend END) OVER (
+          PARTITION BY category ORDER BY ratio DESC NULLS LAST, sku) <= rest + 1e-6 AS takes
+      FROM (
+        SELECT s.round + 1 AS round, s.sku, s.category, s.p, s.value, s.spend, s.rest,
+          c.p AS new_p, c.value AS new_value, c.spend AS new_spend,
+          (c.value - s.value) / greatest(c.spend - s.spend, 1e-6) AS ratio
+        FROM rounds s LEFT JOIN useful c ON c.sku = s.sku AND c.value - s.value > 1e-6
+          AND c.spend - s.spend <= s.rest + 1e-6 AND c.spend - s.spend >= -1e-6
+        QUALIFY row_number() OVER (PARTITION BY s.sku
+          ORDER BY (c.value - s.value) / greatest(c.spend - s.spend, 1e-6) DESC NULLS LAST, c.spend - s.spend, c.p DESC) = 1)))
+  WHERE moved),
+joint_tight AS (
+  SELECT * FROM rounds QUALIFY row_number() OVER (PARTITION BY sku ORDER BY round DESC) = 1)"""
+
 SUGGESTED = f"""{ANALYSIS},
 suggestions AS (
   SELECT k, sku, CASE WHEN k % 50 = 1 THEN 0 ELSE our * (72 + k % 57) // 100 END AS price,
@@ -447,6 +506,20 @@ ORACLES: dict[str, str] = {
           round(sum(value), 2) AS value, round(sum(spend), 2) AS spend, 0e0 AS gap
           FROM joint WHERE in_category >= 2 AND total_spend <= budget GROUP BY category""",
     ),
+    "tight_budget_categories": _q(
+        TIGHT,
+        """SELECT category, any_value(skus) AS skus, round(any_value(budget), 2) AS budget, 'binding' AS state,
+          round(sum(value), 2) AS value, round(sum(spend), 2) AS spend,
+          round(greatest(any_value(bound) - sum(value), 0e0), 2) AS gap
+          FROM joint_tight JOIN limits USING (category) JOIN relaxed USING (category) GROUP BY category""",
+        recursive=True,
+    ),
+    "tight_budget_prices": _q(
+        TIGHT,
+        """SELECT t.sku, t.category, c.our AS current_c, t.p AS price_c, round(t.value, 3) AS value,
+          round(t.spend, 3) AS spend FROM joint_tight t JOIN catalog c USING (sku)""",
+        recursive=True,
+    ),
     "joint_recommendations": _q(
         JOINT,
         f"""SELECT sku, our / 1e2 AS current_price, p / 1e2 AS recommended_price,

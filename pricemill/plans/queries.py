@@ -290,7 +290,8 @@ def tight_budget_categories(spark, folder):
 
 @query
 def tight_budget_prices(spark, folder):
-    return _tight(spark, folder).prices
+    prices = _tight(spark, folder).prices
+    return prices.withColumns({c: F.round(c, 3) for c in ("value", "spend")})
 
 
 @query
