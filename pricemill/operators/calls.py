@@ -53,9 +53,14 @@ def call_stats(
     in_rate: float = 0.0,
     out_rate: float = 0.0,
     max_retries: int = 2,
+    models: int = 2,
 ) -> DataFrame:
     """One row per run: requests, calls, retries, fallbacks, tokens, cost and latency.
 
+    Attempts on a request go through `models` models in turn, each with `max_retries` retries. A request that none
+    answered is answered by rule, which is a success; one whose attempts end before the last was used was
+    stopped by the budget, and is neither.
+
     calls: one row per attempt. `tokens_in` is null where the attempt got no reply, which makes
     it a retry but not a counted call. requests: every request made, cached repeats included;
     without it each request key is taken as one request.
@@ -71,22 +76,27 @@ def call_stats(
         F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("output_tokens"),
         F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 6).alias("estimated_cost_usd"),
     )
-    per_request = calls.groupBy("run_id", "request_key").agg(F.max("ok").alias("answered"))
+    # the last attempt there can be; a stopped request never comes to it
+    last = (F.col("model_rank") == models - 1) & (F.col("attempt") == max_retries + 1)
+    per_request = calls.groupBy("run_id", "request_key").agg(
+        F.max("ok").alias("by_model"), F.max(last & ~F.col("ok")).alias("_used_up")
+    )
+    by_rule = ~F.col("by_model") & F.col("_used_up")
+    per_request = per_request.withColumn("by_rule", by_rule).withColumn("has_answer", F.col("by_model") | by_rule)
     asked = requests.select("run_id", "request_key") if requests is not None else (
         per_request.select("run_id", "request_key")
     )
-    # a request without any attempt in the log was stopped by the budget: it was made, but has no
-    # result; one whose attempts all failed is answered by rule
+    # a request without any attempt in the log was stopped before its first: it was made, but has no result
     outcomes = (
         asked.join(per_request, ["run_id", "request_key"], "left")
         .groupBy("run_id")
         .agg(
             F.count(F.lit(1)).alias("generate_attempts"),
-            F.count("answered").alias("generate_successes"),
+            F.count_if("has_answer").alias("generate_successes"),
         )
         .join(
             per_request.groupBy("run_id").agg(
-                F.count_if(~F.col("answered")).alias("rule_fallback_used")
+                F.count_if("by_rule").alias("rule_fallback_used")
             ),
             "run_id",
             "full",

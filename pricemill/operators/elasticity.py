@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricemill import schemas
@@ -28,11 +28,71 @@ def sales_observations(sold: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def append_sales(*days: DataFrame) -> DataFrame:
-    whole = days[0]
-    for day in days[1:]:
-        whole = whole.unionByName(day)
-    return whole
+SUMS = ("n", "sum_x", "sum_y", "sum_xx", "sum_xy")
+
+
+def sales_sums(sales: DataFrame) -> DataFrame:
+    """What a regression of units on gap needs of some sales, per SKU: count, sums and products.
+
+    Capped days are left out: they report the stock, not the demand. Sums of parts add up to the sums of the whole, so
+    a new day is summed alone and merged. Gaps lie around zero, so the products lose no digits.
+    """
+    schemas.require(sales, schemas.SALES, "sales", optional=("capped",))
+    if "capped" in sales.columns:
+        sales = sales.filter(~F.coalesce("capped", F.lit(False)))
+    x, y = F.col("gap"), F.col("units")
+    # as in the built-in regression, rows without one of both count for nothing
+    both = sales.filter(x.isNotNull() & y.isNotNull())
+    return both.groupBy("sku", "category").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(x).alias("sum_x"),
+        F.sum(y).alias("sum_y"),
+        F.sum(x * x).alias("sum_xx"),
+        F.sum(x * y).alias("sum_xy"),
+    )
+
+
+def merged_sums(parts: DataFrame) -> DataFrame:
+    """Sums of several parts, one row per SKU."""
+    return parts.groupBy("sku", "category").agg(*(F.sum(c).alias(c) for c in SUMS))
+
+
+def append_sales(sales: DataFrame, path: str, batch: str) -> None:
+    """Add a batch of sales to the stored sums. The same batch again replaces itself and counts once."""
+    sums = sales_sums(sales).withColumn("batch", F.lit(batch))
+    sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def stored_sums(spark: SparkSession, path: str) -> DataFrame:
+    """Sums over all batches: reads one row per SKU and batch, no sales."""
+    return merged_sums(spark.read.parquet(path))
+
+
+def fits_from_sums(sums: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """The fits of `sku_fits` from `merged_sums`."""
+    n = F.col("n").cast("double")
+    xx = F.col("sum_xx") - F.col("sum_x") * F.col("sum_x") / n
+    xy = F.col("sum_xy") - F.col("sum_x") * F.col("sum_y") / n
+    slope = F.when(xx > 0, xy / xx)
+    fits = sums.select(
+        "sku",
+        "category",
+        slope.alias("slope"),
+        ((F.col("sum_y") - slope * F.col("sum_x")) / n).alias("intercept"),
+        F.sqrt(F.greatest(xx, F.lit(0.0)) / F.nullif(n - 1, F.lit(0.0))).alias("gap_std"),
+        (F.col("sum_y") / n).alias("mean_units"),
+        F.col("n").alias("observations"),
+    )
+    return _usable_fits(fits, policy)
+
+
+def _usable_fits(fits: DataFrame, policy: Policy) -> DataFrame:
+    return fits.filter(
+        (F.col("observations") >= policy.min_observations)
+        & (F.col("gap_std") >= policy.min_gap_std)
+        & (F.col("mean_units") >= policy.min_mean_units)
+        & (F.col("intercept") > 0)
+    ).withColumn("elasticity", F.col("slope") / F.col("intercept"))
 
 
 def sku_fits(sales: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -51,12 +111,7 @@ def sku_fits(sales: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
         F.avg("units").alias("mean_units"),
         F.count(F.lit(1)).alias("observations"),
     )
-    return fits.filter(
-        (F.col("observations") >= policy.min_observations)
-        & (F.col("gap_std") >= policy.min_gap_std)
-        & (F.col("mean_units") >= policy.min_mean_units)
-        & (F.col("intercept") > 0)
-    ).withColumn("elasticity", F.col("slope") / F.col("intercept"))
+    return _usable_fits(fits, policy)
 
 
 def estimate_elasticity(sales: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:

@@ -273,6 +273,70 @@ matches AS (
   FROM blocked t LEFT JOIN winners USING (listing_name)),
 matched AS (SELECT l.*, matched_sku FROM listings l JOIN matches USING (listing_name))"""
 
+def _tests(name: str, key: str, rows: str, **rules: str) -> str:
+    """Each row of a table with each of its rules; a null breaks none but `_missing`."""
+    each = ", ".join(f"{{'rule': '{rule}', 'bad': NOT coalesce({test}, true)}}" for rule, test in rules.items())
+    return f"""SELECT '{name}' AS "table", {key} AS key, unnest([{each}], recursive := true) FROM ({rows})"""
+
+
+def _there(columns: str) -> dict[str, str]:
+    return {f"{c}_missing": f"{c} IS NOT NULL" for c in columns.split()}
+
+
+_TESTS = (
+    _tests(
+        "catalog", "sku",
+        """SELECT sku, name, brand, category, CASE WHEN k % 13 <> 0 THEN our END AS our_price,
+          CASE WHEN k % 17 <> 0 THEN cost ELSE 0 END AS cost, CASE WHEN k % 19 <> 0 THEN stock ELSE -1 END AS stock
+          FROM catalog""",
+        **_there("sku name brand category our_price cost stock"),
+        our_price_not_positive="our_price > 0", cost_not_positive="cost > 0", stock_negative="stock >= 0",
+    ),
+    _tests(
+        "prices", "sku",
+        """SELECT CASE WHEN l_orderkey % 503 = 0 THEN 'x' ELSE '' END || sku AS sku, competitor, date,
+          CASE WHEN l_orderkey % 501 = 0 THEN 0 ELSE price END AS price,
+          CASE WHEN l_orderkey % 509 <> 0 THEN in_stock END AS in_stock FROM feed""",
+        **_there("sku competitor price in_stock date"), price_not_positive="price > 0",
+    ),
+    _tests(
+        "listings", "competitor",
+        """SELECT competitor, listing_name, date, CASE WHEN day(date) <> 13 THEN price ELSE 0 END AS price,
+          CASE WHEN day(date) <> 17 THEN in_stock END AS in_stock FROM listings""",
+        **_there("competitor listing_name price in_stock date"), price_not_positive="price > 0",
+    ),
+    _tests(
+        "suggestions", "sku", "SELECT * FROM suggestions",
+        recommended_price_too_low="price >= 1", confidence_out_of_range="confidence BETWEEN 0 AND 1",
+    ),
+    _tests(
+        "recommendations", "sku",
+        """SELECT sku, p, CASE WHEN k % 7 <> 0 THEN violation ELSE 'odd' END AS violation,
+          CASE WHEN k % 11 <> 0 THEN confidence ELSE 2e0 END AS confidence FROM recs""",
+        recommended_price_not_positive="p > 0", confidence_out_of_range="confidence BETWEEN 0 AND 1",
+        guardrail_violation_unknown="""violation IN (
+          'none', 'below_min_margin', 'exceeds_max_price_change', 'low_stock_blocks_raise')""",
+    ),
+    _tests(
+        "pending", "sku",
+        """SELECT CASE WHEN k % 3 <> 0 THEN 'r1' END AS run_id, sku, our AS current_price, p AS recommended_price,
+          confidence, CASE WHEN k % 5 <> 0 THEN 'pending' ELSE 'lost' END AS status FROM recs""",
+        **_there("run_id sku current_price recommended_price confidence"),
+        status_unknown="status IN ('pending', 'approved', 'rejected')",
+    ),
+)
+RULES = f"""{SUGGESTED}{LISTINGS.removeprefix(PRICES)},
+tests AS ({" UNION ALL ".join(_TESTS)})"""
+
+# the same similarity over listings that name no known brand
+UNBRANDED = MATCHES.replace(
+    "FROM (SELECT DISTINCT listing_name FROM listings)",
+    """FROM (SELECT DISTINCT CASE WHEN k % 2 = 0 THEN tail ELSE 'q' || brand || ' ' || tail END AS listing_name FROM (
+      SELECT k, brand, array_to_string(list_transform(rest, lambda w, i:
+        CASE WHEN i = 2 AND k % 4 = 1 THEN w || 'x' ELSE w END), ' ') AS tail
+      FROM parts WHERE k % 20 = 3 OR k % 20 = 6))""",
+)
+
 DAYS = f"""{PRICES},
 daily AS (
   SELECT sku, k, date AS day, count(*) FILTER (in_stock) AS ni, CAST(sum(price) FILTER (in_stock) AS BIGINT) AS si,
@@ -318,8 +382,8 @@ suspicious AS (
 
 CALLS = f"""{EVENTS},
 sized AS (
-  SELECT *, CASE WHEN event_type = 'error' AND k % 2 = 0 THEN 4 WHEN event_type = 'error' THEN 6
-    ELSE 1 + k % 3 END AS n FROM rows_),
+  SELECT *, CASE WHEN event_type = 'error' AND k % 2 = 0 THEN 4 WHEN event_type = 'error' AND k % 10 = 9 THEN 5
+    WHEN event_type = 'error' THEN 6 ELSE 1 + k % 3 END AS n FROM rows_),
 tried AS (
   SELECT *, i = n - 1 AND NOT (event_type = 'error' AND k % 2 = 1) AS ok
   FROM sized, range(6) AS r(i) WHERE i < n),
@@ -440,6 +504,29 @@ ORACLES: dict[str, str] = {
         """SELECT c.sku, name, brand, category, coalesce(s.price, our) / 1e2 AS our_price, cost / 1e2 AS cost, stock
           FROM catalog c LEFT JOIN (SELECT sku, price FROM suggestions WHERE price > 0) s USING (sku)""",
     ),
+    "stored_price_upsert": _q(
+        FEED,
+        """SELECT sku, competitor, date, price / 1e2 AS price, in_stock FROM feed QUALIFY row_number() OVER (
+          PARTITION BY sku, competitor, date ORDER BY l_linenumber > 4 DESC, l_orderkey DESC, l_linenumber DESC) = 1""",
+    ),
+    "run_log_events": _q(
+        EVENTS,
+        """SELECT run_id, 'tool' AS agent, event_type AS event, CASE WHEN e % 41 <> 0 THEN event_type <> 'error' END AS success,
+          CASE WHEN e % 41 <> 0 THEN CAST(k AS DOUBLE) END AS payload_ms, CAST(k AS DOUBLE) AS latency_ms,
+          CASE WHEN e % 41 = 0 THEN '{"success": tru' END AS damaged FROM rows_ WHERE run_id = 'r7'
+        UNION ALL
+        SELECT run_id, NULL, NULL, NULL, NULL, NULL, '{"timestamp": broken ' || CAST(e AS VARCHAR)
+          FROM rows_ WHERE run_id = 'r7' AND e % 37 = 0""",
+    ),
+    "rule_counts": _q(
+        RULES,
+        """SELECT "table", rule, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS broken, count(*) AS rows
+          FROM tests GROUP BY "table", rule""",
+    ),
+    "rule_violations": _q(
+        RULES,
+        """SELECT "table", key, rule, count(*) AS broken FROM tests WHERE bad GROUP BY "table", key, rule""",
+    ),
     "first_n_per_category": _q(
         CATALOG,
         """SELECT category, sku, name FROM catalog
@@ -463,6 +550,9 @@ ORACLES: dict[str, str] = {
     "sku_elasticity": _q(
         SALES, "SELECT sku, category, observations, round(e, 4) AS elasticity FROM fits"
     ),
+    "merged_elasticity": _q(
+        SALES, "SELECT sku, category, observations, round(e, 4) AS elasticity FROM fits"
+    ),
     "elasticity_error": _q(
         SALES,
         """SELECT category, known, elasticity AS estimated, round(abs(known - elasticity), 3) AS abs_error
@@ -554,12 +644,21 @@ ORACLES: dict[str, str] = {
     "listing_matches": _q(
         MATCHES, "SELECT listing_name, matched_sku, round(score, 6) AS match_score FROM matches"
     ),
+    "unbranded_matches": _q(
+        UNBRANDED, "SELECT listing_name, matched_sku, round(score, 6) AS match_score FROM matches"
+    ),
     "ingested_prices": _q(
         MATCHES,
         """SELECT matched_sku AS sku, competitor, price / 1e2 AS price, in_stock, date FROM matched
           WHERE matched_sku IS NOT NULL QUALIFY row_number() OVER (
             PARTITION BY matched_sku, competitor, date ORDER BY listing_name DESC, price DESC) = 1""",
     ),
+    "published_prices": _q(
+        MATCHES,
+        """SELECT matched_sku AS sku, competitor, price / 1e2 AS price, in_stock, date FROM matched
+          WHERE matched_sku IS NOT NULL QUALIFY row_number() OVER (
+            PARTITION BY matched_sku, competitor, date ORDER BY listing_name DESC, price DESC) = 1""",
+    ),
     "matching_quality": _q(
         MATCHES + """,
         latest AS (SELECT matched_sku AS m, true_sku AS t FROM matched
@@ -636,10 +735,11 @@ ORACLES: dict[str, str] = {
     "call_costs": _q(CALLS, f"SELECT run_id, seq, round({COST}, 6) AS cost_usd FROM calls"),
     "call_stats": _q(
         CALLS + f""",
-        answered AS (SELECT run_id, request_key, bool_or(ok) AS a FROM calls GROUP BY ALL),
-        asked AS (SELECT run_id, count(*) AS n, count(a) AS done FROM requests LEFT JOIN answered
+        answered AS (SELECT run_id, request_key, bool_or(ok) AS a,
+          NOT bool_or(ok) AND bool_or(model_rank = 1 AND attempt = 3) AS by_rule FROM calls GROUP BY ALL),
+        asked AS (SELECT run_id, count(*) AS n, count(*) FILTER (a OR by_rule) AS done FROM requests LEFT JOIN answered
           USING (run_id, request_key) GROUP BY run_id),
-        ruled AS (SELECT run_id, count(*) FILTER (NOT a) AS r FROM answered GROUP BY run_id),
+        ruled AS (SELECT run_id, count(*) FILTER (by_rule) AS r FROM answered GROUP BY run_id),
         used AS (SELECT run_id, string_agg(model || '=' || CAST(c AS VARCHAR), ',' ORDER BY model) AS models_used
           FROM (SELECT run_id, model, count(*) AS c FROM calls WHERE ok GROUP BY ALL) GROUP BY run_id),
         sums AS (SELECT run_id, count(tokens_in) AS llm_calls, count(*) FILTER (NOT ok AND attempt <= 2) AS retries,

@@ -18,7 +18,7 @@ from pricemill.params import DEFAULT_POLICY
 from pricemill.plans import daily_run, ingestion
 from pricemill.plans import standins as S
 from pricemill.session import checkpoint_dir, staged
-from pricemill.sources import snapshots, tables
+from pricemill.sources import audit_log, snapshots, stored_tables, tables
 from pricemill.sources.reference_data import with_elasticity
 from pricemill.streaming import approvals as stream_approvals
 from pricemill.streaming import audit_rate, price_feed
@@ -170,6 +170,63 @@ def catalog_upsert(spark, folder):
     return snapshots.upsert(c, changed, snapshots.CATALOG_KEY, ["confidence"])
 
 
+@query
+def stored_price_upsert(spark, folder):
+    """A stored price table after a second delivery was merged in, read back from its folders."""
+    first, second = S.late_prices(spark, folder)
+    path, spread = _folder(spark, "stored-prices"), ("date",)
+    initial = snapshots.last_per_key(first, snapshots.PRICE_KEY, ["arrival"]).drop("arrival")
+    stored_tables.create_stored(initial, path, spread)
+    stored_tables.upsert_stored(path, second, snapshots.PRICE_KEY, spread, ["arrival"])
+    return stored_tables.read_stored(spark, path)
+
+
+@query
+def run_log_events(spark, folder):
+    """One run's events out of a log of many runs, with the lines and payloads that do not decode."""
+    events, lines = S.damaged_log(spark, folder)
+    path = _folder(spark, "log")
+    audit_log.append_events(events, path)
+    lines.write.mode("append").partitionBy("run_id").text(path)
+    found = audit_log.read_log(spark, path, "r7")
+    return found.select(
+        "run_id", "agent", "event", F.col("data.success").alias("success"), F.col("data.latency_ms").alias("payload_ms"),
+        "latency_ms", "damaged",
+    )
+
+
+def _rule_tables(spark, folder):
+    rules = {
+        "catalog": constraints.catalog_rules(),
+        "prices": constraints.price_rules(),
+        "listings": constraints.listing_rules(),
+        "suggestions": constraints.suggestion_rules(),
+        "recommendations": constraints.recommendation_rules(),
+        "pending": constraints.pending_rules(),
+    }
+    faulty = S.faulty_tables(spark, folder, staged(_suggested(spark, folder).accepted, "recommended"))
+    return constraints.rule_counts({name: (faulty[name], rules[name]) for name in rules})
+
+
+@query
+def rule_counts(spark, folder):
+    """Rows and violations of every rule of all six tables, counted in the pass that checks them."""
+    return _rule_tables(spark, folder)[0]
+
+
+@query
+def rule_violations(spark, folder):
+    """One row per product or competitor, table and broken rule, over all six tables."""
+    _, marked = _rule_tables(spark, folder)
+    rows = None
+    for name, table in marked.items():
+        key = F.col("sku" if "sku" in table.columns else "competitor").alias("key")
+        found = table.select(F.lit(name).alias("table"), key, F.explode("violations").alias("rule"))
+        found = found.groupBy("table", "key", "rule").agg(F.count(F.lit(1)).alias("broken"))
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
 @query
 def first_n_per_category(spark, folder):
     return market.first_per_category(S.catalog(spark, folder), 5).select("category", "sku", "name")
@@ -194,6 +251,17 @@ def sku_elasticity(spark, folder):
     return fits.select("sku", "category", "observations", F.round("elasticity", 4).alias("elasticity"))
 
 
+@query
+def merged_elasticity(spark, folder):
+    """Fits from stored sums of three batches of sales, one of them delivered twice."""
+    sales, path = S.sales(spark, folder), _folder(spark, "sales-sums")
+    batch = F.pmod(F.xxhash64("sku", "gap", "units"), F.lit(3))
+    for k in (0, 1, 2, 1):
+        elasticity.append_sales(sales.filter(batch == k), path, f"b{k}")
+    fits = elasticity.fits_from_sums(elasticity.stored_sums(spark, path))
+    return fits.select("sku", "category", "observations", F.round("elasticity", 4).alias("elasticity"))
+
+
 @query
 def elasticity_error(spark, folder):
     estimates = elasticity.estimate_elasticity(S.sales(spark, folder))
@@ -354,6 +422,14 @@ def listing_matches(spark, folder):
     return m.withColumn("match_score", F.round("match_score", 6))
 
 
+@query
+def unbranded_matches(spark, folder):
+    """Listings that name no known brand: every product is a candidate."""
+    names = matching.distinct_listings(S.unbranded_listings(spark, folder))
+    m = matching.match_names(names, S.catalog(spark, folder))
+    return m.withColumn("match_score", F.round("match_score", 6))
+
+
 def _ingested(spark, folder):
     received = staged(S.listings(spark, folder), "received")
     return ingestion.ingest_listings(received, S.catalog(spark, folder))
@@ -364,6 +440,16 @@ def ingested_prices(spark, folder):
     return _ingested(spark, folder).prices
 
 
+@query
+def published_prices(spark, folder):
+    """Prices of the second of two refreshes of listings and prices, read back as published."""
+    root, received = _folder(spark, "published"), staged(S.listings(spark, folder), "received")
+    some = received.filter(F.xxhash64("listing_name") % 2 == 0)
+    for listings in (some, received):
+        ingestion.publish_refresh(ingestion.ingest_listings(listings, S.catalog(spark, folder)), root)
+    return stored_tables.read_published(spark, root, "prices")["prices"]
+
+
 @query
 def matching_quality(spark, folder):
     return _ingested(spark, folder).quality

@@ -297,10 +297,13 @@ def audit_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def call_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Attempts of each request: up to three per model, two models, errors may fail on both."""
+    """Attempts of each request: up to three per model, two models; errors may fail on both, or be stopped."""
     k, failed = F.col("k"), F.col("event_type") == "error"
     attempts = (
-        F.when(failed & (k % 2 == 0), 4).when(failed, 6).otherwise((F.lit(1) + k % 3).cast("int"))
+        F.when(failed & (k % 2 == 0), 4)
+        .when(failed & (k % 10 == 9), 5)
+        .when(failed, 6)
+        .otherwise((F.lit(1) + k % 3).cast("int"))
     )
     rows = (
         _event_rows(spark, folder)
@@ -379,3 +382,82 @@ def dirty_prices(spark: SparkSession, folder: str) -> DataFrame:
         "date",
         "arrival",
     )
+
+
+def late_prices(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The price feed in two deliveries: lines up to the fourth of an order, and the later ones."""
+    feed = price_feed(spark, folder)
+    line = F.col("arrival") % 10
+    return feed.filter(line <= 4), feed.filter(line > 4)
+
+
+def damaged_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Tool events, some with a payload that breaks off, and lines that are no JSON: (events, (run_id, value))."""
+    rows = _event_rows(spark, folder)
+    payload = F.to_json(
+        F.struct((F.col("event_type") != "error").alias("success"), F.col("k").cast("double").alias("latency_ms"))
+    )
+    events = rows.select(
+        "timestamp",
+        "run_id",
+        F.lit("tool").alias("agent"),
+        F.col("event_type").alias("event"),
+        F.when(F.col("event_id") % 41 == 0, F.lit('{"success": tru')).otherwise(payload).alias("data"),
+        F.col("k").cast("double").alias("latency_ms"),
+    )
+    lines = rows.filter(F.col("event_id") % 37 == 0).select(
+        "run_id", F.concat(F.lit('{"timestamp": broken '), F.col("event_id").cast("string")).alias("value")
+    )
+    return events, lines
+
+
+def faulty_tables(spark: SparkSession, folder: str, recommended: DataFrame) -> dict[str, DataFrame]:
+    """All six tables that have rules, with planted faults."""
+    n = F.col("sku").cast("long")
+    c = catalog(spark, folder)
+    return {
+        "catalog": c.withColumns(
+            {
+                "our_price": F.when(n % 13 != 0, F.col("our_price")),
+                "cost": F.when(n % 17 != 0, F.col("cost")).otherwise(0.0),
+                "stock": F.when(n % 19 != 0, F.col("stock")).otherwise(-1),
+            }
+        ),
+        "prices": dirty_prices(spark, folder),
+        "listings": listings(spark, folder).withColumns(
+            {
+                "price": F.when(F.dayofmonth("date") != 13, F.col("price")).otherwise(0.0),
+                "in_stock": F.when(F.dayofmonth("date") != 17, F.col("in_stock")),
+            }
+        ),
+        "suggestions": suggestions(spark, folder),
+        "recommendations": recommended.withColumns(
+            {
+                "guardrail_violation": F.when(n % 7 != 0, F.col("guardrail_violation")).otherwise("odd"),
+                "confidence": F.when(n % 11 != 0, F.col("confidence")).otherwise(2.0),
+            }
+        ),
+        "pending": recommended.select(
+            F.when(n % 3 != 0, F.lit("r1")).alias("run_id"),
+            "sku",
+            "current_price",
+            "recommended_price",
+            "confidence",
+            F.when(n % 5 != 0, F.lit("pending")).otherwise("lost").alias("status"),
+        ),
+    }
+
+
+def unbranded_listings(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings that name no known brand: without one, or with its first two letters swapped; some with a typo more."""
+    parts = _parts(spark, folder)
+    k = F.col("k")
+    words = F.split(F.expr("substring(name, length(brand) + 2)"), " ")
+    swapped = F.transform(
+        words, lambda w, i: F.when((i == 1) & (k % 4 == 1), F.concat(w, F.lit("x"))).otherwise(w)
+    )
+    odd_brand = F.concat(F.lit("q"), F.col("brand"))
+    name = F.when(k % 2 == 0, F.concat_ws(" ", swapped)).otherwise(F.concat_ws(" ", odd_brand, F.concat_ws(" ", swapped)))
+    return parts.filter(k % 20 == 3).select(name.alias("listing_name")).union(
+        parts.filter(k % 20 == 6).select(F.concat_ws(" ", swapped).alias("listing_name"))
+    )

@@ -151,26 +151,40 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 def _fits(declared: T.DataType, found: T.DataType) -> bool:
     if isinstance(declared, _WHOLE):
         return isinstance(found, _WHOLE)
-    if isinstance(declared, T.ArrayType):
-        return isinstance(found, T.ArrayType) and _fits(declared.elementType, found.elementType)
-    if isinstance(declared, T.StructType):
-        return isinstance(found, T.StructType) and not _mismatches(declared, found, ())
     return isinstance(found, type(declared))
 
 
+def differences(declared: T.DataType, found: T.DataType, path: str = "") -> list[tuple[str, str, str]]:
+    """(path, declared type, found type or `missing`) of every place where a schema breaks its declaration.
+
+    Goes down into structs, arrays (`path[]`) and map values (`path{}`). Additional columns are allowed.
+    """
+    if isinstance(declared, T.StructType) and isinstance(found, T.StructType):
+        by_name = {f.name: f.dataType for f in found.fields}
+        wrong = []
+        for field in declared.fields:
+            place = f"{path}.{field.name}" if path else field.name
+            if field.name not in by_name:
+                wrong.append((place, field.dataType.simpleString(), "missing"))
+            else:
+                wrong += differences(field.dataType, by_name[field.name], place)
+        return wrong
+    if isinstance(declared, T.ArrayType) and isinstance(found, T.ArrayType):
+        return differences(declared.elementType, found.elementType, f"{path}[]")
+    if isinstance(declared, T.MapType) and isinstance(found, T.MapType):
+        keys = differences(declared.keyType, found.keyType, f"{path}{{key}}")
+        return keys + differences(declared.valueType, found.valueType, f"{path}{{}}")
+    if _fits(declared, found):
+        return []
+    return [(path, declared.simpleString(), found.simpleString())]
+
+
 def _mismatches(declared: T.StructType, found: T.StructType, optional) -> list[str]:
-    by_name = {f.name: f.dataType for f in found.fields}
-    wrong = []
-    for field in declared.fields:
-        if field.name not in by_name:
-            if field.name not in optional:
-                wrong.append(f"{field.name}: missing")
-        elif not _fits(field.dataType, by_name[field.name]):
-            wrong.append(
-                f"{field.name}: expected {field.dataType.simpleString()}, "
-                f"found {by_name[field.name].simpleString()}"
-            )
-    return wrong
+    return [
+        f"{path}: missing" if there == "missing" else f"{path}: expected {wanted}, found {there}"
+        for path, wanted, there in differences(declared, found)
+        if not (there == "missing" and path in optional)
+    ]
 
 
 def require(df: DataFrame, declared: T.StructType, what: str, optional=()) -> DataFrame:

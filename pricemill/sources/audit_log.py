@@ -43,17 +43,40 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").partitionBy("run_id").json(path)
 
 
-def read_events(
+def read_log(
     spark: SparkSession, path: str, run_id: str | None = None, payload: T.StructType | None = None
 ) -> DataFrame:
-    """Events of one run (only its folder is read) or of all runs, payload parsed."""
+    """Events of one run (only its folder is read) or of all runs, payload parsed, and `damaged`.
+
+    `damaged` is null for a sound event. For a line that is no JSON it is the line, and all else but the run is
+    null; for a payload that does not decode it is the payload.
+    """
+    payload = payload or schemas.EVENT_DATA
+    line = T.StructField("_line", T.StringType())
     stored = T.StructType(
         [
             T.StructField(f.name, T.StringType() if f.name == "data" else f.dataType)
             for f in schemas.EVENTS.fields
         ]
+        + [line]
     )
-    events = spark.read.schema(stored).json(path)
+    events = spark.read.schema(stored).option("columnNameOfCorruptRecord", line.name).json(path)
     if run_id is not None:
         events = events.filter(F.col("run_id") == run_id)
-    return events.withColumn("data", F.from_json("data", payload or schemas.EVENT_DATA))
+    decoded = F.from_json(
+        "data", T.StructType([*payload.fields, line]), {"columnNameOfCorruptRecord": line.name}
+    )
+    parsed = events.withColumn("_data", decoded)
+    return parsed.select(
+        *[c for c in events.columns if c not in ("data", line.name)],
+        F.when(F.col("_data").isNotNull(), F.struct(*[F.col("_data")[f.name].alias(f.name) for f in payload.fields])).alias("data"),
+        F.coalesce(line.name, F.col("_data")[line.name]).alias("damaged"),
+    )
+
+
+def read_events(
+    spark: SparkSession, path: str, run_id: str | None = None, payload: T.StructType | None = None
+) -> DataFrame:
+    """The sound events of `read_log`."""
+    events = read_log(spark, path, run_id, payload).filter("damaged is null")
+    return events.select(*[f.name for f in schemas.EVENTS.fields])
