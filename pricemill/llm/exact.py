@@ -66,19 +66,28 @@ def _decided(digests: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `exact_groups` keeps, with their columns.
+    """The rows of `docs` (doc_id, text, ...) that stay: one of each group of equal texts, with all its columns.
 
-    Losing ids are few and narrow; whole rows are matched with the winners by id and digest. Of
-    rows that agree in both, one stays.
+    Decisions are made on ids and digests alone. What goes is named by id and digest, and Spark matches it on the map
+    side while it is small; texts are shuffled, once, only where it is not. Null texts equal empty ones. Of rows that
+    agree in id and normalised text, the one with the smallest hash of all its columns stays. Rows without an id stay
+    only if no equal text has one. An empty table gives no rows. Columns may have any names.
     """
-    marked = docs.withColumn("text_sha256_", digest())
     digests = numbered(docs.select("doc_id", digest().alias("text_sha256")), "digests")
-    kept = staged(
-        _decided(digests)
-        .where("row_no = keep_row")
-        .select(F.col("doc_id").alias("doc_id_"), F.col("text_sha256").alias("text_sha256_")),
-        "kept",
+    counts = _decided(digests).groupBy("doc_id", "text_sha256").agg(
+        F.max(F.col("row_no") == F.col("keep_row")).alias("stays"), F.count("*").alias("n")
     )
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id_")) & (F.col("d.text_sha256_") == F.col("k.text_sha256_"))
-    rows = marked.alias("d").join(kept.alias("k"), same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "text_sha256_"]).drop("text_sha256_")
+    # pairs of which a row goes: all rows of a pair that loses, all but one of a pair that repeats
+    pairs = staged(counts.where("not stays or n > 1").select("doc_id", "text_sha256", "stays"), "losing-pairs")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest().alias("sha"))
+
+    def match(pairs: DataFrame):
+        return F.col("row.doc_id").eqNullSafe(pairs["doc_id"]) & (F.col("sha") == pairs["text_sha256"])
+
+    whole = rows.join(pairs, match(pairs), "left_anti").select("row")
+    repeated = pairs.where("stays")
+    again = rows.join(repeated, match(repeated), "left_semi")
+    one = again.groupBy(F.col("row.doc_id").alias("id"), "sha").agg(
+        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")
+    )
+    return whole.unionByName(one.select("row")).select("row.*")

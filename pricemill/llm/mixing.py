@@ -225,20 +225,25 @@ def mix(
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, each as often as `mix` takes it; rows taken zero times go."""
-    sized = docs.withColumn("size_", word_count())
-    # rows of one id, source and size are interchangeable: their copies are dealt to them in turn
-    dealt = mix(docs, **options).groupBy("doc_id", "source", "size").agg(
-        F.sort_array(F.collect_list("copies")).alias("copies_")
+    """The rows of `docs` (doc_id, text, source, ...), each as often as `mix` takes it, with all its columns.
+
+    Rows taken zero times go. Rows of one id, source and size are interchangeable for `mix`; their copies are dealt to
+    them in turn, by a hash of the text. Nulls count as in `mix`: a null text has size 0, a null source is a source. An
+    empty table gives no rows. Columns may have any names.
+    """
+    sized = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.col("source").cast("string").alias("of"),
+        word_count().alias("size"),
     )
-    d = dealt.select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("dealt_size_"), "copies_")
-    order = Window.partitionBy("doc_id", "source", "size_").orderBy(F.xxhash64("text"))
-    turn = sized.withColumn("turn_", F.row_number().over(order))
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("id_"))
-        & F.col("source").cast("string").eqNullSafe(F.col("source_"))
-        & (F.col("size_") == F.col("dealt_size_"))
+    dealt = mix(docs, **options).groupBy("doc_id", "source", "size").agg(
+        F.sort_array(F.collect_list("copies")).alias("copies")
     )
-    times = F.coalesce(F.get(F.col("copies_"), F.col("turn_") - 1), F.lit(0)).cast("long")
-    joined = turn.join(d, same).withColumn("times_", times).where("times_ > 0")
-    return joined.withColumn("one_", F.explode(F.array_repeat(F.lit(1), F.col("times_").cast("int")))).select(*docs.columns)
+    d = dealt.select(F.col("doc_id").alias("d_id"), F.col("source").alias("d_of"), F.col("size").alias("d_size"), "copies")
+    order = Window.partitionBy("id", "of", "size").orderBy(F.xxhash64("row.text"))
+    turn = sized.withColumn("turn", F.row_number().over(order))
+    same = F.col("id").eqNullSafe(F.col("d_id")) & F.col("of").eqNullSafe(F.col("d_of")) & (F.col("size") == F.col("d_size"))
+    times = F.coalesce(F.get(F.col("copies"), F.col("turn") - 1), F.lit(0)).cast("int")
+    joined = turn.join(d, same).select("row", times.alias("times")).where("times > 0")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")

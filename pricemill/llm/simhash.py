@@ -21,9 +21,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricemill.llm.common import map_batches
+from pricemill.llm.common import map_batches, numbered
 from pricemill.llm.components import components
-from pricemill.session import staged
+from pricemill.llm.rolling import BASES, RunHasher, item_hasher
+from pricemill.session import discard, staged
 
 BITS = 64
 MAX_DIFFERENT = 3
@@ -60,12 +61,15 @@ def majority_bits(hashes) -> int:
     n = len(hashes)
     if n == 0:
         return 0
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    # eight counters of one byte each are added at a time, 255 rows at most before they could overflow
-    lanes = bits.view(np.uint64)
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, 255):
-        counts += lanes[i : i + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    # 64 bytes a hash are unpacked at a time for so many hashes, however long the text is
+    for at in range(0, n, 255 * 256):
+        part = hashes[at : at + 255 * 256]
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
+        # eight counters of one byte each are added at a time, 255 rows at most before they could overflow
+        lanes = bits.view(np.uint64)
+        for i in range(0, len(part), 255):
+            counts += lanes[i : i + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
     packed = np.packbits((2 * counts > n).astype(np.uint8), bitorder="little")
     return int(packed.view(np.uint64)[0])
 
@@ -127,14 +131,15 @@ def _named_here(a: Column, b: Column, crowded: Column, place: Column) -> Column:
     return both.bitwiseAND(F.bitwise_not(crowded)).bitwiseAND(before) == 0
 
 
-def links(nodes: DataFrame, few: int = FEW) -> DataFrame:
+def links(nodes: DataFrame, few: int = FEW, written: list | None = None) -> DataFrame:
     """Edges (which, a, b) that connect exactly what distances of at most three bits connect.
 
     `nodes` has one row per kind of fingerprint `which` (below 256) and distinct fingerprint `fp`; only
     fingerprints of one kind are compared. Edges are pairs within three bits, or, for
     variants shared by more than `few` nodes, pairs that a chain of such steps connects.
     Joins on variants and centres are merge joins: Spark does not count the rows that an explode adds, so
-    it would take 64 or 2,081 rows per node for the size of the nodes and broadcast them.
+    it would take 64 or 2,081 rows per node for the size of the nodes and broadcast them. Frames that the result
+    reads are added to `written`, for the caller to discard when it has read it.
     """
     kind = F.shiftleft(F.col("which").cast("long"), SEGMENT + 6)
     keyed = nodes.select("which", "fp", F.explode(_variants()).alias("variant")).select(
@@ -154,6 +159,8 @@ def links(nodes: DataFrame, few: int = FEW) -> DataFrame:
     many = staged(
         members.where(F.col("n") > few).groupBy("which", "fp").agg(F.bit_or(own_bit).alias("crowded")), "crowded"
     )
+    if written is not None:
+        written += [shared, many]
     groups = (
         members.where(F.col("n") <= few)
         .join(many.hint("merge"), ["which", "fp"], "left")
@@ -249,8 +256,6 @@ def _word_fingerprints(docs: DataFrame) -> DataFrame:
     def make(batches) -> Iterator[dict]:
         import numpy as np
 
-        from pricemill.llm.rolling import item_hasher
-
         hashes = item_hasher(SEED)
         salts = [np.uint64(s * 0x632BE59BD9B4E019 % 2**64) for s in range(1, FINGERPRINTS + 1)]
         for b in batches:
@@ -287,8 +292,6 @@ def _shingle_hasher():
     """A function from the words of a text to the sorted hashes of its set of shingles."""
     import numpy as np
 
-    from pricemill.llm.rolling import BASES, RunHasher, item_hasher
-
     hashes, run = item_hasher(SEED), RunHasher(BASES[0])
 
     def shingles(words: list[bytes]):
@@ -378,6 +381,7 @@ def _unlinked_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     enough_met = F.count("*") > F.floor(F.col("n") / 16)
     met_docs = met.join(across, "key", "left_semi").groupBy("doc", "label", "n").agg(enough_met.alias("enough"))
     met_docs = staged(met_docs.where("enough").select("doc", "label"), "met-documents")
+    discard(small, met, across)
     rows = staged(_shingles(texts.join(met_docs, "doc", "left_semi"), False).join(met_docs, "doc"), "met-sets")
     counts = rows.groupBy("key").agg(F.count("*").alias("docs"), differ.alias("across")).where("across")
     counts = staged(counts.select("key", "docs"), "met-counts")
@@ -394,6 +398,7 @@ def _unlinked_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
         .select("doc", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), F.col("front.key").alias("key"))
     )
     rare = staged(rare, "rare-shingles")
+    discard(rows, counts)
     largest = (
         rare.groupBy("key", "label").count()
         .groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("labels"))
@@ -407,7 +412,10 @@ def _unlinked_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     # 0.8 of the union is 4/9 of both sizes together
     enough = 9 * F.least("rest_x", "rest_y") >= 4 * (F.col("n_x") + F.col("n_y"))
     pairs = x.hint("merge").join(y, "key").where((F.col("label_x") != F.col("label_y")) & once & enough)
-    return pairs.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
+    pairs = pairs.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
+    pairs = staged(pairs, "unlinked-pairs")
+    discard(rare, largest, others, met_docs)
+    return pairs
 
 
 def _near_groups(texts: DataFrame) -> DataFrame:
@@ -425,7 +433,13 @@ def _near_groups(texts: DataFrame) -> DataFrame:
         _word_fingerprints(texts).select("doc", F.posexplode("prints").alias("which", "fp")), "word-fingerprints"
     )
     nodes = staged(prints.groupBy("which", "fp").agg(F.min("doc").alias("doc")), "word-nodes")
-    edges = staged(links(nodes.select("which", "fp")), "word-links")
+    # one kind after the other, so that the 64 variants of only one lie on disk
+    edges = None
+    for kind in range(FINGERPRINTS):
+        own = links(nodes.where(F.col("which") == kind).select("which", "fp"), written=(temporary := []))
+        own = staged(own, "word-links")
+        discard(*temporary)
+        edges = own if edges is None else edges.unionByName(own)
     same = prints.join(nodes.withColumnRenamed("doc", "least"), ["which", "fp"]).select(
         F.col("least").alias("a"), F.col("doc").alias("b")
     )
@@ -440,6 +454,7 @@ def _near_groups(texts: DataFrame) -> DataFrame:
 
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     sure = staged(_verified(nearest, words), "verified")
+    discard(prints, nodes)
     labels = components(sure)
     a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
     b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
@@ -448,7 +463,8 @@ def _near_groups(texts: DataFrame) -> DataFrame:
     more = staged(_verified(open_pairs.select("a", "b"), words), "verified-too")
     found = labels if more.isEmpty() else components(sure.union(more))
 
-    left = staged(_unlinked_pairs(texts, found), "unlinked-pairs")
+    discard(words, pairs)
+    left = _unlinked_pairs(texts, found)
     if not left.isEmpty():
         involved = left.select(F.col("a").alias("doc")).union(left.select("b")).distinct()
         last = staged(_verified(left, staged(_squeezed(texts.join(involved, "doc", "left_semi")), "unlinked-texts")), "verified-last")
@@ -458,27 +474,22 @@ def _near_groups(texts: DataFrame) -> DataFrame:
 
 
 def _near_rows(docs: DataFrame) -> DataFrame:
-    """(row, id, label) of the rows of `docs` (near_row_, doc_id, text) in a group; label is the same in a group."""
-    rows = docs.where("doc_id is not null").withColumnRenamed("near_row_", "near_doc_")
-    texts = rows.select(F.col("near_doc_").alias("doc"), F.col("text").cast("string").alias("text"))
-    ids = rows.select(F.col("near_doc_").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    """(row, id, label) of the rows of `docs` (row_no, doc_id, text) in a group; label is the same in a group."""
+    rows = docs.where("doc_id is not null")
+    texts = rows.select(F.col("row_no").alias("doc"), F.col("text").cast("string").alias("text"))
+    ids = rows.select(F.col("row_no").alias("row"), F.col("doc_id").cast("long").alias("id"))
     groups = _near_groups(texts).withColumnRenamed("node", "row")
     return staged(ids.join(groups, "row"), "near-rows")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with a row number, written: rows may repeat a doc_id."""
-    return staged(docs.withColumn("near_row_", F.monotonically_increasing_id()), "near-texts")
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
     """Groups of near copies among `docs` (doc_id, text): (doc_id, component_id) of the rows in one.
 
     Links are those of `_near_groups`; component_id is the smallest doc_id that they reach. Texts without words
     and rows without an id are in no group; rows that repeat an id are judged one by one. An empty table has no
-    groups.
+    groups. Other columns are ignored, whatever their names.
     """
-    rows = _near_rows(_numbered(docs.select("doc_id", "text")))
+    rows = _near_rows(numbered(docs.select("doc_id", "text"), "near-texts"))
     least = rows.groupBy("label").agg(F.min("id").alias("component_id"))
     return rows.join(least, "label").select(F.col("id").alias("doc_id"), "component_id")
 
@@ -486,10 +497,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without those that have a near copy with a smaller doc_id in their group.
 
-    Of rows with one id in a group one is kept.
+    Of rows with one id in a group one is kept. Texts without words, null ones among them, and rows without an id
+    are in no group and stay. An empty table gives no rows. Columns may have any names.
     """
-    own = _numbered(docs)
-    rows = _near_rows(own)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own = numbered(whole, "near-texts")
+    rows = _near_rows(own.select("row_no", "row.doc_id", "row.text"))
     keep = rows.groupBy("label").agg(F.min_by("row", F.struct("id", "row")).alias("row"))
-    gone = staged(rows.select("row").subtract(keep.select("row")).withColumnRenamed("row", "near_row_"), "near-copies")
-    return own.join(gone, "near_row_", "left_anti").select(*docs.columns)
+    gone = staged(rows.select("row").subtract(keep.select("row")).withColumnRenamed("row", "row_no"), "near-copies")
+    return own.join(gone, "row_no", "left_anti").select("row.*")
