@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,12 +47,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several outputs read, once, to the shared folder and read it back.
 
     The copy outlives lost executors, keeps later plans short, and gives them file statistics to
-    choose join strategies by. The folder is left to the cluster's own clean-up of that place.
+    choose join strategies by. The folder stays until `discard` or the cluster's own clean-up of that place.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/pricemill/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._staged_path = path
+    return written
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of `staged` frames that nobody reads any more, and what shuffles left behind them.
+
+    Spark frees shuffle files once the driver has collected the frames that made them, so it is asked to collect.
+    """
+    gc.collect()
+    for frame in frames:
+        spark = frame.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(frame._staged_path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def default_cpus() -> int:
