@@ -1,10 +1,10 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled text. A text like the good ones
-compresses better with the first, so the difference of its two compressed sizes, normalised by
-length, tells the classes apart. A logistic curve over that difference and its companions (the
-difference relative to both sizes, their mean, the size without a dictionary, the length, and products of two of
-them) turns it into a probability; it is fitted on labelled rows that the dictionaries have not seen.
+compresses better with the first, so the difference of its two compressed sizes tells the classes apart, normalised
+by the length and by both sizes. A logistic curve over these two differences and their products turns them into a
+probability; it is fitted on labelled rows that the dictionaries have not seen. Length and
+compressibility by themselves are no inputs.
 
 The dictionaries and the curve are fitted on a bounded sample (DICTIONARY_ROWS and CALIBRATION_ROWS per class, by
 hash of doc_id). Class shares come from all labels, and every text is scored in full.
@@ -42,9 +42,7 @@ class QualityModel:
 
 
 def size_features(good: bytes, bad: bytes):
-    """A function from UTF-8 text to its normalised compressed sizes."""
-    import math
-
+    """A function from UTF-8 text to its normalised differences of compressed sizes."""
     import zstandard as z
 
     def compressor(dictionary: bytes):
@@ -55,12 +53,11 @@ def size_features(good: bytes, bad: bytes):
         data.precompute_compress(level=LEVEL)
         return z.ZstdCompressor(dict_data=data, **options).compress
 
-    with_good, with_bad, alone = compressor(good), compressor(bad), compressor(b"")
+    with_good, with_bad = compressor(good), compressor(bad)
 
     def features(text: bytes) -> tuple[float, ...]:
-        n = len(text) + 1
-        a, b, c = len(with_good(text)), len(with_bad(text)), len(alone(text))
-        return ((b - a) / n, (b - a) / (a + b), (a + b) / (2 * n), c / n, math.log(n))
+        a, b = len(with_good(text)), len(with_bad(text))
+        return (b - a) / (len(text) + 1), (b - a) / (a + b)
 
     return features
 
@@ -80,20 +77,37 @@ def _probability(design, weights):
     return 1.0 / (1.0 + np.exp(-np.clip(design @ np.asarray(weights), -40.0, 40.0)))
 
 
+def _loss(design, labels, row_weights, w, penalty):
+    import numpy as np
+
+    z = design @ w
+    return float((row_weights * (np.logaddexp(0.0, z) - labels * z)).sum() + 0.5 * penalty * (w @ w))
+
+
 def _logistic(design, labels, row_weights):
-    """Weights of a slightly penalised logistic regression, by Newton steps."""
+    """Weights of a slightly penalised logistic regression, by Newton steps that always lower the loss.
+
+    A step that does not is halved, so weights cannot run away where the classes are separable or the curve is flat. The
+    loss is convex and bounded below by the penalty; a fit that has not settled after all rounds is an error.
+    """
     import numpy as np
 
-    penalty = 1e-5 * row_weights.sum() * np.eye(design.shape[1])
+    penalty = 1e-4 * row_weights.sum()
     w = np.zeros(design.shape[1])
-    for _ in range(60):
+    loss = _loss(design, labels, row_weights, w, penalty)
+    for _ in range(200):
         p = _probability(design, w)
-        curve = row_weights * p * (1 - p) + 1e-9
-        step = np.linalg.solve((design.T * curve) @ design + penalty, design.T @ (row_weights * (labels - p)) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-7:
-            break
-    return w
+        slope = design.T @ (row_weights * (labels - p)) - penalty * w
+        curve = (design.T * (row_weights * p * (1 - p))) @ design + penalty * np.eye(len(w))
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while (new := _loss(design, labels, row_weights, w + size * step, penalty)) > loss - 1e-4 * size * (slope @ step):
+            size /= 2
+            if size < 1e-10:
+                break
+        if size < 1e-10 or loss - new <= 1e-10 * max(1.0, abs(loss)):
+            return w if size < 1e-10 else w + size * step
+        w, loss = w + size * step, new
+    raise RuntimeError("the quality curve did not settle")
 
 
 def _dictionary(slices: list[bytes]) -> bytes:
@@ -131,7 +145,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     if len(totals) < 2:
         share = totals.get(1, 0) / max(1, sum(totals.values())) if totals else 0.5
         constant = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-        return QualityModel(b"", b"", (0.0,) * 5, (1.0,) * 5, (constant,) + (0.0,) * 20)
+        return QualityModel(b"", b"", (0.0,) * 2, (1.0,) * 2, (constant,) + (0.0,) * 5)
 
     chosen = None
     for quality, total in sorted(totals.items()):
@@ -215,7 +229,11 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """The rows of `docs` that are predicted good, with all their columns."""
+    """The rows of `docs` (doc_id, text, ...) that are predicted good, with all their columns, whatever their names.
+
+    Null texts are scored as empty ones, rows without an id like any other, whole texts however long. An empty table
+    gives no rows.
+    """
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -72,3 +72,51 @@ def test_majority_of_many_hashes():
     bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
     want = sum(1 << k for k in range(64) if 2 * int(bits[:, k].sum()) > len(hashes))
     assert simhash.majority_bits(hashes) == want
+
+
+def test_quality_curve_settles():
+    """Separable classes, a single useful input, and no useful input at all: weights stay bounded."""
+    import numpy as np
+
+    from pricemill.llm import quality
+
+    rng = np.random.default_rng(3)
+    n = 600
+    labels = (np.arange(n) % 10 != 0).astype(float)
+    apart = np.where(labels == 1, 5.0, -5.0) + rng.normal(0, 0.1, n)
+    cases = [(np.column_stack([apart, rng.normal(size=n)]), True), (np.column_stack([apart, apart]), True)]
+    for features, separable in [*cases, (np.zeros((n, 2)), False), (rng.normal(size=(n, 2)), False)]:
+        mean, scale = features.mean(axis=0), np.maximum(features.std(axis=0), 1e-9)
+        design = quality._design(features, mean, scale)
+        w = quality._logistic(design, labels, np.ones(n))
+        p = quality._probability(design, w)
+        assert np.isfinite(w).all() and np.abs(w).max() < 100
+        assert abs(p.mean() - labels.mean()) < 0.02
+        if separable:
+            assert ((p > 0.7) == (labels == 1)).all()
+
+
+def test_scores_by_recomputed_sizes(spark):
+    """Every score from the stored dictionaries, with sizes and curve computed anew."""
+    import math
+
+    import zstandard
+
+    from pricemill.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.fit_quality(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    packers = [
+        zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+        for d in (model.good, model.bad)
+    ]
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality.score_quality(docs, model).collect():
+        data = texts[r.doc_id].encode()
+        a, b = (len(p.compress(data)) for p in packers)
+        x, y = (
+            min(5.0, max(-5.0, (v - m) / s))
+            for v, m, s in zip(((b - a) / (len(data) + 1), (b - a) / (a + b)), model.mean, model.scale)
+        )
+        z = sum(w * v for w, v in zip(model.weights, (1.0, x, y, x * x, x * y, y * y)))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6 and r.predicted == (r.score >= 0.7)
