@@ -35,21 +35,23 @@ def out_of_range_without_trend(rec: Column, policy: Policy = DEFAULT_POLICY) ->
 
 
 def logged_recommendations(events: DataFrame) -> DataFrame:
-    """One row per logged recommendation, with its place in the log."""
+    """One row per logged recommendation, with its place in the log: batch (0 where events have no number), position."""
     batches = events.filter(_is("decision", "batch_complete"))
+    number = F.col("data.batch") if "batch" in events.schema["data"].dataType.names else F.lit(None).cast("long")
     return batches.select(
         "run_id",
         "timestamp",
+        F.coalesce(number, F.lit(0).cast("long")).alias("batch"),
         F.posexplode("data.recommendations").alias("position", "rec"),
     )
 
 
 def flagged_recommendations(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """The suspicious recommendations in log order, as rows: a run's list has no size limit."""
+    """The suspicious recommendations as rows, a run's list having no size limit; log order is timestamp, batch, position."""
     return (
         logged_recommendations(events)
         .filter(out_of_range_without_trend(F.col("rec"), policy))
-        .select("run_id", "timestamp", "position", F.col("rec.sku").alias("sku"))
+        .select("run_id", "timestamp", "batch", "position", F.col("rec.sku").alias("sku"))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemill import schemas
@@ -105,16 +105,37 @@ def settle_queue(
 LOG_BATCH = 1000
 
 
-def decision_events(run: PricingRun, run_id: str) -> DataFrame:
-    """Recommendations with their market context as batch events of bounded size."""
+def in_log_order(rows: DataFrame, key: str = "sku") -> DataFrame:
+    """Adds `position` from 0 in the order of `key`: ranges sorted each, then one offset per range.
+
+    The rows are written once, so that places do not change when an executor is lost.
+    """
+    ranged = rows.repartitionByRange(key).sortWithinPartitions(key)
+    # the id counts from 0 in each range, below the range's number
+    own = staged(ranged.withColumn("_at", F.monotonically_increasing_id()), "log-order")
+    own = own.withColumn("_range", F.shiftright("_at", 33))
+    ranges = own.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range, as many as the session has shuffle partitions
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        own.join(ranges.select("_range", before.alias("_before")), "_range")
+        .withColumn("position", place)
+        .drop("_at", "_range", "_before")
+    )
+
+
+def decision_events(context: DataFrame, run_id: str) -> DataFrame:
+    """Recommendations in order of SKU with their market context, as numbered batch events of bounded size."""
     fields = [f.name for f in schemas.LOGGED_RECOMMENDATION.fields]
-    total = run.context.count()
-    batches = max(1, -(-total // LOG_BATCH))
+    placed = in_log_order(context).withColumn(
+        "batch", F.floor(F.col("position") / LOG_BATCH).cast("long")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("position", F.struct(*fields).alias("rec"))))
     return (
-        run.context.withColumn("_batch", F.pmod(F.xxhash64("sku"), F.lit(batches)))
-        .groupBy("_batch")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("recommendations"))
-        .transform(lambda b: as_events(b, run_id, "decision", "batch_complete", "recommendations"))
+        placed.groupBy("batch")
+        .agg(F.transform(ordered, lambda r: r["rec"]).alias("recommendations"))
+        .transform(lambda b: as_events(b, run_id, "decision", "batch_complete", "batch", "recommendations"))
     )
 
 
@@ -122,7 +143,7 @@ def log_run(run: PricingRun, run_id: str, path: str) -> None:
     """Appends the run's events: stage summary, recommendation batches, execution results."""
     stages = as_events(run.summary.drop("run_id"), run_id, "pipeline", "run_complete")
     results = as_events(run.results, run_id, "approval", "execution_result")
-    for events in (decision_events(run, run_id), results, stages):
+    for events in (decision_events(run.context, run_id), results, stages):
         append_events(events, path)
 
 

@@ -403,6 +403,19 @@ def _q(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()}\n{select}"
 
 
+RUN_METRICS = _q(
+    RECS + """,
+    tools AS (SELECT run_id, round(avg(CASE WHEN event_type <> 'error' THEN 1e0 ELSE 0e0 END), 6) AS tool_success_rate,
+      round(CAST(sum(least(1 + k % 5, k % 4)) FILTER (event_type = 'click') AS DOUBLE)
+        / sum(1 + k % 5) FILTER (event_type = 'click'), 6) AS schema_success_rate FROM rows_ GROUP BY run_id),
+    made AS (SELECT run_id, count(*) FILTER (source = 'llm') AS l, count(*) FILTER (source = 'optimizer') AS o
+      FROM recs GROUP BY run_id),
+    bad AS (SELECT run_id, count(*) AS b FROM suspicious GROUP BY run_id)""",
+    """SELECT run_id, tool_success_rate, schema_success_rate, coalesce(l, 0) AS llm_recommendations,
+      coalesce(o, 0) AS optimizer_recommendations, coalesce(b, 0) AS hallucination_flags
+      FROM tools LEFT JOIN made USING (run_id) LEFT JOIN bad USING (run_id)""",
+)
+
 ORACLES: dict[str, str] = {
     "market_analysis": _q(
         ANALYSIS,
@@ -518,6 +531,14 @@ ORACLES: dict[str, str] = {
         SELECT run_id, NULL, NULL, NULL, NULL, NULL, '{"timestamp": broken ' || CAST(e AS VARCHAR)
           FROM rows_ WHERE run_id = 'r7' AND e % 37 = 0""",
     ),
+    "catalog_csv": _q(
+        CATALOG, "SELECT sku, name, brand, category, our / 1e2 AS our_price, cost / 1e2 AS cost, stock FROM catalog"
+    ),
+    "elasticity_lookup": _q(
+        CATALOG,
+        """SELECT sku, category, CASE WHEN category IN ('MEDIUM', 'LARGE') THEN -15e-1 ELSE e END AS stored,
+          -15e-1 AS without_file FROM catalog""",
+    ),
     "rule_counts": _q(
         RULES,
         """SELECT "table", rule, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS broken, count(*) AS rows
@@ -699,17 +720,31 @@ ORACLES: dict[str, str] = {
         """SELECT run_id, 's' || CAST(e AS VARCHAR) AS sku, CASE WHEN event_type = 'view' OR k * 7 > 300 THEN 'timed_out'
           WHEN event_type = 'error' THEN 'human_rejected' ELSE 'human_approved' END AS outcome FROM rows_""",
     ),
-    "run_metrics": _q(
-        RECS + """,
-        tools AS (SELECT run_id, round(avg(CASE WHEN event_type <> 'error' THEN 1e0 ELSE 0e0 END), 6) AS tool_success_rate,
-          round(CAST(sum(least(1 + k % 5, k % 4)) FILTER (event_type = 'click') AS DOUBLE)
-            / sum(1 + k % 5) FILTER (event_type = 'click'), 6) AS schema_success_rate FROM rows_ GROUP BY run_id),
-        made AS (SELECT run_id, count(*) FILTER (source = 'llm') AS l, count(*) FILTER (source = 'optimizer') AS o
-          FROM recs GROUP BY run_id),
-        bad AS (SELECT run_id, count(*) AS b FROM suspicious GROUP BY run_id)""",
-        """SELECT run_id, tool_success_rate, schema_success_rate, coalesce(l, 0) AS llm_recommendations,
-          coalesce(o, 0) AS optimizer_recommendations, coalesce(b, 0) AS hallucination_flags
-          FROM tools LEFT JOIN made USING (run_id) LEFT JOIN bad USING (run_id)""",
+    "run_metrics": RUN_METRICS,
+    # a report holds what was written
+    "run_report": RUN_METRICS,
+    "review_queue": _q(
+        SUGGESTED,
+        """SELECT run_id, sku, our / 1e2 AS current_price, p / 1e2 AS recommended_price, confidence,
+          violation AS guardrail_violation, reasoning, 'pending' AS status, true AS stamped
+          FROM routed, (VALUES ('first'), ('second')) AS runs(run_id)
+          WHERE outcome = 'queued_for_review' AND (run_id = 'first' OR violation <> 'none')""",
+    ),
+    "logged_decisions": _q(
+        SUGGESTED + """,
+        placed AS (SELECT sku, p, row_number() OVER (ORDER BY sku) - 1 AS place FROM recs)""",
+        """SELECT 'logged' AS run_id, place // 1000 AS batch, place % 1000 AS position, sku, p / 1e2 AS recommended_price
+          FROM placed""",
+    ),
+    # without an answer in time an item is closed once the stream's watermark has passed its limit
+    "stream_approvals_resolved": _q(
+        EVENTS + """,
+        passed AS (SELECT least(max(ts), max(ts + to_seconds(k * 7)) FILTER (event_type <> 'view')) - INTERVAL 60 SECONDS AS mark
+          FROM rows_)""",
+        """SELECT run_id, 's' || CAST(e AS VARCHAR) AS sku,
+          CASE WHEN event_type <> 'view' AND k * 7 <= 300 THEN
+              CASE event_type WHEN 'error' THEN 'human_rejected' ELSE 'human_approved' END
+            WHEN ts + INTERVAL 300 SECONDS < mark THEN 'timed_out' ELSE 'pending' END AS outcome FROM rows_, passed""",
     ),
     "hallucination_flags": _q(RECS, "SELECT run_id, position, sku FROM suspicious"),
     "run_summary": _q(

@@ -18,7 +18,7 @@ from pricemill.params import DEFAULT_POLICY
 from pricemill.plans import daily_run, ingestion
 from pricemill.plans import standins as S
 from pricemill.session import checkpoint_dir, staged
-from pricemill.sources import audit_log, snapshots, stored_tables, tables
+from pricemill.sources import audit_log, reference_data, snapshots, stored_tables, tables
 from pricemill.sources.reference_data import with_elasticity
 from pricemill.streaming import approvals as stream_approvals
 from pricemill.streaming import audit_rate, price_feed
@@ -195,6 +195,29 @@ def run_log_events(spark, folder):
     )
 
 
+@query
+def catalog_csv(spark, folder):
+    """The catalog written as CSV, its columns in another order and one more, and read back by name."""
+    path = _folder(spark, "catalog-csv")
+    wide = S.catalog(spark, folder).withColumn("remark", F.lit('kept "as is", not read'))
+    wide.select(*sorted(wide.columns, reverse=True)).write.option("header", True).csv(path)
+    return tables.read_catalog_csv(spark, path)
+
+
+@query
+def elasticity_lookup(spark, folder):
+    """Elasticity per product from a stored file without some categories, and from a file never written."""
+    path = _folder(spark, "elasticity")
+    some = S.known_elasticity(spark, folder).filter(~F.col("category").isin("MEDIUM", "LARGE"))
+    reference_data.write_elasticity(some, path)
+    products = S.catalog(spark, folder).select("sku", "category")
+    stored = with_elasticity(products, reference_data.read_elasticity(spark, path))
+    nothing = reference_data.read_elasticity(spark, _folder(spark, "never-written"))
+    return with_elasticity(stored.withColumnRenamed("elasticity", "stored"), nothing).withColumnRenamed(
+        "elasticity", "without_file"
+    )
+
+
 def _rule_tables(spark, folder):
     rules = {
         "catalog": constraints.catalog_rules(),
@@ -477,6 +500,19 @@ def outcome_counts(spark, folder):
     return approval.outcome_counts(_routed(spark, folder))
 
 
+@query
+def review_queue(spark, folder):
+    """The queue after two runs appended what they escalated, the second one only what a guardrail blocks."""
+    path, routed = _folder(spark, "queue"), staged(_routed(spark, folder), "routed")
+    for run, rows in (("first", routed), ("second", routed.filter("guardrail_violation <> 'none'"))):
+        reference_data.append_pending(approval.to_queue(rows, run), path)
+    stored = reference_data.read_pending(spark, path)
+    now = F.current_timestamp()
+    return stored.withColumn("stamped", F.col("created_at").between(now - F.make_interval(hours=F.lit(1)), now)).drop(
+        "created_at"
+    )
+
+
 @query
 def execution(spark, folder):
     return approval.execute(_routed(spark, folder))
@@ -501,6 +537,25 @@ def run_metrics(spark, folder):
     return metrics.run_metrics(S.audit_events(spark, folder))
 
 
+@query
+def run_report(spark, folder):
+    """The metrics of all runs, written as a JSON report and read back."""
+    path, report = _folder(spark, "report"), run_metrics(spark, folder)
+    reference_data.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+@query
+def logged_decisions(spark, folder):
+    """A run's recommendations as read back from its log, with their place in the log."""
+    path = _folder(spark, "decisions")
+    audit_log.append_events(daily_run.decision_events(market_context(spark, folder).withColumn("source", F.lit("llm")), "logged"), path)
+    rows = metrics.logged_recommendations(audit_log.read_events(spark, path, "logged"))
+    return rows.select(
+        "run_id", "batch", "position", F.col("rec.sku").alias("sku"), F.col("rec.recommended_price").alias("recommended_price")
+    )
+
+
 @query
 def hallucination_flags(spark, folder):
     rows = metrics.flagged_recommendations(S.audit_events(spark, folder))

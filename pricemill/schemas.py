@@ -102,6 +102,9 @@ EVENT_DATA = _schema(
     recommendations=T.ArrayType(LOGGED_RECOMMENDATION),
 )
 
+#: What the log holds: batches of one event carry their number, which gives their order.
+LOGGED_DATA = T.StructType([*EVENT_DATA.fields, T.StructField("batch", T.LongType())])
+
 EVENTS = _schema(
     timestamp=T.TimestampType(),
     run_id=T.StringType(),

@@ -51,7 +51,7 @@ def read_log(
     `damaged` is null for a sound event. For a line that is no JSON it is the line, and all else but the run is
     null; for a payload that does not decode it is the payload.
     """
-    payload = payload or schemas.EVENT_DATA
+    payload = payload or schemas.LOGGED_DATA
     line = T.StructField("_line", T.StringType())
     stored = T.StructType(
         [

@@ -1,4 +1,7 @@
 import datetime as dt
+import math
+import random
+import statistics
 
 import pytest
 from frames import catalog, prices
@@ -216,6 +219,36 @@ def test_medians(spark, rows):
     assert rows(upper_median(whole, "g", "v")) == [("a", 2), ("b", 4)]
 
 
+def test_medians_of_any_magnitude(spark, rows):
+    rng = random.Random(5)
+    data = []
+    for g in range(12):
+        for _ in range(rng.randrange(1, 60)):
+            size = rng.choice((1.0, rng.random(), 2.0 ** rng.randrange(-1074, 1024), 10 ** rng.uniform(-6, 12), 1 + rng.random() * 1e-13, 0.0))
+            data.append((str(g), size * rng.choice((1, -1))))
+    data += [("near", 1 + i * 2.0**-52) for i in range(101)] + [("ends", math.inf), ("ends", -math.inf), ("ends", 5e-324), ("none", None)]
+    own = {}
+    for g, x in data:
+        own.setdefault(g, []).append(x)
+    want = [(g, statistics.median(xs)) for g, xs in own.items() if g != "none"]
+    found = rows(exact_median(spark.createDataFrame(data, "g string, v double"), "g", "v"))
+    assert found == sorted(want, key=str)
+
+
+def test_decisions_in_log_order(spark, rows, tmp_path):
+    n = 100_000
+    fields = {f.name: f.dataType for f in schemas.LOGGED_RECOMMENDATION.fields}
+    context = spark.range(n).select(
+        F.lpad((F.col("id") * 7919 % n).cast("string"), 6, "0").alias("sku"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in fields.items() if c != "sku"],
+    )
+    append_events(daily_run.decision_events(context, "r"), str(tmp_path))
+    found = metrics.logged_recommendations(read_events(spark, str(tmp_path), "r"))
+    skus = [r.sku for r in found.orderBy("batch", "position").select("rec.sku").collect()]
+    assert skus == [f"{i:06d}" for i in range(n)]
+    assert found.agg(F.max("position")).first()[0] == daily_run.LOG_BATCH - 1
+
+
 def test_elasticity_filters_and_planted_slope(spark, rows):
     def sku(name, n, gaps, base, e, capped=False):
         return [(name, "c", g, base * (1 + e * g), capped) for g in (gaps * n)[:n]]
