@@ -3,7 +3,7 @@
 Patterns find emails, addresses of machines, cards and phone numbers. What they miss is often a second mention in
 another form: a phone number without its plus, the name part of an address alone. So mentions of a document become nodes: the
 spans of the patterns, whose labels are observed, and further number groups and words that resemble
-one. Nodes whose keys agree (last seven digits, or the name part) are tied by skip edges however far apart they
+one. Nodes whose keys agree (last seven digits, or the name part, joints or one letter aside) are tied by skip edges however far apart they
 stand; neighbouring nodes by chain edges. Loopy message passing over that graph labels the open nodes
 consistently with the observed ones, and a node that some label claims for itself is added as a span.
 
@@ -27,9 +27,13 @@ LABELS = (*KINDS, "none")
 SURE = 0.9
 #: Digits that make the key of a number, and letters of a name part that are enough to be telling.
 KEY_DIGITS, KEY_NAME = 7, 6
+#: Longest word that is compared with names by letters.
+LONGEST = 64
 #: Open nodes farther apart than this many characters have no chain edge.
 CHAIN = 80
 ROUNDS = 10
+#: Messages that are computed at once.
+MESSAGES = 1 << 16
 
 
 def base_finder():
@@ -104,41 +108,116 @@ def node_finder():
 
     def nodes(text, spans):
         found = []
-        names: set[str] = set()
+        names: dict[str, None] = {}
         for kind, start, end in spans:
             part = text[start:end]
             if kind == "email":
                 own = part.partition("@")[0].lower()
-                names.add(own)
+                names[own] = None
                 found.append((start, end, "name", "n:" + own, LABELS.index(kind)))
             else:
                 key = "".join(digits(part))[-KEY_DIGITS:]
                 if kind == "ip":
                     key = "ip" + part
                 found.append((start, end, shape(part), "d:" + key, LABELS.index(kind)))
-        taken = sorted((s, e) for _, s, e in spans)
-
-        def free(start, end):
-            return not any(s < end and start < e for s, e in taken)
-
+        free = _outside([(s, e) for _, s, e in spans])
         for m in number(text):
             if free(m.start(), m.end()):
                 key = "".join(digits(m[0]))[-KEY_DIGITS:]
                 found.append((m.start(), m.end(), shape(m[0]), "d:" + key, None))
-        for own in names:
-            if len(own) < KEY_NAME:
-                continue
-            # a name part that is a common word would be one everywhere; ask for a digit or a joint
-            if not re.search(r"[0-9._]", own):
-                continue
-            for m in re.finditer(r"(?i)(?<![\w.%+-])" + re.escape(own) + r"(?![\w%+-])", text):
-                if free(m.start(), m.end()):
-                    found.append((m.start(), m.end(), "name", "n:" + own, None))
+        # a name part that is a common word would be one everywhere; ask for a digit or a joint
+        telling = [n for n in names if len(n) >= KEY_NAME and re.search(r"[0-9._]", n)]
+        if telling:
+            alike = name_index(telling)
+            for m in run(text):
+                for end in ends(m[0], m.start()):
+                    hit = alike(text[m.start() : end].lower()) if free(m.start(), end) else None
+                    if hit:
+                        found.append((m.start(), end, "name", "n:" + hit, None))
+                        break
         return sorted(found, key=lambda n: n[:2])
 
+    run = re.compile(r"[\w.%+-]+").finditer
+
+    def ends(word: str, start: int):
+        """Where a name that starts with the word may end, longest first: at its end, or before a dot in it."""
+        yield start + len(word)
+        at = word.rfind(".")
+        while at > 0:
+            yield start + at
+            at = word.rfind(".", 0, at)
+
     return nodes
 
 
+def _outside(spans):
+    """A function that tells whether [start, end) overlaps none of the spans, by bisection."""
+    from bisect import bisect_left
+    from itertools import accumulate
+
+    spans = sorted(spans)
+    starts = [s for s, _ in spans]
+    furthest = list(accumulate((e for _, e in spans), max))
+
+    def free(start, end):
+        before = bisect_left(starts, end)
+        return before == 0 or furthest[before - 1] <= start
+
+    return free
+
+
+def name_index(names: list[str]):
+    """A function from a lower-cased word to the name it is, else a name it resembles, else None.
+
+    A word resembles a name if, joints aside, they agree or differ in one letter, added, left out or
+    replaced, while all digits agree: another digit is mostly another person. Words of over LONGEST characters are only
+    compared as they are. Names without one letter are indexed, so a word costs in proportion to its
+    own length, however many names there are.
+    """
+    import re
+
+    plain = re.compile(r"[._%+-]+").sub
+    no_digit = re.compile(r"[^0-9]+").sub
+    whole = set(names)
+    lengths = {len(n) for n in names}
+    bare: dict[str, str] = {}
+    for n in names:
+        own = plain("", n)
+        if len(own) >= KEY_NAME and len(n) <= LONGEST:
+            bare.setdefault(own, n)
+    sizes = {(len(b), no_digit("", b)) for b in bare}
+
+    def shorter(word):
+        return (word[:i] + word[i + 1 :] for i, c in enumerate(word) if not c.isdigit())
+
+    index: dict[str, list[str]] = {}
+    for b in bare:
+        for v in {b, *shorter(b)}:
+            index.setdefault(v, []).append(b)
+
+    def one_letter(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+    def alike(word):
+        if len(word) in lengths and word in whole:
+            return word
+        if not KEY_NAME - 1 <= len(word) <= LONGEST:
+            return None
+        own = plain("", word)
+        if own in bare:
+            return bare[own]
+        kept = no_digit("", own)
+        if len(own) < KEY_NAME or not any((len(own) + d, kept) in sizes for d in (-1, 0, 1)):
+            return None
+        close = {b for v in (own, *shorter(own)) for b in index.get(v, ()) if no_digit("", b) == kept and one_letter(own, b)}
+        return bare[min(close)] if close else None
+
+    return alike
+
+
 def _edges(nodes):
     """Skip edges (consecutive nodes of one key, and each to the first observed one) and chain edges."""
     by_key: dict[str, list[int]] = {}
@@ -236,30 +315,29 @@ def beliefs(nodes, unary, unknown, edges):
         else:
             fields[i] = -30.0
             fields[i, node[4]] = 0.0
-    directed = []
-    for kind, pairs in enumerate(_edges(nodes)):
-        for i, j in sorted(pairs):
-            directed += [(i, j, kind), (j, i, kind)]
+    pairs = [(i, j, kind) for kind, own in enumerate(_edges(nodes)) for i, j in sorted(own)]
+    # each pair as two directed edges, next to each other: the way back of edge k is k ^ 1
+    directed = np.array([d for i, j, kind in pairs for d in ((i, j, kind), (j, i, kind))], np.int64).reshape(-1, 3)
+    source, target, kind = directed.T
+    table = np.stack(edges)
     messages = np.zeros((len(directed), n))
-    into: dict[int, list[int]] = {}
-    back = {}
-    for k, (i, j, _) in enumerate(directed):
-        into.setdefault(j, []).append(k)
-        back[i, j] = k
+
+    def gathered():
+        return fields + np.stack([np.bincount(target, messages[:, c], len(nodes)) for c in range(n)], axis=1)
+
     for _ in range(ROUNDS):
-        sums = np.array([fields[i] + messages[into.get(i, [])].sum(axis=0) for i in range(len(nodes))])
+        sums = gathered()
         new = np.empty_like(messages)
-        for k, (i, j, kind) in enumerate(directed):
-            rest = sums[i] - messages[back[j, i]]
-            term = rest[:, None] + edges[kind]
-            top = term.max(axis=0)
-            new[k] = top + np.log(np.exp(term - top).sum(axis=0))
-            new[k] -= np.logaddexp.reduce(new[k])
+        for at in range(0, len(directed), MESSAGES):
+            part = np.arange(at, min(at + MESSAGES, len(directed)))
+            rest = sums[source[part]] - messages[part ^ 1]
+            own = np.logaddexp.reduce(rest[:, :, None] + table[kind[part]], axis=1)
+            new[part] = own - np.logaddexp.reduce(own, axis=1)[:, None]
         change = np.abs(new - messages).max() if len(messages) else 0.0
         messages = 0.5 * messages + 0.5 * new
         if change < 1e-6:
             break
-    total = np.array([fields[i] + messages[into.get(i, [])].sum(axis=0) for i in range(len(nodes))])
+    total = gathered()
     total -= np.logaddexp.reduce(total, axis=1)[:, None]
     return np.exp(total)
 
@@ -273,7 +351,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (spans of the patterns), base_spans and spans (all, with
     those that the field adds), as kind:start:end in code points, end exclusive, by kind and start, joined by
-    commas. An added span overlaps no span of a pattern and shares its key with one. Texts without such spans
+    commas. An added span overlaps no span of a pattern and has the last digits or, but for joints or one letter, the name of one. Texts without such spans
     get none. Null texts are empty; repeated rows and null ids are treated like any others; an empty table gives
     an empty result.
     """

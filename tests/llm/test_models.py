@@ -84,6 +84,67 @@ def test_second_mentions_are_added(spark):
     assert pii.find_personal_data(frame(spark, [])).count() == 0
 
 
+def test_similar_names():
+    alike = pii.name_index(["john.smith", "rfmlrasf.67", "user.200", "a" * 80 + ".1"])
+    same = {"john.smith": "john.smith", "a" * 80 + ".1": "a" * 80 + ".1"}
+    near = {"john_smith": "john.smith", "johnsmith": "john.smith", "jon.smith": "john.smith", "johnn.smith": "john.smith",
+            "rfmlrasf67": "rfmlrasf.67", "rfmlrbsf67": "rfmlrasf.67", "usr200": "user.200", "use.r200": "user.200", "usar200": "user.200"}
+    assert all(alike(w) == n for w, n in same.items())
+    assert all(alike(w) == n for w, n in near.items())
+    assert not any(map(alike, ["user.201", "user.20", "jo.smyth", "rfmlrasf.76", "a" * 80 + "1", "", "smith", "x" * 100_000]))
+
+
+def exact_beliefs(nodes, unary, unknown, edges):
+    """Posteriors by summing over all labellings."""
+    import itertools
+
+    skip, chain = pii._edges(nodes)
+    total = np.zeros((len(nodes), len(pii.LABELS)))
+    for labels in itertools.product(range(len(pii.LABELS)), repeat=len(nodes)):
+        if any(n[4] is not None and n[4] != x for n, x in zip(nodes, labels)):
+            continue
+        weight = sum(unary.get(n[2], unknown)[x] for n, x in zip(nodes, labels) if n[4] is None)
+        weight += sum(edges[k][labels[i], labels[j]] for k, own in enumerate((skip, chain)) for i, j in own)
+        for i, x in enumerate(labels):
+            total[i, x] += math.exp(weight)
+    return total / total.sum(axis=1)[:, None]
+
+
+def test_beliefs_on_small_graphs():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        at, nodes = 0, []
+        for _ in range(rng.integers(1, 6)):
+            at += int(rng.integers(1, 150))
+            label = int(rng.integers(0, 4)) if rng.random() < 0.4 else None
+            nodes.append((at, at + 5, f"s{rng.integers(3)}", f"k{rng.integers(4)}", label))
+        unary = {f"s{i}": np.log(rng.dirichlet(np.ones(5))) for i in range(2)}
+        edges = [(lambda m: (m + m.T) / 2)(rng.normal(size=(5, 5)) * scale) for scale in (1.0, 0.2)]
+        found = pii.beliefs(nodes, unary, np.log(np.full(5, 0.2)), edges)
+        want = exact_beliefs(nodes, unary, np.log(np.full(5, 0.2)), edges)
+        observed = [i for i, n in enumerate(nodes) if n[4] is not None]
+        assert np.allclose(found.sum(axis=1), 1) and np.allclose(found[observed], want[observed], atol=1e-6)
+        # messages are exact where there is no loop, and near where there is a short one
+        skip, chain = pii._edges(nodes)
+        assert np.abs(found - want).max() < (0.02 if len(skip) + len(chain) < len(nodes) else 0.35)
+
+
+def test_many_addresses_in_one_text():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"user.{i}@mail{i}.example.com then user_{i} or 555-{i:07d}" for i in range(10, n + 10))
+        start = time.perf_counter()
+        spans = pii.base_finder()(text)
+        nodes = pii.node_finder()(text, spans)
+        found = pii._added(nodes, pii._potentials({"shape": {("name", "email"): n}, "skip": {("email", "email"): n}, "chain": {}}))
+        assert len(spans) == n and len(found) == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(100_000) < 60
+
+
 def test_language_model(spark):
     rows = some_texts(8)
     found = language_model.score_texts(frame(spark, rows)).collect()
