@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pricemill.llm.common import map_batches, numbered, words_of
 from pricemill.llm.rolling import BASES, SEEDS, RunHasher, covered, item_hasher, mask_spans, window_starts
-from pricemill.session import staged
+from pricemill.session import discard, staged
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members.
@@ -210,14 +210,20 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
     windows = _windows(candidates, window)
-    owners = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    # written first: the join then does not reuse the aggregate's shuffle, so Spark can split a frequent window's rows
+    owners = staged(
+        windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"),
+        "window-owners",
+    )
+    discard(shared, anchored)
     repeated = (
-        windows.join(owners.drop("most"), ["h1", "h2"])
+        windows.join(owners, ["h1", "h2"])
         .where("doc > least")
         .groupBy("row_no")
         .agg(F.collect_list("start").alias("starts"))
     )
     cut = staged(_cut(candidates.join(repeated, "row_no"), window), "cut")
+    discard(owners, candidates)
 
     rows = info.join(firsts, "sha").join(cut, ["doc", "sha"], "left")
     copy = (F.col("doc") > F.col("first")) & (F.col("n_words") >= window)
