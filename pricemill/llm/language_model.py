@@ -1,54 +1,117 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
 The model predicts a vector from the two tokens before (each scaled by a position vector) and scores a
-token by its product with the token's vector, plus a bias (Mnih and Teh, 2012). It is trained in numpy: every
-partition of the corpus trains on all of its documents, from the same start, and the parameters are averaged,
-weighted by tokens, in one aggregation over vocabulary entries. Noise words are shared by a batch. Scores are
-normalised: per distinct context one row of a matrix product over the vocabulary.
-
-The model's vocabulary is the VOCABULARY most frequent words, the end of text, and one entry for all other words, which
-share its probability by their smoothed counts. Counts of up to FREQUENT words are sent to all tasks; those of
-the remaining words are looked up by a join, so no word is left out however many there are.
+token by its product with the token's vector, plus a bias (Mnih and Teh, 2012). Its softmax has two levels. Entries of the
+first are the SINGLE most frequent words, the end of text, and classes of all other words: words sorted by their
+endings, cut into ranges. Inside a class every listed word has a vector of its own, scored by its product with a vector of
+the token before; one more place stands for the words that are not listed, which share its probability by their smoothed
+counts. Words whose counts are sent to all tasks (up to FREQUENT) are listed, so the listed vocabulary grows with the corpus
+up to that many; the counts of other words are looked up by a join, and they too have the class of their ending.
+
+It is trained in numpy: every partition of the corpus trains on all of its documents, from the same start, and the
+parameters are averaged in one aggregation: entries weighted by tokens, listed words by the steps taken on them. Noise
+words are shared by a batch on the first level and drawn from the word's class on the second.
+
+Scores are normalised. exp(a + b) = exp(a) exp(b), so the sums over all entries for every pair of context tokens are one
+product of two matrices; those inside the classes depend on one token. Both tables are made once, by tasks over ranges of
+context tokens, and broadcast, so that scoring a token costs two lookups.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricemill.llm.common import crc_part, map_batches, numbered
 from pricemill.session import staged
 
-VOCABULARY = 1024
-#: Words whose counts are broadcast: at most this many, about 5 MB.
+#: Most frequent words that are entries themselves, and at most how many classes hold all others.
+SINGLE, CLASSES = 1024, 512
+#: Listed words a class has at least, where there are fewer than would fill all classes.
+PER_CLASS = 16
+#: Words whose counts are broadcast and that have vectors: at most this many, about 5 and 18 MB.
 FREQUENT = 1 << 18
 SIZE, CONTEXT = 16, 2
 NOISE, NOISE_RATIO, BATCH, RATE = 32, 8.0, 8192, 0.1
+#: Noise words per word inside a class, and what a step there is divided by.
+INSIDE_NOISE, INSIDE_SCALE = 3, 256.0
 SMOOTH = 0.1
 SEED = 5
-#: Distinct words a worker counts before it passes the counts on, and tokens it scores at a time
-#: (the more, the more contexts are the same).
-HELD, TOGETHER = 300_000, 2_000_000
+#: Distinct words a worker counts before it passes the counts on, and tokens it scores at a time.
+HELD, TOGETHER = 300_000, 200_000
 
 
 @dataclass(frozen=True)
 class Counts:
-    """Totals of the training tokens, and the frequent words, most frequent first."""
+    """Totals of the training tokens, the frequent words, most frequent first, and the rest of each class.
+
+    `least` is the smallest listed count; `rest` holds the tokens and kinds of unlisted words, class by class.
+    """
 
     tokens: int
     distinct: int
     ends: int
     words: bytes
     counts: bytes
+    least: int = 1 << 62
+    rest: bytes = b""
 
     def lists(self):
         import numpy as np
 
         return self.words.split(), np.frombuffer(self.counts, np.int64)
 
+    def rests(self, classes: int):
+        """(tokens, kinds) of the unlisted words of each class."""
+        import numpy as np
+
+        if not self.rest:
+            return np.zeros((2, classes), np.int64)
+        return np.frombuffer(self.rest, np.int64).reshape(2, classes)
+
+
+class Lexicon(dict):
+    """Index of each listed word by frequency; of any other word, the number of listed words plus its class.
+
+    `entry` and `slot` give, per index, the entry of the first level and the place among the words of the
+    classes (-1: the entry is the word). Class c has the places edges[c] to edges[c + 1] - 1, its unlisted words the last.
+    """
+
+    def __init__(self, counts: Counts):
+        import numpy as np
+
+        words = counts.lists()[0]
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.listed, self.top = len(words), min(SINGLE, len(words))
+        endings = [w[::-1] for w in words[self.top :]]
+        order = np.array(sorted(range(len(endings)), key=endings.__getitem__), np.int64)
+        self.classes = max(1, min(CLASSES, len(endings) // PER_CLASS))
+        cuts = np.arange(self.classes + 1) * len(endings) // self.classes
+        self.bounds = [endings[order[cuts[c]]] for c in range(1, self.classes)]
+        self.edges = cuts + np.arange(self.classes + 1)
+        kind = np.empty(len(endings), np.int64)
+        kind[order] = np.repeat(np.arange(self.classes), np.diff(cuts))
+        place = np.empty(len(endings), np.int64)
+        place[order] = np.arange(len(endings))
+        self.entry = np.r_[np.arange(self.top), self.top + kind, self.top + np.arange(self.classes)]
+        self.slot = np.r_[np.full(self.top, -1), place + kind, self.edges[1:] - 1]
+        self.end, self.start = self.top + self.classes, self.top + self.classes + 1
+
+    def class_of(self, word: bytes) -> int:
+        return bisect_right(self.bounds, word[::-1])
+
+    def __missing__(self, word: bytes) -> int:
+        return self.listed + bisect_right(self.bounds, word[::-1])
+
+    def indices(self, words: list[bytes]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
 
 def words_lower(text: str | None) -> list[bytes]:
     """Words with A-Z as a-z; bytes.lower() changes these letters only."""
@@ -90,7 +153,7 @@ def frequent_counts(counts: DataFrame) -> Counts:
     steps = counts.where("word is not null").groupBy("n").agg(F.count("*").alias("words"))
     ranked = sorted(((r.n, r.words) for r in steps.where("n > 1").collect()), reverse=True)
     total = steps.agg(F.sum(F.col("n") * F.col("words")).alias("tokens"), F.sum("words").alias("words")).first()
-    least, room = 1 << 62, FREQUENT
+    least, room = Counts.least, FREQUENT
     for n, words in ranked:
         if words > room:
             break
@@ -103,27 +166,58 @@ def frequent_counts(counts: DataFrame) -> Counts:
         ends=ends,
         words=b" ".join(w for _, w in found),
         counts=np.array([-n for n, _ in found], np.int64).tobytes(),
+        least=least,
     )
 
 
+def with_rests(counts: Counts, table: DataFrame) -> Counts:
+    """Add the tokens and kinds of each class's unlisted words (one row per class comes back)."""
+    import numpy as np
+
+    shared = table.sparkSession.sparkContext.broadcast(counts)
+    unlisted = table.where(F.col("word").isNotNull() & (F.col("n") < counts.least))
+
+    def make(batches) -> Iterator[dict]:
+        lexicon = Lexicon(shared.value)
+        sums = np.zeros((2, lexicon.classes), np.int64)
+        for b in batches:
+            kinds = np.array([lexicon.class_of(w) for w in b.column("word").to_pylist()], np.int64)
+            np.add.at(sums[0], kinds, b.column("n").to_numpy())
+            np.add.at(sums[1], kinds, 1)
+        yield {"class": np.arange(lexicon.classes), "tokens": sums[0], "kinds": sums[1]}
+
+    found = map_batches(unlisted, make, "class int, tokens bigint, kinds bigint")
+    rest = np.zeros((2, Lexicon(counts).classes), np.int64)
+    for r in found.groupBy("class").agg(F.sum("tokens"), F.sum("kinds")).collect():
+        rest[:, r[0]] = r[1], r[2]
+    return replace(counts, rest=rest.tobytes())
+
+
 @dataclass
 class LogBilinear:
-    """Vectors of context tokens and targets, biases, and the scales of the two context places.
+    """Vectors and biases of both levels, and the scales of the two context places.
 
-    Entries: the frequent words, then OTHER, END, START (START is only ever context).
+    Entries: single words, classes, the end, the start (only ever context). `inner` are context vectors for the words
+    inside classes, `words` their vectors with the bias as last column. `norms` are the logs of the sums over all
+    entries per pair of context entries, `inner_norms` those over a class's words per context entry and class.
     """
 
     context: object
     target: object
     bias: object
     place: object
+    inner: object
+    words: object
+    edges: object
+    norms: object = None
+    inner_norms: object = None
 
     @classmethod
     def start(cls, counts: Counts) -> LogBilinear:
-        """Small random vectors and the log of unigram probabilities: the model starts as a unigram model."""
+        """Small random context vectors and the log of unigram probabilities: it starts close to a unigram model."""
         import numpy as np
 
-        share = unigram(counts)
+        share, inside, edges = unigram(counts)
         rng = np.random.default_rng(SEED)
         n = len(share) + 1
         return cls(
@@ -131,63 +225,118 @@ class LogBilinear:
             rng.normal(0, 0.1, (n, SIZE)).astype(np.float32),
             np.r_[np.log(share), -30.0].astype(np.float32),
             np.ones((CONTEXT, SIZE), np.float32),
+            rng.normal(0, 0.1, (n, SIZE)).astype(np.float32),
+            np.column_stack([np.zeros((len(inside), SIZE)), np.log(inside)]).astype(np.float32),
+            edges,
         )
 
     def predict(self, contexts):
         """Predicted vectors of rows of context entries."""
         return sum(self.context[contexts[:, p]] * self.place[p] for p in range(CONTEXT))
 
-    def log_probabilities(self, contexts, targets):
+    def norm_rows(self, entries):
+        """Rows of `norms` for these entries as the token before."""
+        import numpy as np
+
+        n = len(self.bias) - 1
+        last, before = (
+            (self.context[rows].astype(float) * self.place[p]) @ self.target[:n].T.astype(float)
+            for p, rows in enumerate((entries, slice(None)))
+        )
+        last = last + self.bias[:n]
+        tops = [x.max(axis=1, keepdims=True) for x in (last, before)]
+        return tops[0] + tops[1].T + np.log(np.exp(last - tops[0]) @ np.exp(before - tops[1]).T)
+
+    def inner_norm_rows(self, entries):
+        """Rows of `inner_norms` for these entries as the token before."""
+        import numpy as np
+
+        scores = self.inner[entries] @ self.words[:, :SIZE].T + self.words[:, SIZE]
+        return np.log(np.add.reduceat(np.exp(scores, out=scores), self.edges[:-1], axis=1, dtype=np.float64))
+
+    def log_probabilities(self, contexts, targets, slots=None):
         """Natural log of the normalised probability of each target in its context.
 
-        Distinct contexts are scored once, against all entries, some thousand rows at a time.
+        With `slots` (-1: none) the probability inside the class is included, else targets are entries.
         """
         import numpy as np
 
-        entries = len(self.bias) - 1
-        code = contexts[:, 0] * (entries + 1) + contexts[:, 1]
-        distinct, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-        out = np.empty(len(targets))
-        order = np.argsort(inverse, kind="stable")
-        edges = np.searchsorted(inverse[order], np.arange(len(distinct) + 1))
-        for i in range(0, len(distinct), 1024):
-            rows = self.predict(contexts[first[i : i + 1024]])
-            scores = rows @ self.target[:entries].T + self.bias[:entries]
-            top = scores.max(axis=1)
-            norm = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-            mine = order[edges[i] : edges[min(i + 1024, len(distinct))]]
-            out[mine] = scores[inverse[mine] - i, targets[mine]] - norm[inverse[mine] - i]
+        if self.norms is None:
+            every = np.arange(len(self.bias))
+            self.norms, self.inner_norms = self.norm_rows(every), self.inner_norm_rows(every)
+        out = np.einsum("nd,nd->n", self.predict(contexts), self.target[targets]).astype(float)
+        out += self.bias[targets] - self.norms[contexts[:, 0], contexts[:, 1]]
+        if slots is not None:
+            at = np.flatnonzero(slots >= 0)
+            before, slot = contexts[at, 0], slots[at]
+            rows = self.words[slot]
+            kind = np.searchsorted(self.edges, slot, "right") - 1
+            out[at] += np.einsum("nd,nd->n", self.inner[before], rows[:, :SIZE]) + rows[:, SIZE]
+            out[at] -= self.inner_norms[before, kind]
         return out
 
 
 def unigram(counts: Counts):
-    """Smoothed shares of the entries that can be predicted: frequent words, OTHER, END."""
+    """Smoothed shares of the entries that can be predicted, of the words inside their classes, and the classes' edges."""
     import numpy as np
 
-    top = counts.lists()[1][:VOCABULARY].astype(float)
-    share = np.r_[top, counts.tokens - counts.ends - top.sum(), counts.ends] + SMOOTH
-    return share / share.sum()
+    lexicon, number = Lexicon(counts), counts.lists()[1].astype(float)
+    rest = counts.rests(lexicon.classes)[0]
+    inside = np.zeros(lexicon.edges[-1])
+    inside[lexicon.slot[lexicon.top : lexicon.listed]] = number[lexicon.top :]
+    inside[lexicon.edges[1:] - 1] = rest
+    kinds = np.add.reduceat(inside, lexicon.edges[:-1])
+    share = np.r_[number[: lexicon.top], kinds, counts.ends] + SMOOTH
+    inside += SMOOTH
+    inside /= np.repeat(np.add.reduceat(inside, lexicon.edges[:-1]), np.diff(lexicon.edges))
+    return share / share.sum(), inside, lexicon.edges
 
 
-def _train(model: LogBilinear, share, ids, rng, memory) -> None:
-    """Noise-contrastive steps over all positions of `ids`, a batch at a time (AdaGrad)."""
-    import numpy as np
+class Trainer:
+    """Noise-contrastive steps (AdaGrad) of one partition on its own copy of the model."""
 
-    contexts, targets = ids
-    entries = len(share)
-    offset = np.log(NOISE_RATIO * share).astype(np.float32)
-    limits = np.cumsum(share)
+    def __init__(self, counts: Counts):
+        import numpy as np
 
-    def step(array, old, change):
-        old += change * change
-        array += RATE * change / np.sqrt(old + 1e-6)
+        self.model = LogBilinear.start(counts)
+        share, inside, _ = unigram(counts)
+        self.offset, self.limits = np.log(NOISE_RATIO * share).astype(np.float32), np.cumsum(share)
+        self.inside_offset = np.log(INSIDE_NOISE * inside).astype(np.float32)
+        self.inside_limits = np.r_[0.0, np.cumsum(inside)]
+        self.rng = np.random.default_rng(SEED + 1)
+        m = self.model
+        self.arrays = (m.target, m.bias, m.context, m.place)
+        self.memory = [np.zeros_like(a) for a in self.arrays]
+        self.word_memory, self.inner_memory = np.zeros_like(m.words), np.zeros_like(m.inner)
+        #: How often a step was taken on each word inside the classes, and tokens seen.
+        self.steps, self.tokens = np.zeros(len(m.words), np.int64), 0
+
+    def learn(self, contexts, targets, slots) -> None:
+        for i in range(0, len(targets), BATCH):
+            cut = slice(i, i + BATCH)
+            self._entries(contexts[cut], targets[cut])
+            self._words(contexts[cut, 0], slots[cut])
+        self.tokens += len(targets)
+
+    @staticmethod
+    def _step(array, old, change, rows=slice(None)) -> None:
+        import numpy as np
 
-    def spread(index, rows):
-        return np.stack([np.bincount(index, rows[:, d], entries + 1) for d in range(rows.shape[1])], axis=1)
+        old[rows] += change * change
+        array[rows] += RATE * change / np.sqrt(old[rows] + 1e-6)
 
-    for i in range(0, len(targets), BATCH):
-        c, w = contexts[i : i + BATCH], targets[i : i + BATCH]
-        noise = np.minimum(np.searchsorted(limits, rng.random(NOISE)), entries - 1)
+    @staticmethod
+    def _spread(index, rows, size):
+        import numpy as np
+
+        return np.stack([np.bincount(index, rows[:, d], size) for d in range(rows.shape[1])], axis=1)
+
+    def _entries(self, c, w) -> None:
+        """One step of the first level; the noise entries are shared by the batch."""
+        import numpy as np
+
+        model, offset, size = self.model, self.offset, len(self.model.bias)
+        noise = np.minimum(np.searchsorted(self.limits, self.rng.random(NOISE)), size - 2)
         r = model.predict(c)
         real = (r * model.target[w]).sum(axis=1) + model.bias[w] - offset[w]
         false = r @ model.target[noise].T + model.bias[noise] - offset[noise]
@@ -197,90 +346,130 @@ def _train(model: LogBilinear, share, ids, rng, memory) -> None:
         down = np.divide(np.float32(-NOISE_RATIO / NOISE), np.add(false, 1, out=false), out=false)
         back = up[:, None] * model.target[w] + down @ model.target[noise]
         n = np.float32(1.0 / len(w))
-        target = spread(w, up[:, None] * r)
+        target = self._spread(w, up[:, None] * r, size)
         np.add.at(target, noise, down.T @ r)
-        bias = np.bincount(w, up, entries + 1)
+        bias = np.bincount(w, up, size)
         np.add.at(bias, noise, down.sum(axis=0))
-        context = sum(spread(c[:, p], back * model.place[p]) for p in range(CONTEXT))
+        context = sum(self._spread(c[:, p], back * model.place[p], size) for p in range(CONTEXT))
         place = np.stack([(back * model.context[c[:, p]]).sum(axis=0) for p in range(CONTEXT)])
-        for array, old, change in zip((model.target, model.bias, model.context, model.place), memory, (target, bias, context, place)):
-            step(array, old, (change * n).astype(np.float32))
-
-
-class Entries(dict):
-    """Entry of each vocabulary word; OTHER for any other word."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.other = len(words)
-
-    def __missing__(self, word: bytes) -> int:
-        return self.other
+        for array, old, change in zip(self.arrays, self.memory, (target, bias, context, place)):
+            self._step(array, old, (change * n).astype(np.float32))
 
+    def _words(self, before, slots) -> None:
+        """One step inside the classes, against noise words of the same class."""
+        import numpy as np
 
-def token_ids(entries: list, known: int):
-    """Contexts and targets of texts given as arrays of word entries; each text is ended."""
+        at = np.flatnonzero(slots >= 0)
+        if len(at) == 0:
+            return
+        model, before, slots = self.model, before[at], slots[at]
+        kind = np.searchsorted(model.edges, slots, "right") - 1
+        first, stop = model.edges[kind][:, None], model.edges[kind + 1][:, None]
+        low, high = self.inside_limits[first], self.inside_limits[stop]
+        drawn = low + self.rng.random((len(at), INSIDE_NOISE)) * (high - low)
+        noise = np.clip(np.searchsorted(self.inside_limits, drawn, "right") - 1, first, stop - 1)
+        rows = np.column_stack([slots, noise])
+        h = np.column_stack([model.inner[before], np.ones(len(at), np.float32)])
+        q = model.words[rows]
+        z = np.clip(np.einsum("nd,nkd->nk", h, q) - self.inside_offset[rows], -30, 30)
+        g = -1.0 / (1.0 + np.exp(-z))
+        g[:, 0] += 1.0
+        touched, where, times = np.unique(rows, return_inverse=True, return_counts=True)
+        words = self._spread(where.ravel(), (g[:, :, None] * h[:, None, :]).reshape(-1, SIZE + 1), len(touched))
+        inner = self._spread(before, np.einsum("nk,nkd->nd", g, q[:, :, :SIZE]), len(model.inner))
+        n = np.float32(1.0 / INSIDE_SCALE)
+        self._step(model.words, self.word_memory, (words * n).astype(np.float32), touched)
+        self._step(model.inner, self.inner_memory, (inner * n).astype(np.float32))
+        self.steps[touched] += times
+
+
+def token_ids(lexicon: Lexicon, indices: list):
+    """Contexts, targets and slots of texts given as arrays of word indices; each text is ended."""
     import numpy as np
 
-    end, start = known + 1, known + 2
-    lengths = np.array([len(e) + CONTEXT + 1 for e in entries])
-    ids = np.full(lengths.sum(), start, np.int64)
+    lengths = np.array([len(i) + CONTEXT + 1 for i in indices])
+    ids = np.full(lengths.sum(), lexicon.start, np.int64)
     stops = np.cumsum(lengths)
     real = np.ones(len(ids), bool)
     for p in range(CONTEXT):
         real[stops - lengths + p] = False
-    ids[real] = np.concatenate([np.append(e, end) for e in entries])
+    ids[real] = np.concatenate([np.append(lexicon.entry[i], lexicon.end) for i in indices])
+    slots = np.concatenate([np.append(lexicon.slot[i], -1) for i in indices])
     at = np.flatnonzero(real)
-    return np.stack([ids[at - 1 - p] for p in range(CONTEXT)], axis=1), ids[at]
+    return np.stack([ids[at - 1 - p] for p in range(CONTEXT)], axis=1), ids[at], slots
 
 
 def train(texts: DataFrame, counts: Counts) -> LogBilinear:
-    """Train on every text of `texts`; partitions train apart and are averaged by tokens."""
+    """Train on every text of `texts`; partitions train apart and are averaged, words by the steps on them."""
     import numpy as np
 
-    entries = min(VOCABULARY, len(counts.lists()[0])) + 3
-    width = 2 * SIZE + 1
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    model = LogBilinear.start(counts)
+    entries, width = len(model.bias), 3 * SIZE + 1
+    first_word = entries + CONTEXT
 
     def make(batches) -> Iterator[dict]:
-        words = counts.lists()[0][:VOCABULARY]
-        look = Entries(words).__getitem__
-        model, share = LogBilinear.start(counts), unigram(counts)
-        memory = [np.zeros_like(a) for a in (model.target, model.bias, model.context, model.place)]
-        rng, tokens = np.random.default_rng(SEED + 1), 0
+        lexicon, trainer = Lexicon(shared.value), Trainer(shared.value)
         for b in batches:
             if b.num_rows:
-                own = map(words_lower, b.column("text").to_pylist())
-                ids = token_ids([np.fromiter(map(look, w), np.int64, len(w)) for w in own], len(words))
-                _train(model, share, ids, rng, memory)
-                tokens += len(ids[1])
-        if tokens:
-            rows = np.column_stack([model.target, model.bias, model.context])
-            scale = np.column_stack([model.place, np.zeros((CONTEXT, width - SIZE), np.float32)])
+                own = [lexicon.indices(words_lower(t)) for t in b.column("text").to_pylist()]
+                trainer.learn(*token_ids(lexicon, own))
+        if trainer.tokens:
+            m, tokens = trainer.model, trainer.tokens
+            rows = np.column_stack([m.target, m.bias, m.context, m.inner])
             yield {
-                "entry": np.arange(entries + CONTEXT, dtype=np.int32),
-                "tokens": np.full(entries + CONTEXT, tokens, np.int64),
-                "numbers": list(np.vstack([rows, scale])),
+                "entry": np.arange(first_word, dtype=np.int32),
+                "tokens": np.full(first_word, tokens, np.int64),
+                "numbers": [*rows, *m.place],
             }
+            touched = np.flatnonzero(trainer.steps)
+            for i in range(0, len(touched), 16_384):
+                at = touched[i : i + 16_384]
+                yield {"entry": (first_word + at).astype(np.int32), "tokens": trainer.steps[at], "numbers": list(m.words[at])}
 
     parts = map_batches(texts.select("text"), make, "entry int, tokens bigint, numbers array<float>")
     sums = parts.groupBy("entry").agg(
         F.sum("tokens").alias("tokens"),
-        *[F.sum(F.col("numbers")[d].cast("double") * F.col("tokens")).alias(f"s{d}") for d in range(width)],
-    )
-    found = {r.entry: [r[f"s{d}"] / r.tokens for d in range(width)] for r in sums.collect()}
-    if not found:
-        return LogBilinear.start(counts)
-    table = np.array([found[i] for i in range(entries + CONTEXT)], np.float32)
-    rows = table[:entries]
-    return LogBilinear(
-        rows[:, SIZE + 1 :].copy(), rows[:, :SIZE].copy(), rows[:, SIZE].copy(), table[entries:, :SIZE].copy()
+        *[F.sum(F.get("numbers", F.lit(d)).cast("double") * F.col("tokens")).alias(f"s{d}") for d in range(width)],
     )
+    # at most FREQUENT + SINGLE + CLASSES + 4 rows
+    found = sums.toArrow()
+    if found.num_rows == 0:
+        return model
+    place = found["entry"].to_numpy()
+    table = np.zeros((int(place.max()) + 1, width), np.float32)
+    for d in range(width):
+        table[place, d] = found[f"s{d}"].to_numpy() / found["tokens"].to_numpy()
+    rows, touched = table[:entries], place[place >= first_word]
+    model.target, model.bias = rows[:, :SIZE].copy(), rows[:, SIZE].copy()
+    model.context, model.inner = rows[:, SIZE + 1 : 2 * SIZE + 1].copy(), rows[:, 2 * SIZE + 1 :].copy()
+    model.place = table[entries:first_word, :SIZE].copy()
+    model.words[touched - first_word] = table[touched, : SIZE + 1]
+    return model
+
+
+def normalised(spark: SparkSession, model: LogBilinear) -> LogBilinear:
+    """The model with its tables of sums, made by tasks over ranges of context entries."""
+    import numpy as np
+
+    shared, n = spark.sparkContext.broadcast(model), len(model.bias)
+
+    def make(batches) -> Iterator[dict]:
+        for b in batches:
+            rows = b.column("id").to_numpy()
+            if len(rows):
+                tables = (shared.value.norm_rows(rows), shared.value.inner_norm_rows(rows))
+                yield {"id": rows, **{k: [r.astype(np.float32).tobytes() for r in t] for k, t in zip(("a", "b"), tables)}}
+
+    ranges = spark.range(0, n, 1, max(1, n // 192))
+    found = map_batches(ranges, make, "id bigint, a binary, b binary", rows=32).orderBy("id").toArrow()
+    norms, inner = (np.stack([np.frombuffer(x, np.float32) for x in found[k].to_pylist()]) for k in ("a", "b"))
+    return replace(model, norms=norms, inner_norms=inner)
 
 
 def _scored(texts: DataFrame, counts: Counts, model: LogBilinear) -> DataFrame:
-    """Scores of the words whose counts are known here, and the list of all others."""
-    top = min(VOCABULARY, len(counts.lists()[0]))
-    denominator, denominator_other = denominators(counts)
+    """Scores of the listed words, and the list of all others with the logs' denominators in their classes."""
+    shared = texts.sparkSession.sparkContext.broadcast((counts, model))
 
     def make(batches) -> Iterator[dict]:
         from collections import Counter
@@ -288,57 +477,57 @@ def _scored(texts: DataFrame, counts: Counts, model: LogBilinear) -> DataFrame:
 
         import numpy as np
 
-        words, number = counts.lists()
-        look = Entries(words).__getitem__
-        base_of = np.log10((number + SMOOTH) / denominator)
-        share_of = np.log10((number + SMOOTH) / denominator_other)
-        share_of[:top] = 0.0
-        base_end = float(np.log10((counts.ends + SMOOTH) / denominator))
+        counts, model = shared.value
+        lexicon, number = Lexicon(counts), counts.lists()[1]
+        below = rest_denominators(counts, lexicon)
+        base_of = np.log10((number + SMOOTH) / denominator(counts))
+        base_end = float(np.log10((counts.ends + SMOOTH) / denominator(counts)))
 
         def row(own, index):
-            seen = index[index < len(words)]
-            rest = Counter(compress(own, (index == len(words)).tolist()))
+            seen = index[index < lexicon.listed]
+            rest = Counter(compress(own, (index >= lexicon.listed).tolist()))
             return (
                 len(own) + 1, len(seen) + (counts.ends > 0), float(base_of[seen].sum()) + base_end,
-                float(share_of[seen].sum()), list(rest), list(rest.values()),
+                list(rest), list(rest.values()), [float(below[lexicon.class_of(w)]) for w in rest],
             )
 
-        def finish(held, entries):
-            logs = model.log_probabilities(*token_ids(entries, top)) / np.log(10.0)
-            edges = np.cumsum([0] + [len(e) + 1 for e in entries])[:-1]
-            names = ("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times")
-            out = dict(zip(names, map(list, zip(*held))))
-            out["score"] = np.array(out["score"]) + np.add.reduceat(logs, edges)
-            return out
+        def finish(held, indices):
+            logs = model.log_probabilities(*token_ids(lexicon, indices)) / np.log(10.0)
+            edges = np.cumsum([0] + [len(i) + 1 for i in indices])[:-1]
+            names = ("doc_id", "held_out", "n_tokens", "n_known", "base", "words", "times", "below")
+            return {**dict(zip(names, map(list, zip(*held)))), "score": np.add.reduceat(logs, edges)}
 
-        held, entries, tokens = [], [], 0
+        held, indices, tokens = [], [], 0
         for b in batches:
             for doc_id, out, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "held_out", "text"))):
                 own = words_lower(text)
-                index = np.fromiter(map(look, own), np.int64, len(own))
+                index = lexicon.indices(own)
                 held.append((doc_id, out, *row(own, index)))
-                entries.append(np.minimum(index, top))
+                indices.append(index)
                 tokens += len(own) + 1
                 if tokens >= TOGETHER:
-                    yield finish(held, entries)
-                    held, entries, tokens = [], [], 0
+                    yield finish(held, indices)
+                    held, indices, tokens = [], [], 0
         if held:
-            yield finish(held, entries)
+            yield finish(held, indices)
 
     return map_batches(
         texts,
         make,
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double,"
-        " words array<binary>, times array<int>",
+        " words array<binary>, times array<int>, below array<double>",
     )
 
 
-def denominators(counts: Counts) -> tuple[float, float]:
-    """Of the smoothed share of a word among all tokens, and among the words outside the model's vocabulary."""
-    number = counts.lists()[1][:VOCABULARY]
-    rest = counts.tokens - counts.ends - int(number.sum())
-    kinds = counts.distinct - (counts.ends > 0) - len(number)
-    return counts.tokens + SMOOTH * (counts.distinct + 1), rest + SMOOTH * (kinds + 1)
+def denominator(counts: Counts) -> float:
+    """Of the smoothed share of a word among all tokens."""
+    return counts.tokens + SMOOTH * (counts.distinct + 1)
+
+
+def rest_denominators(counts: Counts, lexicon: Lexicon):
+    """Of the smoothed share of a word among the unlisted words of its class, per class."""
+    tokens, kinds = counts.rests(lexicon.classes)
+    return tokens + SMOOTH * (kinds + 1)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -353,21 +542,20 @@ def score_texts(docs: DataFrame) -> DataFrame:
     texts = _texts(docs)
     learned = texts.where("not held_out")
     table = staged(count_words(learned), "word-counts")
-    counts = frequent_counts(table)
-    model = train(learned, counts)
+    counts = with_rests(frequent_counts(table), table)
+    model = normalised(docs.sparkSession, train(learned, counts))
     rows = numbered(_scored(texts, counts, model), "scored")
-    denominator, denominator_other = denominators(counts)
 
-    rest = rows.select("row_no", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
-        "row_no", F.col("w.words").alias("word"), F.col("w.times").alias("times")
+    rest = rows.select("row_no", F.explode(F.arrays_zip("words", "times", "below")).alias("w")).select(
+        "row_no", F.col("w.words").alias("word"), F.col("w.times").alias("times"), F.col("w.below").alias("below")
     )
     n = F.coalesce("n", F.lit(0))
     found = rest.join(table.where("word is not null"), "word", "left").groupBy("row_no").agg(
-        F.sum(F.col("times") * F.log10((n + SMOOTH) / denominator)).alias("base_rest"),
-        F.sum(F.col("times") * F.log10((n + SMOOTH) / denominator_other)).alias("score_rest"),
+        F.sum(F.col("times") * F.log10((n + SMOOTH) / denominator(counts))).alias("base_rest"),
+        F.sum(F.col("times") * F.log10((n + SMOOTH) / F.col("below"))).alias("score_rest"),
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known_rest"),
     )
-    joined = rows.drop("words", "times").join(found, "row_no", "left")
+    joined = rows.drop("words", "times", "below").join(found, "row_no", "left")
     return joined.select(
         "doc_id",
         "held_out",

@@ -172,6 +172,56 @@ def test_model_probabilities_sum_to_one():
     assert np.exp(model.log_probabilities(contexts, np.arange(5))).sum() == pytest.approx(1.0)
 
 
+def test_words_of_classes_sum_to_one(monkeypatch):
+    monkeypatch.setattr(language_model, "SINGLE", 5)
+    monkeypatch.setattr(language_model, "PER_CLASS", 4)
+    rng = np.random.default_rng(3)
+    words = sorted({bytes(rng.integers(97, 103, 4, dtype=np.uint8)) for _ in range(60)})
+    number = np.sort(rng.integers(2, 50, len(words)))[::-1].astype(np.int64)
+    counts = language_model.Counts(int(number.sum()) + 40, len(words) + 1, 10, b" ".join(words), number.tobytes())
+    lexicon = language_model.Lexicon(counts)
+    assert lexicon.classes > 3 and lexicon.edges[-1] == len(words) - 5 + lexicon.classes
+    assert [lexicon.entry[lexicon[w]] - 5 for w in words[5:]] == [lexicon.class_of(w) for w in words[5:]]
+    model = language_model.LogBilinear.start(counts)
+    for name in ("context", "target", "inner", "words"):
+        array = getattr(model, name)
+        setattr(model, name, array + rng.normal(0, 1, array.shape).astype(np.float32))
+    # every word, the unlisted words of every class, and the end, after two tokens
+    index = np.arange(len(words) + lexicon.classes)
+    targets, slots = np.append(lexicon.entry[index], lexicon.end), np.append(lexicon.slot[index], -1)
+    for context in ([0, 7], [lexicon.start, lexicon.start], [6, lexicon.end]):
+        logs = model.log_probabilities(np.array([context] * len(targets)), targets, slots)
+        assert np.exp(logs).sum() == pytest.approx(1.0, abs=1e-5)
+        r = model.predict(np.array([context]))[0]
+        scores = model.target[:-1] @ r + model.bias[:-1]
+        want = scores[targets] - np.log(np.exp(scores.astype(float)).sum())
+        for c in range(lexicon.classes):
+            own = model.words[lexicon.edges[c] : lexicon.edges[c + 1]]
+            inside = own[:, :-1] @ model.inner[context[0]] + own[:, -1]
+            here = (slots >= lexicon.edges[c]) & (slots < lexicon.edges[c + 1])
+            want[here] += inside[slots[here] - lexicon.edges[c]] - np.log(np.exp(inside.astype(float)).sum())
+        assert logs == pytest.approx(want, abs=1e-4)
+
+
+def test_unlisted_words_are_counted_by_class(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SINGLE", 2)
+    monkeypatch.setattr(language_model, "PER_CLASS", 3)
+    texts = [" ".join(f"w{j}x{j * 7 % 10}" for j in range(i, 40)) for i in range(0, 40, 2)]
+    table = language_model.count_words(frame(spark, [(i, t, None) for i, t in enumerate(texts)]))
+    for most in (12, 25):
+        monkeypatch.setattr(language_model, "FREQUENT", most)
+        counts = language_model.with_rests(language_model.frequent_counts(table), table)
+        lexicon = language_model.Lexicon(counts)
+        want = np.zeros((2, lexicon.classes), np.int64)
+        every = collections.Counter(" ".join(texts).encode().split())
+        for w, n in every.items():
+            if w not in lexicon:
+                want[:, lexicon.class_of(w)] += (n, 1)
+        assert 0 < len(lexicon) <= most < len(every) and (counts.rests(lexicon.classes) == want).all()
+        share, inside, edges = language_model.unigram(counts)
+        assert share.sum() == pytest.approx(1.0) and np.add.reduceat(inside, edges[:-1]) == pytest.approx(1.0)
+
+
 def test_model_beats_unigrams(spark, documents):
     found = language_model.score_texts(documents).where("held_out").collect()
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
