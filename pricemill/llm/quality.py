@@ -3,11 +3,12 @@
 Two zstandard dictionaries are trained, one from good and one from bad labelled text. A text like the good ones
 compresses better with the first, so the difference of its two compressed sizes tells the classes apart, normalised
 by the length and by both sizes. A logistic curve over these two differences and their products turns them into a
-probability; it is fitted on labelled rows that the dictionaries have not seen. Length and
-compressibility by themselves are no inputs.
+probability. Length and compressibility by themselves are no inputs.
 
-The dictionaries and the curve are fitted on a bounded sample (DICTIONARY_ROWS and CALIBRATION_ROWS per class, by
-hash of doc_id). Class shares come from all labels, and every text is scored in full.
+The dictionaries and the curve are fitted on a bounded sample (SAMPLE_ROWS per class, by hash of doc_id). The curve
+must see texts that the dictionaries have not: each of FOLDS parts of the sample is measured with dictionaries
+trained on the other parts, so every row serves both; the dictionaries of the model are trained on all of them. Class
+shares come from all labels, and every text is scored in full.
 """
 
 from __future__ import annotations
@@ -15,17 +16,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricemill.llm.common import crc_part, map_batches
 from pricemill.session import staged
 
-#: Labelled rows of each class that make its dictionary, and characters taken from each of them.
-DICTIONARY_ROWS, SLICE = 4000, 1000
-#: Labelled rows of each class, others than those, that fit the curve; scored on whole texts.
-CALIBRATION_ROWS = 4000
-DICTIONARY_BYTES = 256 * 1024
+#: Labelled rows of each class in the sample, and characters that a dictionary takes from each of them.
+SAMPLE_ROWS, SLICE = 4000, 1000
+#: Parts of the sample, each measured on whole texts with the dictionaries of the others.
+FOLDS = 4
+DICTIONARY_BYTES = 112 * 1024
 LEVEL = 3
 THRESHOLD = 0.7
 
@@ -148,27 +150,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
         return QualityModel(b"", b"", (0.0,) * 2, (1.0,) * 2, (constant,) + (0.0,) * 5)
 
     chosen = None
-    for quality, total in sorted(totals.items()):
-        # half of a small class goes to its dictionary, half to the curve
-        words, rows = min(DICTIONARY_ROWS, total // 2), min(CALIBRATION_ROWS, total - min(DICTIONARY_ROWS, total // 2))
-        order = F.xxhash64("doc_id")
-        first = known.where(F.col("quality") == quality).orderBy(order, "doc_id").limit(words + rows)
-        cut = first.orderBy(order, "doc_id").limit(words).select("doc_id", F.lit(True).alias("to_dictionary"))
-        part = first.join(F.broadcast(cut), "doc_id", "left")
+    for quality in sorted(totals):
+        part = known.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most 2 * (DICTIONARY_ROWS + CALIBRATION_ROWS) rows of three numbers, whatever the input
+    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    # at most 2 * SAMPLE_ROWS rows of three numbers, whatever the input
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(
         F.broadcast(chosen), "doc_id"
     )
     sample = sample.dropDuplicates(["doc_id"]).cache()
-    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.greatest(F.lit(1), F.length("text") - SLICE))
-    texts = (
-        sample.where("to_dictionary").select("doc_id", "quality", F.substr("text", start, F.lit(SLICE)).alias("slice"))
-        .orderBy("doc_id").collect()
-    )
-    good, bad = (_dictionary([r.slice.encode() for r in texts if r.quality == q and r.slice]) for q in (1, 0))
-    rows = _features(sample.where("to_dictionary is null"), good, bad).orderBy("doc_id").collect()
+    found = _dictionaries(sample)
+    rows = _features(sample, found).orderBy("doc_id").collect()
     sample.unpersist()
+    good, bad = found[FOLDS]
 
     quality = np.array([r.quality for r in rows], float)
     x = np.array([list(r.features) for r in rows])
@@ -178,19 +172,46 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return QualityModel(good, bad, tuple(mean), tuple(scale), tuple(weights))
 
 
-def _features(sample: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    shared = sample.sparkSession.sparkContext.broadcast((good, bad))
+def _dictionaries(sample: DataFrame) -> list[tuple[bytes, bytes]]:
+    """The good and the bad dictionary without each fold, and last those of the whole sample.
+
+    One task per dictionary gets at most SAMPLE_ROWS slices.
+    """
+    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.greatest(F.lit(1), F.length("text") - SLICE))
+    slices = sample.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "quality",
+        "fold",
+        F.substr("text", start, F.lit(SLICE)).alias("slice"),
+        F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("without"),
+    )
+
+    def make(key, table):
+        texts = [t.encode() for t in table.sort_by("doc_id").column("slice").to_pylist() if t]
+        columns = {"quality": [key[0].as_py()], "without": [key[1].as_py()], "dictionary": [_dictionary(texts)]}
+        return pa.table(columns, schema=pa.schema([("quality", pa.int32()), ("without", pa.int32()), ("dictionary", pa.binary())]))
+
+    trained = slices.where("without != fold").groupBy("quality", "without").applyInArrow(
+        make, "quality int, without int, dictionary binary"
+    )
+    found = {(r.quality, r.without): bytes(r.dictionary) for r in trained.collect()}
+    return [(found.get((1, k), b""), found.get((0, k), b"")) for k in range(FOLDS + 1)]
+
+
+def _features(sample: DataFrame, dictionaries: list[tuple[bytes, bytes]]) -> DataFrame:
+    shared = sample.sparkSession.sparkContext.broadcast(dictionaries)
 
     def make(batches) -> Iterator[dict]:
-        features = size_features(*shared.value)
+        features = [size_features(*pair) for pair in shared.value]
         for b in batches:
+            texts = zip(b.column("fold").to_pylist(), b.column("text").to_pylist())
             yield {
                 "doc_id": b.column("doc_id"),
                 "quality": b.column("quality"),
-                "features": [features(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()],
+                "features": [features[fold](t.encode("utf-8", "surrogatepass")) for fold, t in texts],
             }
 
-    narrow = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
+    narrow = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "fold", "text")
     return map_batches(narrow, make, "doc_id bigint, quality int, features array<double>")
 
 
@@ -238,8 +259,6 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import pyarrow as pa
-
         score = _scorer(shared.value)
         for b in batches:
             for i in range(0, b.num_rows, 512):
