@@ -213,11 +213,11 @@ class LogBilinear:
     inner_norms: object = None
 
     @classmethod
-    def start(cls, counts: Counts) -> LogBilinear:
+    def start(cls, counts: Counts, shares=None) -> LogBilinear:
         """Small random context vectors and the log of unigram probabilities: it starts close to a unigram model."""
         import numpy as np
 
-        share, inside, edges = unigram(counts)
+        share, inside, edges = shares or unigram(counts)
         rng = np.random.default_rng(SEED)
         n = len(share) + 1
         return cls(
@@ -276,11 +276,11 @@ class LogBilinear:
         return out
 
 
-def unigram(counts: Counts):
+def unigram(counts: Counts, lexicon: Lexicon | None = None):
     """Smoothed shares of the entries that can be predicted, of the words inside their classes, and the classes' edges."""
     import numpy as np
 
-    lexicon, number = Lexicon(counts), counts.lists()[1].astype(float)
+    lexicon, number = lexicon or Lexicon(counts), counts.lists()[1].astype(float)
     rest = counts.rests(lexicon.classes)[0]
     inside = np.zeros(lexicon.edges[-1])
     inside[lexicon.slot[lexicon.top : lexicon.listed]] = number[lexicon.top :]
@@ -295,11 +295,12 @@ def unigram(counts: Counts):
 class Trainer:
     """Noise-contrastive steps (AdaGrad) of one partition on its own copy of the model."""
 
-    def __init__(self, counts: Counts):
+    def __init__(self, counts: Counts, lexicon: Lexicon | None = None):
         import numpy as np
 
-        self.model = LogBilinear.start(counts)
-        share, inside, _ = unigram(counts)
+        share, inside, edges = shares = unigram(counts, lexicon)
+        self.model = LogBilinear.start(counts, shares)
+        self.kind = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
         self.offset, self.limits = np.log(NOISE_RATIO * share).astype(np.float32), np.cumsum(share)
         self.inside_offset = np.log(INSIDE_NOISE * inside).astype(np.float32)
         self.inside_limits = np.r_[0.0, np.cumsum(inside)]
@@ -322,8 +323,11 @@ class Trainer:
     def _step(array, old, change, rows=slice(None)) -> None:
         import numpy as np
 
-        old[rows] += change * change
-        array[rows] += RATE * change / np.sqrt(old[rows] + 1e-6)
+        new = old[rows] + change * change
+        old[rows] = new
+        new += np.float32(1e-6)
+        np.sqrt(new, out=new)
+        array[rows] += np.divide(np.multiply(change, np.float32(RATE)), new, out=new)
 
     @staticmethod
     def _spread(index, rows, size):
@@ -363,14 +367,14 @@ class Trainer:
         if len(at) == 0:
             return
         model, before, slots = self.model, before[at], slots[at]
-        kind = np.searchsorted(model.edges, slots, "right") - 1
+        kind = self.kind[slots]
         first, stop = model.edges[kind][:, None], model.edges[kind + 1][:, None]
         low, high = self.inside_limits[first], self.inside_limits[stop]
         drawn = low + self.rng.random((len(at), INSIDE_NOISE)) * (high - low)
         noise = np.clip(np.searchsorted(self.inside_limits, drawn, "right") - 1, first, stop - 1)
         rows = np.column_stack([slots, noise])
         h = np.column_stack([model.inner[before], np.ones(len(at), np.float32)])
-        q = model.words[rows]
+        q = model.words.take(rows, axis=0)
         z = np.clip(np.einsum("nd,nkd->nk", h, q) - self.inside_offset[rows], -30, 30)
         g = -1.0 / (1.0 + np.exp(-z))
         g[:, 0] += 1.0
@@ -409,7 +413,8 @@ def train(texts: DataFrame, counts: Counts) -> LogBilinear:
     first_word = entries + CONTEXT
 
     def make(batches) -> Iterator[dict]:
-        lexicon, trainer = Lexicon(shared.value), Trainer(shared.value)
+        lexicon = Lexicon(shared.value)
+        trainer = Trainer(shared.value, lexicon)
         for b in batches:
             if b.num_rows:
                 own = [lexicon.indices(words_lower(t)) for t in b.column("text").to_pylist()]
