@@ -409,8 +409,9 @@ def train(texts: DataFrame, counts: Counts) -> LogBilinear:
 
     shared = texts.sparkSession.sparkContext.broadcast(counts)
     model = LogBilinear.start(counts)
-    entries, width = len(model.bias), 3 * SIZE + 1
-    first_word = entries + CONTEXT
+    # rows: targets with biases, context vectors, inner ones, places, words
+    entries, width = len(model.bias), SIZE + 1
+    first_word = 3 * entries + CONTEXT
 
     def make(batches) -> Iterator[dict]:
         lexicon = Lexicon(shared.value)
@@ -421,11 +422,11 @@ def train(texts: DataFrame, counts: Counts) -> LogBilinear:
                 trainer.learn(*token_ids(lexicon, own))
         if trainer.tokens:
             m, tokens = trainer.model, trainer.tokens
-            rows = np.column_stack([m.target, m.bias, m.context, m.inner])
+            rows = np.column_stack([m.target, m.bias])
             yield {
                 "entry": np.arange(first_word, dtype=np.int32),
                 "tokens": np.full(first_word, tokens, np.int64),
-                "numbers": [*rows, *m.place],
+                "numbers": [*rows, *m.context, *m.inner, *m.place],
             }
             touched = np.flatnonzero(trainer.steps)
             for i in range(0, len(touched), 16_384):
@@ -447,8 +448,9 @@ def train(texts: DataFrame, counts: Counts) -> LogBilinear:
         table[place, d] = found[f"s{d}"].to_numpy() / found["tokens"].to_numpy()
     rows, touched = table[:entries], place[place >= first_word]
     model.target, model.bias = rows[:, :SIZE].copy(), rows[:, SIZE].copy()
-    model.context, model.inner = rows[:, SIZE + 1 : 2 * SIZE + 1].copy(), rows[:, 2 * SIZE + 1 :].copy()
-    model.place = table[entries:first_word, :SIZE].copy()
+    model.context = table[entries : 2 * entries, :SIZE].copy()
+    model.inner = table[2 * entries : 3 * entries, :SIZE].copy()
+    model.place = table[3 * entries : first_word, :SIZE].copy()
     model.words[touched - first_word] = table[touched, : SIZE + 1]
     return model
 
