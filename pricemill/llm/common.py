@@ -62,6 +62,33 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def words_of_batch(texts: pa.Array, lower: bool = False):
+    """Words of all texts of an Arrow array in turn, as `words_of` finds them; with `lower`, A-Z as a-z.
+
+    Returns the different words (an Arrow array in UTF-8, which may hold an empty one that no text uses), the place of
+    each word of the texts among them, and where the words of each text end, with 0 before.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    split = pc.ascii_split_whitespace(texts)
+    flat = split.flatten().dictionary_encode()
+    different, places = flat.dictionary, flat.indices.to_numpy()
+    if lower:
+        # only the different words: ascii_lower of a slice of texts reads past its bytes
+        flat = pc.ascii_lower(different).dictionary_encode()
+        different, places = flat.dictionary, flat.indices.to_numpy()[places]
+    different = different.cast(pa.large_binary())
+    ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+    # a text that begins or ends with a blank, or has no word, has empty words there
+    blank = pc.index(different, pa.scalar(b"", pa.large_binary())).as_py()
+    if blank >= 0:
+        real = places != blank
+        ends, places = np.r_[0, np.cumsum(real)][ends], places[real]
+    return different, places, ends
+
+
 def crc_part(column: str, parts: int) -> Column:
     """crc32 of the value as text, modulo `parts`; null for a null value."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))

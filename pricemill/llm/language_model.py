@@ -23,10 +23,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricemill.llm.common import crc_part, map_batches, numbered
+from pricemill.llm.common import crc_part, map_batches, numbered, words_of_batch
 from pricemill.session import staged
 
 #: Most frequent words that are entries themselves, and at most how many classes hold all others.
@@ -41,8 +43,11 @@ NOISE, NOISE_RATIO, BATCH, RATE = 32, 8.0, 8192, 0.1
 INSIDE_NOISE, INSIDE_SCALE = 3, 256.0
 SMOOTH = 0.1
 SEED = 5
-#: Distinct words a worker counts before it passes the counts on, and tokens it scores at a time.
-HELD, TOGETHER = 300_000, 200_000
+#: Tokens for which one copy of the model is trained: partitions with fewer share a copy. Each copy sends all its numbers,
+#: so what is sent grows with the tokens and not with the number of partitions.
+TRAINED = 1 << 21
+#: Words a worker counts before it passes the counts on, and tokens it scores at a time.
+HELD, TOGETHER = 1_000_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -107,15 +112,15 @@ class Lexicon(dict):
     def __missing__(self, word: bytes) -> int:
         return self.listed + bisect_right(self.bounds, word[::-1])
 
-    def indices(self, words: list[bytes]):
+    def of_batch(self, texts: pa.Array):
+        """The different words of the texts and their indices, and `words_of_batch`'s places and ends."""
         import numpy as np
 
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def words_lower(text: str | None) -> list[bytes]:
-    """Words with A-Z as a-z; bytes.lower() changes these letters only."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+        words, places, ends = words_of_batch(texts, lower=True)
+        # joined and split again: quicker than a Python object from each Arrow value
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(b"\n", words.type))[0].as_py()
+        own = line.split(b"\n") if len(words) else []
+        return words, np.fromiter(map(self.__getitem__, own), np.int64, len(words)), places, ends
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -129,18 +134,27 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word, n): how often each word occurs in `texts`; the end of text is the null word."""
 
     def make(batches) -> Iterator[dict]:
-        from collections import Counter
+        import numpy as np
 
-        held: Counter = Counter()
+        held: list[pa.Table] = []
         ends = 0
+
+        def summed() -> dict:
+            found = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+            return {"word": found["word"].combine_chunks(), "n": found["n_sum"].combine_chunks()}
+
         for b in batches:
             ends += b.num_rows
-            for text in b.column("text").to_pylist():
-                held.update(words_lower(text))
-            if len(held) > HELD:
-                yield {"word": list(held), "n": list(held.values())}
-                held = Counter()
-        yield {"word": [*held, None], "n": [*held.values(), ends]}
+            words, places, _ = words_of_batch(b.column("text"), lower=True)
+            n = np.bincount(places, minlength=len(words))
+            own = pa.table({"word": words.cast(pa.binary()), "n": n})
+            held.append(own.filter(pa.array(n > 0)))
+            if sum(map(len, held)) > HELD:
+                yield summed()
+                held = []
+        if held:
+            yield summed()
+        yield {"word": [None], "n": [ends]}
 
     return map_batches(texts.select("text"), make, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -304,6 +318,7 @@ class Trainer:
         self.offset, self.limits = np.log(NOISE_RATIO * share).astype(np.float32), np.cumsum(share)
         self.inside_offset = np.log(INSIDE_NOISE * inside).astype(np.float32)
         self.inside_limits = np.r_[0.0, np.cumsum(inside)]
+        self.inside_bounds = self.inside_limits[edges[:-1]], self.inside_limits[edges[1:]]
         self.rng = np.random.default_rng(SEED + 1)
         m = self.model
         self.arrays = (m.target, m.bias, m.context, m.place)
@@ -311,6 +326,8 @@ class Trainer:
         self.word_memory, self.inner_memory = np.zeros_like(m.words), np.zeros_like(m.inner)
         #: How often a step was taken on each word inside the classes, and tokens seen.
         self.steps, self.tokens = np.zeros(len(m.words), np.int64), 0
+        #: Scratch: places of the words of a step among those that it touches, else zero.
+        self.place_of = np.zeros(len(m.words), np.int32)
 
     def learn(self, contexts, targets, slots) -> None:
         for i in range(0, len(targets), BATCH):
@@ -320,20 +337,20 @@ class Trainer:
         self.tokens += len(targets)
 
     @staticmethod
-    def _step(array, old, change, rows=slice(None)) -> None:
+    def _step(array, old, change) -> None:
         import numpy as np
 
-        new = old[rows] + change * change
-        old[rows] = new
-        new += np.float32(1e-6)
+        old += change * change
+        new = old + np.float32(1e-6)
         np.sqrt(new, out=new)
-        array[rows] += np.divide(np.multiply(change, np.float32(RATE)), new, out=new)
+        array += np.divide(np.multiply(change, np.float32(RATE)), new, out=new)
 
     @staticmethod
-    def _spread(index, rows, size):
+    def _spread(index, columns, size):
+        """Sums of each column by index; columns one after the other, as only one of them stays in the cache."""
         import numpy as np
 
-        return np.stack([np.bincount(index, rows[:, d], size) for d in range(rows.shape[1])], axis=1)
+        return np.stack([np.bincount(index, column, size) for column in columns], axis=1)
 
     def _entries(self, c, w) -> None:
         """One step of the first level; the noise entries are shared by the batch."""
@@ -341,21 +358,24 @@ class Trainer:
 
         model, offset, size = self.model, self.offset, len(self.model.bias)
         noise = np.minimum(np.searchsorted(self.limits, self.rng.random(NOISE)), size - 2)
-        r = model.predict(c)
-        real = (r * model.target[w]).sum(axis=1) + model.bias[w] - offset[w]
+        places = [np.ascontiguousarray(c[:, p]) for p in range(CONTEXT)]
+        before, own = [model.context.take(at, axis=0) for at in places], model.target.take(w, axis=0)
+        r = sum(rows * model.place[p] for p, rows in enumerate(before))
+        real = (r * own).sum(axis=1) + model.bias[w] - offset[w]
         false = r @ model.target[noise].T + model.bias[noise] - offset[noise]
         up = 1.0 / (1.0 + np.exp(np.clip(real, -30, 30)))
         np.clip(false, -30, 30, out=false)
         np.exp(np.negative(false, out=false), out=false)
         down = np.divide(np.float32(-NOISE_RATIO / NOISE), np.add(false, 1, out=false), out=false)
-        back = up[:, None] * model.target[w] + down @ model.target[noise]
+        back = up[:, None] * own + down @ model.target[noise]
         n = np.float32(1.0 / len(w))
-        target = self._spread(w, up[:, None] * r, size)
+        target = self._spread(w, up * np.ascontiguousarray(r.T), size)
         np.add.at(target, noise, down.T @ r)
         bias = np.bincount(w, up, size)
         np.add.at(bias, noise, down.sum(axis=0))
-        context = sum(self._spread(c[:, p], back * model.place[p], size) for p in range(CONTEXT))
-        place = np.stack([(back * model.context[c[:, p]]).sum(axis=0) for p in range(CONTEXT)])
+        columns = np.ascontiguousarray(back.T)
+        context = sum(self._spread(at, columns * model.place[p][:, None], size) for p, at in enumerate(places))
+        place = np.stack([(back * rows).sum(axis=0) for rows in before])
         for array, old, change in zip(self.arrays, self.memory, (target, bias, context, place)):
             self._step(array, old, (change * n).astype(np.float32))
 
@@ -367,44 +387,68 @@ class Trainer:
         if len(at) == 0:
             return
         model, before, slots = self.model, before[at], slots[at]
-        kind = self.kind[slots]
-        first, stop = model.edges[kind][:, None], model.edges[kind + 1][:, None]
-        low, high = self.inside_limits[first], self.inside_limits[stop]
+        kind = self.kind.take(slots)
+        low, high = (x.take(kind)[:, None] for x in self.inside_bounds)
         drawn = low + self.rng.random((len(at), INSIDE_NOISE)) * (high - low)
+        first, stop = model.edges[kind][:, None], model.edges[kind + 1][:, None]
         noise = np.clip(np.searchsorted(self.inside_limits, drawn, "right") - 1, first, stop - 1)
         rows = np.column_stack([slots, noise])
-        h = np.column_stack([model.inner[before], np.ones(len(at), np.float32)])
-        q = model.words.take(rows, axis=0)
-        z = np.clip(np.einsum("nd,nkd->nk", h, q) - self.inside_offset[rows], -30, 30)
+        self.place_of[rows.ravel()] = 1
+        touched = np.flatnonzero(self.place_of)
+        self.place_of[touched] = np.arange(len(touched))
+        where = self.place_of.take(rows).astype(np.int64)
+        self.place_of[touched] = 0
+        # the large tables are read once, in order
+        own = model.words.take(touched, axis=0)
+        h = np.column_stack([model.inner.take(before, axis=0), np.ones(len(at), np.float32)])
+        q = own.take(where, axis=0)
+        z = np.clip(np.einsum("nd,nkd->nk", h, q) - self.inside_offset.take(touched).take(where), -30, 30)
         g = -1.0 / (1.0 + np.exp(-z))
         g[:, 0] += 1.0
-        touched, where, times = np.unique(rows, return_inverse=True, return_counts=True)
-        words = self._spread(where.ravel(), (g[:, :, None] * h[:, None, :]).reshape(-1, SIZE + 1), len(touched))
-        inner = self._spread(before, np.einsum("nk,nkd->nd", g, q[:, :, :SIZE]), len(model.inner))
+        each = where.ravel()
+        words = self._spread(each, ((g * column[:, None]).ravel() for column in np.ascontiguousarray(h.T)), len(touched))
+        inner = self._spread(before, np.ascontiguousarray(np.einsum("nk,nkd->nd", g, q[:, :, :SIZE]).T), len(model.inner))
         n = np.float32(1.0 / INSIDE_SCALE)
-        self._step(model.words, self.word_memory, (words * n).astype(np.float32), touched)
+        memory = self.word_memory.take(touched, axis=0)
+        self._step(own, memory, (words * n).astype(np.float32))
+        model.words[touched], self.word_memory[touched] = own, memory
         self._step(model.inner, self.inner_memory, (inner * n).astype(np.float32))
-        self.steps[touched] += times
+        self.steps[touched] += np.bincount(each, minlength=len(touched))
 
 
-def token_ids(lexicon: Lexicon, indices: list):
-    """Contexts, targets and slots of texts given as arrays of word indices; each text is ended."""
+def token_ids(lexicon: Lexicon, index, ends):
+    """Contexts, targets and slots of texts: word indices in turn and where each text ends, 0 first. Texts get an end token."""
     import numpy as np
 
-    lengths = np.array([len(i) + CONTEXT + 1 for i in indices])
-    ids = np.full(lengths.sum(), lexicon.start, np.int64)
-    stops = np.cumsum(lengths)
-    real = np.ones(len(ids), bool)
-    for p in range(CONTEXT):
-        real[stops - lengths + p] = False
-    ids[real] = np.concatenate([np.append(lexicon.entry[i], lexicon.end) for i in indices])
-    slots = np.concatenate([np.append(lexicon.slot[i], -1) for i in indices])
+    texts, lengths = len(ends) - 1, np.diff(ends)
+    before = CONTEXT + (CONTEXT + 1) * np.arange(texts)
+    at = np.arange(len(index)) + np.repeat(before, lengths)
+    stops = ends[1:] + before
+    ids = np.full(len(index) + (CONTEXT + 1) * texts, lexicon.start, np.int64)
+    slots = np.full(len(ids), -1, np.int64)
+    real = np.zeros(len(ids), bool)
+    ids[at], slots[at], real[at] = lexicon.entry[index], lexicon.slot[index], True
+    ids[stops], real[stops] = lexicon.end, True
     at = np.flatnonzero(real)
-    return np.stack([ids[at - 1 - p] for p in range(CONTEXT)], axis=1), ids[at], slots
+    return np.stack([ids[at - 1 - p] for p in range(CONTEXT)], axis=1), ids[at], slots[at]
+
+
+def cuts(ends, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most `most` words, or of one text."""
+    import numpy as np
+
+    first = 0
+    while first < len(ends) - 1:
+        stop = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+        yield first, stop
+        first = stop
 
 
 def train(texts: DataFrame, counts: Counts) -> LogBilinear:
-    """Train on every text of `texts`; partitions train apart and are averaged, words by the steps on them."""
+    """Train on every text of `texts`; partitions train apart and are averaged, words by the steps on them.
+
+    Partitions are put together, without a shuffle, until there are about TRAINED tokens for each.
+    """
     import numpy as np
 
     shared = texts.sparkSession.sparkContext.broadcast(counts)
@@ -418,8 +462,8 @@ def train(texts: DataFrame, counts: Counts) -> LogBilinear:
         trainer = Trainer(shared.value, lexicon)
         for b in batches:
             if b.num_rows:
-                own = [lexicon.indices(words_lower(t)) for t in b.column("text").to_pylist()]
-                trainer.learn(*token_ids(lexicon, own))
+                _, index, places, ends = lexicon.of_batch(b.column("text"))
+                trainer.learn(*token_ids(lexicon, index[places], ends))
         if trainer.tokens:
             m, tokens = trainer.model, trainer.tokens
             rows = np.column_stack([m.target, m.bias])
@@ -433,7 +477,8 @@ def train(texts: DataFrame, counts: Counts) -> LogBilinear:
                 at = touched[i : i + 16_384]
                 yield {"entry": (first_word + at).astype(np.int32), "tokens": trainer.steps[at], "numbers": list(m.words[at])}
 
-    parts = map_batches(texts.select("text"), make, "entry int, tokens bigint, numbers array<float>")
+    copies = max(1, -(-counts.tokens // TRAINED))
+    parts = map_batches(texts.select("text").coalesce(copies), make, "entry int, tokens bigint, numbers array<float>")
     sums = parts.groupBy("entry").agg(
         F.sum("tokens").alias("tokens"),
         *[F.sum(F.get("numbers", F.lit(d)).cast("double") * F.col("tokens")).alias(f"s{d}") for d in range(width)],
@@ -479,44 +524,48 @@ def _scored(texts: DataFrame, counts: Counts, model: LogBilinear) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast((counts, model))
 
     def make(batches) -> Iterator[dict]:
-        from collections import Counter
-        from itertools import compress
-
         import numpy as np
 
         counts, model = shared.value
         lexicon, number = Lexicon(counts), counts.lists()[1]
         below = rest_denominators(counts, lexicon)
-        base_of = np.log10((number + SMOOTH) / denominator(counts))
+        # places after the listed words are for the others, whose counts are looked up later
+        base_of = np.r_[np.log10((number + SMOOTH) / denominator(counts)), np.zeros(lexicon.classes)]
         base_end = float(np.log10((counts.ends + SMOOTH) / denominator(counts)))
 
-        def row(own, index):
-            seen = index[index < lexicon.listed]
-            rest = Counter(compress(own, (index >= lexicon.listed).tolist()))
-            return (
-                len(own) + 1, len(seen) + (counts.ends > 0), float(base_of[seen].sum()) + base_end,
-                list(rest), list(rest.values()), [float(below[lexicon.class_of(w)]) for w in rest],
-            )
-
-        def finish(held, indices):
-            logs = model.log_probabilities(*token_ids(lexicon, indices)) / np.log(10.0)
-            edges = np.cumsum([0] + [len(i) + 1 for i in indices])[:-1]
-            names = ("doc_id", "held_out", "n_tokens", "n_known", "base", "words", "times", "below")
-            return {**dict(zip(names, map(list, zip(*held)))), "score": np.add.reduceat(logs, edges)}
-
-        held, indices, tokens = [], [], 0
+        def sums(values, ends):
+            total = np.r_[0, np.cumsum(values)]
+            return total[ends[1:]] - total[ends[:-1]]
+
+        def scored(words, of_word, places, ends):
+            index, n = of_word[places], len(ends) - 1
+            logs = model.log_probabilities(*token_ids(lexicon, index, ends)) / np.log(10.0)
+            row = np.repeat(np.arange(n), np.diff(ends))
+            other = np.flatnonzero(index >= lexicon.listed)
+            pairs, times = np.unique(row[other] * len(words) + places[other], return_counts=True)
+            kind = pairs % max(1, len(words))
+            offsets = np.searchsorted(pairs, np.arange(n + 1) * len(words)).astype(np.int32)
+
+            def lists(values):
+                return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+            return {
+                "n_tokens": np.diff(ends) + 1,
+                "n_known": sums(index < lexicon.listed, ends) + (counts.ends > 0),
+                "base": np.bincount(row, base_of[index], n) + base_end,
+                "score": np.add.reduceat(logs, ends[:-1] + np.arange(n)),
+                "words": lists(words.take(pa.array(kind)).cast(pa.binary())),
+                "times": lists(pa.array(times.astype(np.int32))),
+                "below": lists(pa.array(below[of_word[kind] - lexicon.listed])),
+            }
+
         for b in batches:
-            for doc_id, out, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "held_out", "text"))):
-                own = words_lower(text)
-                index = lexicon.indices(own)
-                held.append((doc_id, out, *row(own, index)))
-                indices.append(index)
-                tokens += len(own) + 1
-                if tokens >= TOGETHER:
-                    yield finish(held, indices)
-                    held, indices, tokens = [], [], 0
-        if held:
-            yield finish(held, indices)
+            if b.num_rows == 0:
+                continue
+            words, of_word, places, ends = lexicon.of_batch(b.column("text"))
+            for i, j in cuts(ends, TOGETHER):
+                own = {k: b.column(k).slice(i, j - i) for k in ("doc_id", "held_out")}
+                yield own | scored(words, of_word, places[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
 
     return map_batches(
         texts,

@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from pricemill.llm import language_model, mixing, packing, pii, quality
+from pricemill.llm.common import words_of, words_of_batch
 from pricemill.llm.queries import tokenizer_file
 from test_dedup import frame, some_texts
 
@@ -235,6 +237,26 @@ def test_unlisted_words_are_counted_by_class(spark, monkeypatch):
         assert share.sum() == pytest.approx(1.0) and np.add.reduceat(inside, edges[:-1]) == pytest.approx(1.0)
 
 
+def test_small_partitions_share_a_model(spark):
+    texts = frame(spark, [(i, " ".join(f"w{i * j % 50}" for j in range(30)), None) for i in range(300)]).repartition(20)
+    table = language_model.count_words(texts)
+    counts = language_model.with_rests(language_model.frequent_counts(table), table)
+    found, alone = (language_model.train(t, counts) for t in (texts, texts.coalesce(1)))
+    assert all((getattr(found, k) == getattr(alone, k)).all() for k in ("target", "context", "inner", "words"))
+
+
+def test_words_of_slices():
+    texts = [None, "", "  a\x0bB \x1cÉ b  ", "\n", *(f"Word{i} x{i % 7}\t" * (i % 40) for i in range(2000)), "é"]
+    for i, n in ((0, 2005), (700, 600), (1300, 705), (3, 1), (0, 0)):
+        part = pa.array(texts).slice(i, n)
+        for lower in (False, True):
+            words, places, ends = words_of_batch(part, lower)
+            own = np.array([*words.to_pylist(), None], object)[places]
+            want = [words_of(t) for t in part.to_pylist()]
+            want = [[w.lower() for w in t] if lower else t for t in want]
+            assert [own[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+
+
 def test_model_beats_unigrams(spark, documents):
     found = language_model.score_texts(documents).where("held_out").collect()
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
