@@ -12,6 +12,8 @@ from pricemill.session import staged
 
 #: Words are runs of anything but these characters.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows, of 64 bits each, of the table that marks keys before a join.
+SLOTS = 1 << 18
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +59,28 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def marked(rows: DataFrame, key: Column, keys: DataFrame, column: str) -> DataFrame:
+    """`rows` with a column `maybe`: false only where `key` is certainly not among the values of `column` in `keys`.
+
+    Keys set bits of a table that is joined on the map side, at most SLOTS rows whatever the input. So rows that a join
+    with `keys` would not find need not be shuffled for it; the join decides about the others.
+    """
+    table = keys.select(F.xxhash64(column).alias("hash_")).groupBy(F.col("hash_").bitwiseAND(F.lit(SLOTS - 1)).alias("slot_"))
+    table = table.agg(F.bit_or(_bit_of("hash_")).alias("bits_"))
+    hashed = rows.withColumn("hash_", F.xxhash64(key)).withColumn("slot_", F.col("hash_").bitwiseAND(F.lit(SLOTS - 1)))
+    found = F.coalesce(F.col("bits_").bitwiseAND(_bit_of("hash_")) != 0, F.lit(False))
+    return hashed.join(F.broadcast(table), "slot_", "left").select(*(F.col(f"`{c}`") for c in rows.columns), found.alias("maybe"))
+
+
+def _bit_of(hashed: str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose `column` may be in `keys`, for a join with `keys` that follows."""
+    return marked(rows, F.col(column), keys, column).where("maybe").drop("maybe")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words in UTF-8; bytes.split() parts at exactly the six ASCII blanks of SPACE."""
     return (text or "").encode("utf-8", "surrogatepass").split()

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricemill.llm.common import SPACE, numbered, text_or_empty
+from pricemill.llm.common import SPACE, marked, numbered, text_or_empty
 from pricemill.session import staged
 
 #: Counters of the sketch and candidates taken from it. The table that is broadcast has at most
@@ -68,8 +68,8 @@ def _decided(digests: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (doc_id, text, ...) that stay: one of each group of equal texts, with all its columns.
 
-    Decisions are made on ids and digests alone. What goes is named by id and digest, and Spark matches it on the map
-    side while it is small; texts are shuffled, once, only where it is not. Null texts equal empty ones. Of rows that
+    Decisions are made on ids and digests alone. What goes is named by id and digest. Rows whose digest is not among
+    these pass on the map side; the others, about as many as have copies, are written and matched. Null texts equal empty ones. Of rows that
     agree in id and normalised text, the one with the smallest hash of all its columns stays. Rows without an id stay
     only if no equal text has one. An empty table gives no rows. Columns may have any names.
     """
@@ -84,10 +84,16 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     def match(pairs: DataFrame):
         return F.col("row.doc_id").eqNullSafe(pairs["doc_id"]) & (F.col("sha") == pairs["text_sha256"])
 
-    whole = rows.join(pairs, match(pairs), "left_anti").select("row")
+    seen = marked(rows, F.col("sha"), pairs, "text_sha256")
+    alone = seen.where("not maybe").select("row")
+    met = staged(seen.where("maybe").select("row", "sha"), "met-rows")
+    whole = met.join(pairs, match(pairs), "left_anti").select("row")
+    kept = alone.unionByName(whole)
     repeated = pairs.where("stays")
-    again = rows.join(repeated, match(repeated), "left_semi")
-    one = again.groupBy(F.col("row.doc_id").alias("id"), "sha").agg(
-        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")
-    )
-    return whole.unionByName(one.select("row")).select("row.*")
+    if not repeated.isEmpty():
+        again = met.join(repeated, match(repeated), "left_semi")
+        one = again.groupBy(F.col("row.doc_id").alias("id"), "sha").agg(
+            F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")
+        )
+        kept = kept.unionByName(one.select("row"))
+    return kept.select("row.*")

@@ -240,10 +240,16 @@ def take(docs: DataFrame, **options) -> DataFrame:
     dealt = mix(docs, **options).groupBy("doc_id", "source", "size").agg(
         F.sort_array(F.collect_list("copies")).alias("copies")
     )
+    dealt = staged(dealt, "dealt")
     d = dealt.select(F.col("doc_id").alias("d_id"), F.col("source").alias("d_of"), F.col("size").alias("d_size"), "copies")
-    order = Window.partitionBy("id", "of", "size").orderBy(F.xxhash64("row.text"))
-    turn = sized.withColumn("turn", F.row_number().over(order))
     same = F.col("id").eqNullSafe(F.col("d_id")) & F.col("of").eqNullSafe(F.col("d_of")) & (F.col("size") == F.col("d_size"))
-    times = F.coalesce(F.get(F.col("copies"), F.col("turn") - 1), F.lit(0)).cast("int")
-    joined = turn.join(d, same).select("row", times.alias("times")).where("times > 0")
+    # rows that are the only one of their id, source and size are not numbered: texts are shuffled once. A merge join, as
+    # there is a row of copies for each document, which the driver need not see
+    times = sized.hint("merge").join(d.where("size(copies) = 1 and copies[0] > 0"), same).select("row", F.col("copies")[0].alias("times"))
+    shared = d.where("size(copies) > 1")
+    if not shared.isEmpty():
+        order = Window.partitionBy("id", "of", "size").orderBy(F.xxhash64("row.text"))
+        turn = sized.join(shared, same).withColumn("turn", F.row_number().over(order))
+        times = times.unionByName(turn.select("row", F.coalesce(F.get("copies", F.col("turn") - 1), F.lit(0)).alias("times")))
+    joined = times.where("times > 0").select("row", F.col("times").cast("int").alias("times"))
     return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")

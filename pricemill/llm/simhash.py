@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricemill.llm.common import map_batches, numbered
+from pricemill.llm.common import among, map_batches, marked, numbered
 from pricemill.llm.components import components
 from pricemill.llm.rolling import BASES, RunHasher, item_hasher
 from pricemill.session import discard, staged
@@ -382,7 +382,7 @@ def _unlinked_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     met_docs = met.join(across, "key", "left_semi").groupBy("doc", "label", "n").agg(enough_met.alias("enough"))
     met_docs = staged(met_docs.where("enough").select("doc", "label"), "met-documents")
     discard(small, met, across)
-    rows = staged(_shingles(texts.join(met_docs, "doc", "left_semi"), False).join(met_docs, "doc"), "met-sets")
+    rows = staged(_shingles(among(texts, "doc", met_docs).join(met_docs, "doc", "left_semi"), False).join(met_docs, "doc"), "met-sets")
     counts = rows.groupBy("key").agg(F.count("*").alias("docs"), differ.alias("across")).where("across")
     counts = staged(counts.select("key", "docs"), "met-counts")
     in_order = F.slice(
@@ -450,7 +450,7 @@ def _near_groups(texts: DataFrame) -> DataFrame:
     )
     pairs = staged(same.union(linked).where("a <> b").distinct(), "candidate-pairs")
     involved = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    words = staged(_squeezed(texts).join(involved, "doc"), "candidate-texts")
+    words = staged(_squeezed(among(texts, "doc", involved)).join(involved, "doc"), "candidate-texts")
 
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     sure = staged(_verified(nearest, words), "verified")
@@ -467,7 +467,7 @@ def _near_groups(texts: DataFrame) -> DataFrame:
     left = _unlinked_pairs(texts, found)
     if not left.isEmpty():
         involved = left.select(F.col("a").alias("doc")).union(left.select("b")).distinct()
-        last = staged(_verified(left, staged(_squeezed(texts.join(involved, "doc", "left_semi")), "unlinked-texts")), "verified-last")
+        last = staged(_verified(left, staged(_squeezed(among(texts, "doc", involved).join(involved, "doc", "left_semi")), "unlinked-texts")), "verified-last")
         if not last.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(last))
     return found
@@ -505,4 +505,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     rows = _near_rows(own.select("row_no", "row.doc_id", "row.text"))
     keep = rows.groupBy("label").agg(F.min_by("row", F.struct("id", "row")).alias("row"))
     gone = staged(rows.select("row").subtract(keep.select("row")).withColumnRenamed("row", "row_no"), "near-copies")
-    return own.join(gone, "row_no", "left_anti").select("row.*")
+    # most rows are certainly not gone; only the others are matched
+    seen = marked(own, F.col("row_no"), gone, "row_no")
+    rest = seen.where("maybe").join(gone, "row_no", "left_anti")
+    return seen.where("not maybe").select("row").unionByName(rest.select("row")).select("row.*")

@@ -3,6 +3,7 @@
 import re
 
 from pricemill.llm import exact, mixing, simhash
+from pricemill.llm.common import marked
 
 NAMES = "doc_id long, text string, lang string, source string, row_no long, text_sha256 string, `row` long, size_ string, id_ string, `odd name.x` long"
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -120,3 +121,36 @@ def test_scores_by_recomputed_sizes(spark):
         )
         z = sum(w * v for w, v in zip(model.weights, (1.0, x, y, x * x, x * y, y * y)))
         assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6 and r.predicted == (r.score >= 0.7)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_without_copies_are_not_shuffled(spark):
+    rows = [(i, f"text {i % 50 if i < 100 else i}", "s") for i in range(3000)]
+    docs = frame(spark, rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keys in (docs.where("doc_id < 100"), docs.where("doc_id < 0")):
+            seen = marked(docs, docs["doc_id"], keys, "doc_id")
+            assert seen.columns == [*docs.columns, "maybe"] and seen.count() == 3000
+            maybe = {r.doc_id for r in seen.where("maybe").collect()}
+            assert {r.doc_id for r in keys.collect()} <= maybe and len(maybe) < 150
+            # only the keys are shuffled
+            assert shuffles(seen) <= 1
+        kept = exact.drop_exact_copies(docs)
+        assert sorted(r.doc_id for r in kept.collect()) == [*range(50), *range(100, 3000)]
+        # each text is shuffled once, and so are the numbers of copies
+        assert shuffles(mixing.take(docs)) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_taken_rows_of_one_key(spark):
+    rows = [(i % 40, f"a b c {i}", "s") for i in range(100)] + [(i, f"only {i}", "t") for i in range(40, 90)]
+    taken = mixing.take(frame(spark, rows))
+    want = {r.doc_id: r[1] for r in mixing.mix(frame(spark, rows)).groupBy("doc_id").agg({"copies": "sum"}).collect()}
+    found = {r.doc_id: r["count"] for r in taken.groupBy("doc_id").count().collect()}
+    assert found == {k: n for k, n in want.items() if n}
