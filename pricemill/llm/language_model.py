@@ -24,11 +24,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricemill.llm.common import crc_part, map_batches, numbered, words_of_batch
+from pricemill.llm.common import as_list, crc_part, map_batches, numbered, words_of_batch
 from pricemill.session import staged
 
 #: Most frequent words that are entries themselves, and at most how many classes hold all others.
@@ -117,10 +116,7 @@ class Lexicon(dict):
         import numpy as np
 
         words, places, ends = words_of_batch(texts, lower=True)
-        # joined and split again: quicker than a Python object from each Arrow value
-        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(b"\n", words.type))[0].as_py()
-        own = line.split(b"\n") if len(words) else []
-        return words, np.fromiter(map(self.__getitem__, own), np.int64, len(words)), places, ends
+        return words, np.fromiter(map(self.__getitem__, as_list(words)), np.int64, len(words)), places, ends
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricemill.llm.common import map_batches, numbered, words_of
+from pricemill.llm.common import as_list, map_batches, numbered, words_of, words_of_batch
 from pricemill.llm.rolling import BASES, SEEDS, RunHasher, covered, item_hasher, mask_spans, window_starts
 from pricemill.session import discard, staged
 
@@ -29,17 +29,6 @@ COVER = (1, 5, 11, 24, 25, 27)
 _LAST = 2**63 - 1
 
 
-def anchor_positions(n: int, window: int = WINDOW):
-    """Positions of anchors in a document of n words; each covers window - PERIOD + 1 words."""
-    import numpy as np
-
-    width = window - PERIOD + 1
-    if n < width:
-        return np.empty(0, np.int64)
-    cover = np.isin(np.arange(PERIOD), COVER)
-    return np.flatnonzero(np.resize(cover, n - width + 1))
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     return docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))
@@ -67,23 +56,23 @@ def _anchors(texts: DataFrame, window: int, located: bool) -> DataFrame:
 
     def make(batches) -> Iterator[dict]:
         import numpy as np
-        import xxhash
 
         hashes, run = item_hasher(SEEDS[0]), RunHasher(BASES[0])
+        width = window - PERIOD + 1
+        cover = np.isin(np.arange(PERIOD), COVER)
         for b in batches:
-            found, owners, places = [], [], []
-            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
-                words = words_of(text)
-                at = anchor_positions(len(words), window)
-                if len(at) == 0:
-                    continue
-                found.append(run(hashes(words), window - PERIOD + 1, at))
-                owner = doc if located else xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63
-                owners.append(np.full(len(at), owner, np.int64))
-                places.append(at)
-            if found:
-                out = {"hash": np.concatenate(found).view(np.int64), "owner": np.concatenate(owners)}
-                yield out | ({"pos": np.concatenate(places).astype(np.int32)} if located else {})
+            words, places, ends = words_of_batch(b.column("text"))
+            own = hashes(as_list(words))[places]
+            # all texts of the batch at once: a run's hash does not depend on where it starts
+            lengths = np.diff(ends)
+            pos = np.arange(len(own)) - np.repeat(ends[:-1], lengths)
+            at = np.flatnonzero(cover[pos % PERIOD] & (pos <= np.repeat(lengths - width, lengths)))
+            if len(at) == 0:
+                continue
+            # a text's content is named by the hash of all its words
+            owners = b.column("doc").to_numpy() if located else run(own, lengths, ends[:-1]).view(np.int64)
+            out = {"hash": run(own, width, at).view(np.int64), "owner": np.repeat(owners, lengths)[at]}
+            yield out | ({"pos": pos[at].astype(np.int32)} if located else {})
 
     return map_batches(texts, make, "hash bigint, owner bigint" + (", pos int" if located else ""))
 

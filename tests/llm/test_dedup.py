@@ -286,3 +286,15 @@ def test_empty_tables(spark):
     ):
         assert operator(none).count() == 0
     assert embedding.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_anchors_of_a_batch_are_those_of_each_text(spark):
+    texts = [" ".join(f"w{i * j % 60}" for j in range(i * 9 % 130)) for i in range(40)] + [None, " ", " x  y "]
+    rows = [(i, t, "s") for i, t in enumerate([*texts, texts[20]])]
+    docs = substring._texts(frame(spark, rows))
+    alone = [substring._anchors(docs.where(docs.doc == i), 50, True).collect() for i in range(len(rows))]
+    together = substring._anchors(docs.coalesce(1), 50, True).collect()
+    assert sorted(map(tuple, together)) == sorted(tuple(r) for found in alone for r in found) and together
+    assert {(r.pos % substring.PERIOD) for r in together} <= set(substring.COVER)
+    contents = {tuple((t or "").split()) for t in texts if len((t or "").split()) > substring.COVER[0] + 19}
+    assert len({r.owner for r in substring._anchors(docs, 50, False).collect()}) == len(contents)

@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from pricemill.llm import language_model, mixing, packing, pii, quality
-from pricemill.llm.common import words_of, words_of_batch
+from pricemill.llm.common import as_list, words_of, words_of_batch
 from pricemill.llm.queries import tokenizer_file
 from test_dedup import frame, some_texts
 
@@ -251,6 +251,7 @@ def test_words_of_slices():
         part = pa.array(texts).slice(i, n)
         for lower in (False, True):
             words, places, ends = words_of_batch(part, lower)
+            assert as_list(words) == words.to_pylist()
             own = np.array([*words.to_pylist(), None], object)[places]
             want = [words_of(t) for t in part.to_pylist()]
             want = [[w.lower() for w in t] if lower else t for t in want]
