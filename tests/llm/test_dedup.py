@@ -278,6 +278,43 @@ def test_vectors(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found.collect())
 
 
+def _watched(monkeypatch):
+    """Will hold the sizes of the blocks that `embedding` stages."""
+    sizes, staged = [], embedding.staged
+
+    def seen(df, name):
+        out = staged(df, name)
+        if name == "vector-blocks":
+            sizes.extend(len(r.ids) // 8 for r in out.collect())
+        return out
+
+    monkeypatch.setattr(embedding, "staged", seen)
+    return sizes
+
+
+@pytest.mark.parametrize("width, spread", [(2, 0.02), (24, 0.3), (24, 0.03)])
+def test_a_vector_lies_in_one_block(spark, monkeypatch, width, spread):
+    """Far from all pivots, on a line, or all alike: no vector is copied to cells, each pair is met once, nothing is lost."""
+    monkeypatch.setattr(embedding, "PER_PIVOT", 8)
+    monkeypatch.setattr(embedding, "BLOCK", 16)
+    monkeypatch.setattr(embedding, "GROUP_BYTES", 40 * 4 * width, raising=False)
+    monkeypatch.setattr(embedding, "HELD_LINKS", 50, raising=False)
+    sizes = _watched(monkeypatch)
+    rng = np.random.default_rng(width)
+    base = rng.normal(size=(1 if spread == 0.03 else 40, width))
+    vectors = (base[np.arange(250) % len(base)] + rng.normal(size=(250, width)) * spread).astype(np.float32)
+    vectors[-20:] = vectors[:20]
+    x = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    near = x @ x.T >= 0.95
+    root = _groups(range(250), lambda a, b: near[a, b])
+    least = [root.index(r) for r in root]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    found = embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    want = [(i, int(near[i].sum()) - 1, least[i], least[i] == i) for i in range(250)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert sum(sizes) == 230 and max(sizes) <= 16 and len(sizes) > 230 // 16
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     for operator in (
